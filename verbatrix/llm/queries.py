@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, substring_dedup, vector_search
 
 QUERIES = {
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op8_vector_search": vector_search.op8_vector_search,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_vector_search": vector_search.SQL,
+}
