@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, substring_dedup, vector_search
+from . import jaccard_join, quality_rules, substring_dedup, vector_search
 
 QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op8_vector_search": vector_search.op8_vector_search,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 SQL: dict[str, str] = {
