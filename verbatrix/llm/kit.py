@@ -89,11 +89,11 @@ def row_slices(lengths: np.ndarray, most: int = SLICE_BYTES):
         start = stop
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text"):
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
     """Slices of a batch; each is (rows, texts) with nulls as empty texts."""
     texts = pc.fill_null(batch.column(column), "")
     lengths = np.asarray(pc.binary_length(texts)).astype(np.int64) + 1
-    for start, stop in row_slices(lengths):
+    for start, stop in row_slices(lengths, most):
         yield batch.slice(start, stop - start), texts.slice(start, stop - start)
 
 

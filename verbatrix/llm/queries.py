@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, quality_rules, substring_dedup, vector_search
+from . import jaccard_join, language_id, quality_rules, substring_dedup, vector_search
 
 QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_language_id": language_id.op7_language_id,
     "op8_vector_search": vector_search.op8_vector_search,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 SQL: dict[str, str] = {
+    "op7_language_id": language_id.op7_language_id,
     "op8_vector_search": vector_search.SQL,
 }
