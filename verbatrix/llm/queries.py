@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, quality_crf, quality_rules, substring_dedup, url_filter, vector_search
+from . import jaccard_join, language_id, mixing, quality_crf, quality_rules, substring_dedup, url_filter, vector_search
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_mixing": mixing.op3_mixing,
     "op5_quality_classifier": quality_crf.op5_quality_classifier,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_language_id": language_id.op7_language_id,
