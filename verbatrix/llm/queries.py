@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, mixing, quality_crf, quality_rules, substring_dedup, url_filter, vector_search
+from . import jaccard_join, language_id, mixing, packing, quality_crf, quality_rules, substring_dedup, url_filter, vector_search
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_mixing": mixing.op3_mixing,
     "op5_quality_classifier": quality_crf.op5_quality_classifier,
