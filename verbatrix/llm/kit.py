@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters outside these six; everything else, Unicode spaces included, belongs to words.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Texts are cut into slices of about this many bytes before they are turned into arrays, so memory follows the slice, not the batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Stands for a null doc_id where ids are packed into arrays: nulls sort after every id.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -60,9 +61,14 @@ class Durable:
         self.sweep()
 
     def sweep(self) -> None:
-        """Ask for a collection on the driver, upon which Spark deletes shuffle files that no plan can read any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Ask for a collection on the driver, upon which Spark deletes shuffle files that no plan can read any more.
+
+        Twice, as the first one only lets go of what Python's names stood for.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -95,6 +101,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
     lengths = np.asarray(pc.binary_length(texts)).astype(np.int64) + 1
     for start, stop in row_slices(lengths, most):
         yield batch.slice(start, stop - start), texts.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
