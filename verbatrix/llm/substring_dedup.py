@@ -30,9 +30,11 @@ from . import kit
 
 WINDOW = 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: kind 0: windows for a bucket; kind 1: an answer that a slice could give by itself, passed through.
+#: kind 0: windows for a bucket; kind 1: an answer that a slice could give by itself, passed through by the bucket of its texts.
 MESSAGE = "bucket int, kind int, ids binary, tags binary, owner binary, key binary, key2 binary, start binary"
-ANSWER = "id long, tag long, found binary"
+#: Answers for many texts in one row: how many found values each has, and all of them.
+ANSWERS = "home int, ids binary, tags binary, counts binary, found binary"
+FOUND = "id long, tag long, found binary"
 
 
 def _message(bucket, kind, ids, tags, owner, key, key2, start) -> pa.RecordBatch:
@@ -40,19 +42,28 @@ def _message(bucket, kind, ids, tags, owner, key, key2, start) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), ids, tags, owner, key, key2, start], names)
 
 
-def _answers(ids, tags, owner, found) -> tuple:
-    """One entry per text: ids, tags and the packed ``found`` values of its windows; owner must be sorted."""
-    cuts = np.append(np.flatnonzero(kit.run_starts(owner)), len(owner))
-    who = owner[cuts[:-1]]
-    return ids[who], tags[who], kit.packed(found, cuts)
+def _home(tags: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in which a text's answers meet."""
+    return (kit.mix(tags.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _answers(ids, tags, owner, found, buckets: int) -> tuple:
+    """Packed answers, one entry per home of the texts: home, ids, tags, counts, found."""
+    home = _home(tags, buckets)[owner]
+    order = np.lexsort((owner, home))
+    home, owner, found = home[order], owner[order], found[order]
+    first = np.flatnonzero(kit.run_starts(home, owner))
+    counts = np.diff(np.append(first, len(owner))).astype(np.uint32)
+    who = owner[first]
+    new = kit.run_starts(home)
+    cuts, text_cuts = np.append(np.flatnonzero(new), len(owner)), np.append(np.flatnonzero(kit.run_starts(home[first])), len(who))
+    return home[cuts[:-1]].astype(np.int32), kit.packed(ids[who], text_cuts), kit.packed(tags[who], text_cuts), kit.packed(counts, text_cuts), kit.packed(found, cuts)
 
 
 def _pass_through(ids, tags, owner, found, buckets: int) -> pa.RecordBatch:
-    a_ids, a_tags, a_found = _answers(ids, tags, owner, found)
-    n = len(a_ids)
-    one, none = np.arange(n + 1), kit.packed(np.empty(0, np.uint8), np.zeros(n + 1, np.int64))
-    bucket = (kit.mix(a_tags.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-    return _message(bucket, np.ones(n, np.int32), kit.packed(a_ids, one), kit.packed(a_tags, one), none, a_found, none, none)
+    home, a_ids, a_tags, counts, a_found = _answers(ids, tags, owner, found, buckets)
+    none = kit.packed(np.empty(0, np.uint8), np.zeros(len(home) + 1, np.int64))
+    return _message(home, np.ones(len(home), np.int32), a_ids, a_tags, counts, a_found, none, none)
 
 
 def _bucketed(bucket, ids, tags, owner, key, key2, start) -> pa.RecordBatch:
@@ -100,8 +111,7 @@ def _send_keys(width: int, buckets: int):
                 again = ~first
                 again[:-1] |= ~first[1:]
                 if again.any():
-                    known = np.flatnonzero(again)[np.argsort(owner[again], kind="stable")]
-                    yield _pass_through(ids, tags, owner[known], codes[known], buckets)
+                    yield _pass_through(ids, tags, owner[again], codes[again], buckets)
                 yield _bucketed((codes[first] >> np.uint64(32)).astype(np.int64), ids, tags, owner[first], codes[first].astype(np.uint32), None, None)
 
     return run
@@ -120,31 +130,53 @@ def _gather(group: pa.Table, dtype) -> tuple:
 def _direct(group: pa.Table) -> pa.Table:
     """The answers that only pass through."""
     done = group.filter(pc.equal(group.column("kind"), 1))
-    ids, tags = kit.unpacked(done.column("ids"), np.int64)[0], kit.unpacked(done.column("tags"), np.int64)[0]
-    return pa.table({"id": pa.array(ids), "tag": pa.array(tags), "found": done.column("key").cast(pa.binary())})
+    columns = {"home": "bucket", "ids": "ids", "tags": "tags", "counts": "owner", "found": "key"}
+    return pa.table({to: done.column(at) for to, at in columns.items()})
+
+
+def _answer_table(*answers) -> pa.Table:
+    return pa.table(dict(zip(("home", "ids", "tags", "counts", "found"), map(pa.chunked_array, ([a] if isinstance(a, pa.Array) else [pa.array(a)] for a in answers)))))
 
 
-def _answer_table(ids, tags, owner, found) -> pa.Table:
-    order = np.argsort(owner, kind="stable")
-    a_ids, a_tags, a_found = _answers(ids, tags, owner[order], found[order])
-    return pa.table({"id": pa.array(a_ids), "tag": pa.array(a_tags), "found": a_found})
+def _repeated_keys(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        ids, tags, owner, key, _ = _gather(group, np.uint32)
+        out = _direct(group)
+        if not len(key):
+            return out
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        again = ~kit.run_starts(key)
+        again[:-1] |= again[1:]
+        bucket = np.uint64(group.column("bucket")[0].as_py()) << np.uint64(32)
+        return pa.concat_tables([out, _answer_table(*_answers(ids, tags, owner[again], key[again].astype(np.uint64) | bucket, buckets))])
+
+    return run
+
 
+def _by_text(dtype):
+    """The answers of one home, a row per text."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, _ = kit.unpacked(group.column("ids"), np.int64)
+        tags, _ = kit.unpacked(group.column("tags"), np.int64)
+        counts, _ = kit.unpacked(group.column("counts"), np.uint32)
+        found, _ = kit.unpacked(group.column("found"), dtype)
+        order = np.lexsort((tags, ids))
+        new = kit.run_starts(ids[order], tags[order])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        owner = np.repeat(number, counts)
+        by_owner = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[by_owner], np.arange(new.sum() + 1))
+        texts = order[new]
+        return pa.table({"id": pa.array(ids[texts]), "tag": pa.array(tags[texts]), "found": kit.packed(found[by_owner], cuts)})
 
-def _repeated_keys(group: pa.Table) -> pa.Table:
-    ids, tags, owner, key, _ = _gather(group, np.uint32)
-    out = _direct(group)
-    if not len(key):
-        return out
-    order = np.argsort(key, kind="stable")
-    key, owner = key[order], owner[order]
-    again = ~kit.run_starts(key)
-    again[:-1] |= again[1:]
-    bucket = np.uint64(group.column("bucket")[0].as_py()) << np.uint64(32)
-    return pa.concat_tables([out, _answer_table(ids, tags, owner[again], key[again].astype(np.uint64) | bucket)])
+    return run
 
 
 def _join_found(batch: pa.RecordBatch, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(cell or ()), dtype) for cell in batch.column("found").to_pylist()]
+    return [np.frombuffer(cell or b"", dtype) for cell in batch.column("found").to_pylist()]
 
 
 def _send_windows(width: int, buckets: int):
@@ -167,8 +199,7 @@ def _send_windows(width: int, buckets: int):
                 first = kit.run_starts(bucket, h, g)
                 later = _later(first, ids[owner], start)
                 if later.any():
-                    known = np.flatnonzero(later)[np.argsort(owner[later], kind="stable")]
-                    yield _pass_through(ids, tags, owner[known], start[known].astype(np.uint32), buckets)
+                    yield _pass_through(ids, tags, owner[later], start[later].astype(np.uint32), buckets)
                 # Besides the first, windows that tie with it (the same id and start) go on too: they may fall to an earlier one elsewhere.
                 send = ~later
                 yield _bucketed(bucket[send], ids, tags, owner[send], h[send], g[send], start[send].astype(np.uint32))
@@ -182,35 +213,37 @@ def _later(first: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (ids != ids[head]) | (start != start[head])
 
 
-def _later_windows(group: pa.Table) -> pa.Table:
-    ids, tags, owner, h, kept = _gather(group, np.uint64)
-    out = _direct(group)
-    if not len(h):
-        return out
-    g, start = kit.unpacked(kept.column("key2"), np.uint64)[0], kit.unpacked(kept.column("start"), np.uint32)[0]
-    order = np.lexsort((start, ids[owner], g, h))
-    owner, start = owner[order], start[order]
-    later = _later(kit.run_starts(h[order], g[order]), ids[owner], start)
-    return pa.concat_tables([out, _answer_table(ids, tags, owner[later], start[later])])
+def _later_windows(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        ids, tags, owner, h, kept = _gather(group, np.uint64)
+        out = _direct(group)
+        if not len(h):
+            return out
+        g, start = kit.unpacked(kept.column("key2"), np.uint64)[0], kit.unpacked(kept.column("start"), np.uint32)[0]
+        order = np.lexsort((start, ids[owner], g, h))
+        owner, start = owner[order], start[order]
+        later = _later(kit.run_starts(h[order], g[order]), ids[owner], start)
+        return pa.concat_tables([out, _answer_table(*_answers(ids, tags, owner[later], start[later], buckets))])
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> list:
     return [kit.doc_key().alias("id"), F.xxhash64("text").alias("tag")]
 
 
-def _answers_by_text(found: DataFrame) -> DataFrame:
-    return found.groupBy("id", "tag").agg(F.collect_list("found").alias("found"))
-
-
 def repeated_starts(docs: DataFrame, held: kit.Durable, width: int = WINDOW) -> DataFrame:
-    """id, tag, found: for each text, packed starts of the windows that also start earlier. A text may have several rows."""
+    """id, tag, found: for each text that has any, packed starts of the windows that also start earlier."""
     texts = docs.select(*_keyed(docs), "text").filter("text is not null")
     buckets = kit.buckets_for(docs)
-    messages = texts.mapInArrow(_send_keys(width, buckets), MESSAGE)
-    keys = held.write(messages.groupBy("bucket").applyInArrow(_repeated_keys, ANSWER), "keys")
+
+    def answered(messages: DataFrame, judge, dtype) -> DataFrame:
+        return messages.groupBy("bucket").applyInArrow(judge(buckets), ANSWERS).groupBy("home").applyInArrow(_by_text(dtype), FOUND)
+
+    # No name is kept for what is only read once: a live plan keeps its shuffle files.
+    keys = held.write(answered(texts.mapInArrow(_send_keys(width, buckets), MESSAGE), _repeated_keys, np.uint64), "keys")
     held.sweep()
-    messages = texts.join(_answers_by_text(keys), ["id", "tag"]).mapInArrow(_send_windows(width, buckets), MESSAGE)
-    starts = held.write(messages.groupBy("bucket").applyInArrow(_later_windows, ANSWER), "starts")
+    starts = held.write(answered(texts.join(keys, ["id", "tag"]).mapInArrow(_send_windows(width, buckets), MESSAGE), _later_windows, np.uint32), "starts")
     held.drop("keys")
     return starts
 
@@ -268,7 +301,7 @@ def _cut(width: int):
 
 def _with_starts(docs: DataFrame, starts: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of docs, and found; the key columns are named apart from whatever docs has."""
-    there = _answers_by_text(starts).select(F.col("id").alias("__vx_id"), F.col("tag").alias("__vx_tag"), "found")
+    there = starts.select(F.col("id").alias("__vx_id"), F.col("tag").alias("__vx_tag"), "found")
     own = docs.select(*columns, kit.doc_key().alias("__vx_id"), F.xxhash64("text").alias("__vx_tag"))
     return own.join(there, ["__vx_id", "__vx_tag"], "left").select(*columns, "found")
 
