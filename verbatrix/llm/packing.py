@@ -11,8 +11,8 @@ grow with the data: a class has at most k - 1 pieces there, and at most ``WORKER
 
 Sequences are padded to the capacity, unless their length is a power of two.
 
-Ids come from a public tokenizer file, word by word: it drops white space, so a word's ids do not depend on its
-neighbours, and each worker remembers those of frequent words.
+Ids come from a public tokenizer file, by distinct words: it drops white space, so a word's ids do not depend on its
+neighbours, and each distinct word of a slice of texts is encoded once at most.
 
 Defined cases: null and empty texts have one id, the end mark. A document of any length is cut into pieces; each id lies in
 exactly one. Repeated rows are packed each; null ids stay null. An empty table gives an empty result. Extra columns are
@@ -21,7 +21,10 @@ ignored. Ties in order are between equal pieces only, so they do not matter.
 
 from __future__ import annotations
 
+import os
 import zlib
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,10 @@ SLACK = 0.02
 #: At most so many shares of a class fill bins by themselves.
 WORKERS = 4096
 PIECES_PER_WORKER = 4096
-REMEMBERED = 200_000
+#: Words that a worker remembers, that are encoded as one text, and texts of them that are encoded at once.
+REMEMBERED = 300_000
+TOGETHER = 1000
+AT_ONCE = 8
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, copy long"
 
 
@@ -56,47 +62,80 @@ def cut(length: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tup
     return out
 
 
+def word_ids(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, and how many each has.
+
+    Words are encoded ``TOGETHER`` at a time, as that is cheaper than one by one; offsets tell whose an id is.
+    """
+    ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+    groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+    for some in (groups[i : i + AT_ONCE] for i in range(0, len(groups), AT_ONCE)):
+        for group, encoded in zip(some, tokenizer.encode_batch([" ".join(g) for g in some], add_special_tokens=False)):
+            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
+            at = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(encoded))
+            ids.append(np.array(encoded.ids, np.uint32))
+            counts.append(np.bincount(np.searchsorted(ends, at, "right"), minlength=len(group)))
+    return np.concatenate(ids), np.concatenate(counts)
+
+
 class WordIds:
-    """Ids of words, remembered for the most recent ones."""
+    """Ids of distinct words. The first ``REMEMBERED`` that a worker meets, frequent ones among them, are encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, words: list[str]) -> list[np.ndarray]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            self.known = known = {w: known[w] for w in words if w in known}
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32)
-        return [known[w] for w in words]
-
-
-def text_ids(texts: pa.Array, word_ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
+        self.flat, self.starts, self.sizes = np.array([END], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in one array, and each word's start and number of ids in it. The last entry is the end mark's."""
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        fresh = [words[i] for i in new.tolist()]
+        ids, sizes = word_ids(self.tokenizer, fresh)
+        base = len(self.sizes)
+        at[new] = np.arange(base, base + len(new))
+        flat, all_sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+        starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        if len(self.known) < REMEMBERED:
+            self.known.update(zip(fresh, range(base, base + len(fresh))))
+            self.flat, self.starts, self.sizes = flat, starts, all_sizes
+        at = np.append(at, 0)
+        return flat, starts[at], all_sizes[at]
+
+
+@lru_cache(maxsize=1)
+def worker_ids(path: str) -> WordIds:
+    """One per worker process, whatever number of tasks it runs. A task has one core, so encoding takes one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordIds(path)
+
+
+def text_ids(texts: pa.Array, ids_of: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by the end mark, and where each text's ids start (one more entry than texts)."""
     words, offsets = kit.split_words(texts)
     coded = words.dictionary_encode()
-    own = [*word_ids(coded.dictionary.to_pylist()), np.array([END], np.uint32)]
-    sizes = np.fromiter(map(len, own), np.int64, len(own))
-    flat, begins = np.concatenate(own), np.cumsum(sizes) - sizes
+    flat, begins, sizes = ids_of(coded.dictionary.to_pylist())
     # The end mark is one more word after each text.
-    code = np.insert(np.asarray(coded.indices).astype(np.int64), offsets[1:], len(own) - 1)
-    size = sizes[code]
-    ends = np.cumsum(size)
-    ids = flat[np.repeat(begins[code] - (ends - size), size) + np.arange(size.sum())]
+    code = np.insert(np.asarray(coded.indices), offsets[1:], len(sizes) - 1)
+    size = sizes.astype(np.int32)[code]
+    ends = np.cumsum(size, dtype=np.int64)
+    # Both the remembered ids and those of a slice are far fewer than 2**31, and half as wide numbers take half the time.
+    shift = begins.astype(np.int32)[code] - (ends - size).astype(np.int32)
+    at = np.repeat(shift, size)
+    at += np.arange(len(at), dtype=np.int32)
+    ids = flat[at]
     marks = offsets[1:] + np.arange(len(texts))
     return ids, np.concatenate([[0], ends[marks]])
 
 
 def _pieces(path: str, capacity: int):
     def run(batches):
-        word_ids = WordIds(path)
+        ids_of = worker_ids(path)
         cuts: dict[int, list] = {}
         for batch in batches:
-            for rows, texts in kit.text_slices(batch, most=2 << 20):
-                ids, bounds = text_ids(texts, word_ids)
+            for rows, texts in kit.text_slices(batch):
+                ids, bounds = text_ids(texts, ids_of)
                 raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
                 out = [[] for _ in range(6)]
                 for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
