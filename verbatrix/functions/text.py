@@ -53,10 +53,13 @@ def tokens(text: Column) -> Column:
 
 
 def char_shingles(text: Column, width: int = SHINGLE) -> Column:
-    """Distinct character windows of the collapsed, lower-case text; none if it is shorter than one."""
-    flat = F.lower(collapse(text))
-    spread = lambda t: F.when(F.length(t) >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (width - 1)), lambda i: F.substring(t, i, F.lit(width)))))
-    return F.coalesce(let(flat, spread), F.array().cast("array<string>"))
+    """64-bit hashes of the distinct character windows of the collapsed, lower-case text; none if it is shorter than one.
+
+    The text is taken apart into characters once; substrings by position would scan it from its start each time.
+    """
+    chars = F.regexp_extract_all(F.lower(collapse(text)), F.lit("(?s)."), F.lit(0))
+    spread = lambda c: F.when(F.size(c) >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - (width - 1)), lambda i: F.xxhash64(F.slice(c, i, F.lit(width))))))
+    return F.coalesce(let(chars, spread), F.array().cast("array<bigint>"))
 
 
 def overlap_of(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,7 +19,7 @@ def greedy_dedup(hits: DataFrame, threshold: float = T.DUPLICATE, keys: tuple[st
     """
     entry = F.struct("rank", "id", T.char_shingles(F.col("text")).alias("s"))
     lists = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("l"))
-    kind = "struct<kept:array<struct<id:string,s:array<string>>>,dropped:array<struct<id:string,kept_id:string>>>"
+    kind = "struct<kept:array<struct<id:string,s:array<bigint>>>,dropped:array<struct<id:string,kept_id:string>>>"
     start = F.from_json(F.lit('{"kept":[],"dropped":[]}'), kind)
     ids = hits.schema["id"].dataType
 
@@ -53,7 +53,5 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("list_idx", "rank")))).alias("found_in"),
         F.max("list_idx").alias("list_idx"), F.min(F.struct("list_idx", "rank")).alias("seen"),
     )
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "seen"))
     return fused.select("query_id", "id", rank.alias("rank"), "rrf_score", "found_in", "list_idx")
