@@ -8,11 +8,13 @@ further work is on classes. Links are pairs of classes with a Jaccard similarity
 2. The global order of shingles is by that count, rare ones first. Two similar sets share a shingle within their
    prefixes, the first |x| - ceil(0.8 |x|) + 1 of each in this order. Most classes fill theirs with shingles that nobody
    else has, and drop out.
-3. The order is cut into fragments that hold about equally many shingles. A pair's overlap is counted in each fragment by
-   itself, and the partial counts are summed per pair.
-4. Pairs come in two rounds, so that a large group of similar classes is not expanded into all its pairs. First, each
-   class meets one hub per prefix shingle. Then only classes that are not yet linked, directly or through others, meet
-   each other. So every link between different components is found, and within one no more than hold it together.
+3. The order is cut into fragments: the prefixes, and then some that hold about equally many shingles. A pair's overlap
+   is counted in each fragment by itself, and the partial counts are summed per pair. Pairs whose prefixes share too little
+   for what may follow are not counted further.
+4. Pairs come in three rounds, so that a large group of similar classes is not expanded into all its pairs. First, each
+   class meets one hub; then the hubs of all its prefix shingles, and last all classes that share one, in both rounds only
+   where the two are not linked yet, directly or through others. So every link between different components is found,
+   and within one no more than hold it together.
 
 Defined cases: texts of fewer than five words have one shingle, the whole sequence; null or blank texts have none and are
 linked with nothing, so component_id is doc_id. Rows that share an id are one document for the components. Null ids
@@ -25,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kit
@@ -36,7 +38,7 @@ PERCENT = 80
 FRAGMENTS = 8
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 MESSAGE = "bucket int, kind int, sigs binary, sizes binary, owner binary, key binary"
-FOUND = "kind int, doc_id long, n int, sig binary, keys binary, counts binary"
+FOUND = "kind int, doc_id long, tag long, n int, sig binary, keys binary, counts binary"
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +89,7 @@ def _send(width: int, buckets: int):
                 sizes = np.bincount(owner, minlength=len(texts)).astype(np.uint32)
                 sigs = _signatures(owner, key, other, len(texts))
                 ids = kit.filled_ids(rows.column("doc_id"))
-                yield message([int(ids[0] % buckets)], [1], _blob(sigs), _blob(sizes), _blob(ids), _blob(key[:0]))
+                yield message([int(ids[0] % buckets)], [1], _blob(sigs), _blob(sizes), _blob(ids), _blob(kit.filled_ids(rows.column("tag"))))
                 order = np.lexsort((sigs[:, 1], sigs[:, 0]))
                 one = np.zeros(len(texts), bool)
                 one[order[kit.run_starts(sigs[order, 0], sigs[order, 1])]] = True
@@ -108,10 +110,10 @@ def _send(width: int, buckets: int):
     return run
 
 
-def _rows(kind: int, ids, sizes, sigs: np.ndarray, keys, counts) -> pa.Table:
+def _rows(kind: int, ids, tags, sizes, sigs: np.ndarray, keys, counts) -> pa.Table:
     n = len(sizes)
     return pa.table({
-        "kind": pa.array(np.full(n, kind, np.int32)), "doc_id": ids, "n": pa.array(sizes.astype(np.int32)),
+        "kind": pa.array(np.full(n, kind, np.int32)), "doc_id": ids, "tag": tags, "n": pa.array(sizes.astype(np.int32)),
         "sig": kit.packed(sigs.reshape(-1), 2 * np.arange(n + 1)).cast(pa.binary()), "keys": keys, "counts": counts,
     })
 
@@ -121,8 +123,9 @@ def _count(group: pa.Table) -> pa.Table:
     docs = group.filter(pc.equal(group.column("kind"), 1))
     d_sizes = kit.unpacked(docs.column("sizes"), np.uint32)[0]
     d_ids = kit.unpacked(docs.column("owner"), np.int64)[0]
+    d_tags = kit.unpacked(docs.column("key"), np.int64)[0]
     none = pa.nulls(len(d_ids), pa.binary())
-    out = [_rows(1, pa.array(d_ids, mask=d_ids == kit.NULL_ID), d_sizes, kit.unpacked(docs.column("sigs"), np.uint64)[0], none, none)]
+    out = [_rows(1, pa.array(d_ids, mask=d_ids == kit.NULL_ID), pa.array(d_tags), d_sizes, kit.unpacked(docs.column("sigs"), np.uint64)[0], none, none)]
     sent = group.filter(pc.equal(group.column("kind"), 0))
     key, n_keys = kit.unpacked(sent.column("key"), np.uint64)
     if len(key):
@@ -148,7 +151,7 @@ def _count(group: pa.Table) -> pa.Table:
         key, owner, count = key[order], owner[order], count[order]
         cuts = np.append(np.flatnonzero(kit.run_starts(owner)), len(owner))
         who = owner[cuts[:-1]]
-        out.append(_rows(0, pa.nulls(len(who), pa.int64()), sizes[who], sigs[who], kit.packed(key, cuts), kit.packed(count, cuts)))
+        out.append(_rows(0, pa.nulls(len(who), pa.int64()), pa.nulls(len(who), pa.int64()), sizes[who], sigs[who], kit.packed(key, cuts), kit.packed(count, cuts)))
     return pa.concat_tables(out)
 
 
@@ -185,19 +188,39 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("overlap"))
 
 
+def promising(pairs: DataFrame, first_parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough for a link.
+
+    Whatever two sets share lies within the prefix of the one that ends first in the global order, or behind it there.
+    """
+    side = lambda x: first_parts.select(F.col("sig").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "after", "part", "last")])
+    shared = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("part_a", "part_b")))
+    after = F.when(F.col("last_a") < F.col("last_b"), F.col("after_a")).when(F.col("last_b") < F.col("last_a"), F.col("after_b")).otherwise(F.greatest("after_a", "after_b"))
+    return shared.filter((F.col("o") > 0) & _enough(F.col("o") + after, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
 def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sig) of every document, and (node, label) of classes that are linked to others."""
-    buckets = kit.buckets_for(docs)
-    sent = docs.select("doc_id", "text").mapInArrow(_send(width, buckets), MESSAGE)
-    found = held.write(sent.groupBy("bucket").applyInArrow(_count, FOUND), "found")
+    """(doc_id, tag, n, sig) of every document, tag being a hash of its text, and (node, label) of classes that are linked to others."""
+    spark, buckets = docs.sparkSession, kit.buckets_for(docs)
+    # No name is kept for what is only read once: a live plan keeps its shuffle files.
+    found = held.write(docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(_send(width, buckets), MESSAGE).groupBy("bucket").applyInArrow(_count, FOUND), "found")
     held.sweep()
-    members = found.filter("kind = 1").select("doc_id", "n", "sig")
-    shared = found.filter("kind = 0").groupBy("sig", "n").agg(F.sum(F.length("keys") / 8).alias("m"), F.collect_list(F.struct("keys", "counts")).alias("parts"))
-    sets = held.write(shared.filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n")).select("sig", "n", "parts").mapInArrow(_order(percent), "sig binary, n int, own int, keys array<long>, place array<double>"), "sets")
+    members = found.filter("kind = 1").select("doc_id", "tag", "n", "sig")
+    sets = held.write(
+        found.filter("kind = 0").groupBy("sig", "n").agg(F.sum(F.length("keys") / 8).alias("m"), F.collect_list(F.struct("keys", "counts")).alias("parts"))
+        .filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n")).select("sig", "n", "parts")
+        .mapInArrow(_order(percent), "sig binary, n int, own int, keys array<long>, place array<double>"),
+        "sets",
+    )
+    members = held.write(members, "members")
+    held.drop("found")
     prefix = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1
     heads = sets.select("sig", "n", "own", F.posexplode(F.slice("keys", 1, F.greatest(prefix - F.col("own"), F.lit(0)).cast("int"))).alias("i", "key"))
     postings = held.write(heads.select("key", "sig", "n", "own", "i"), "postings")
 
+    size = F.least(F.greatest(prefix - F.col("own"), F.lit(0)), F.size("keys")).cast("int")
+    first_parts = held.write(sets.select("sig", "n", size.alias("size"), (F.col("n") - F.col("own") - size).alias("after"), F.slice("keys", 1, size).alias("part"), F.get("place", size - 1).alias("last")), "prefixes")
+
     edges = [F.lit(k / FRAGMENTS) for k in range(1, FRAGMENTS)]
     cuts = sets.select(F.explode("place").alias("p")).agg(F.percentile_approx("p", F.array(*edges), F.lit(1000)).alias("cuts")).head().cuts or []
     bounds = [float("-inf"), *sorted(set(cuts)), float("inf")]
@@ -212,38 +235,71 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
     segments = held.write(segments, "segments")
 
     lengths_fit = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    hubs = postings.groupBy("key").agg(F.min(F.struct("own", F.col("sig").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.count("*").alias("c")).filter("c > 1").select("key", "h.hub", "h.hub_n")
-    spokes = postings.join(hubs, "key").filter((F.col("sig") != F.col("hub")) & lengths_fit(F.col("n"), F.col("hub_n")))
-    spokes = spokes.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct()
     is_link = _enough(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)
-    links = held.write(overlaps(spokes, segments).filter(is_link).select("a", "b"), "links-1")
+    verified = lambda pairs, name: held.write(overlaps(promising(pairs.distinct(), first_parts, percent), segments).filter(is_link).select("a", "b"), name)
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+    def spokes(over: DataFrame) -> DataFrame:
+        """Each posting with the hub of its shingle: the class that has the fewest shingles to itself."""
+        hubs = over.groupBy("key").agg(F.min(F.struct("own", F.col("sig").alias("hub"), F.col("n").alias("hub_n"), "label")).alias("h"))
+        hubs = hubs.select("key", "h.own", "h.hub", "h.hub_n", F.col("h.label").alias("hub_label")).withColumnRenamed("own", "hub_own")
+        return over.join(hubs, "key").filter((F.col("sig") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & lengths_fit(F.col("n"), F.col("hub_n")))
+
+    def unresolved(labels: DataFrame, name: str) -> DataFrame:
+        """The postings of shingles whose classes are not all linked yet."""
+        placed = postings.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+        return held.write(placed.join(open_keys, "key", "left_semi"), name)
+
+    none = spark.createDataFrame([], "node binary, label binary")
+    least_hub = spokes(unresolved(none, "open-1")).groupBy("sig").agg(F.min(F.struct("hub_own", "hub")).alias("h"))
+    links = verified(least_hub.select(*pair(F.col("sig"), F.col("h.hub"))), "links-1")
     labels = components(links, held, "components-1")
+    for turn, meet in ((2, lambda x: spokes(x).select(*pair(F.col("sig"), F.col("hub")))), (3, lambda x: _across(x, lengths_fit, percent).select(*pair(F.col("x.sig"), F.col("y.sig"))))):
+        more = verified(meet(unresolved(labels, f"open-{turn}")), f"links-{turn}")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links, held, f"components-{turn}")
+    return members, labels
+
+
+def _across(still: DataFrame, lengths_fit, percent: int) -> DataFrame:
+    """Pairs of classes that share a prefix shingle, are not linked yet, and may overlap enough from that shingle on.
 
-    placed = postings.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    placed = held.write(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    still = placed.join(open_keys, "key", "left_semi")
+    The first shingle that two sets share has nothing in common before it, so a similar pair passes there.
+    """
     x, y = still.alias("x"), still.alias("y")
-    most = F.least("x.i", "y.i") + 1 + F.least(F.col("x.n") - F.col("x.own") - F.col("x.i"), F.col("y.n") - F.col("y.own") - F.col("y.i")) - 1
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & lengths_fit(F.col("x.n"), F.col("y.n")) & _enough(most, F.col("x.n"), F.col("y.n"), percent))
-    rest = rest.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-    more = held.write(overlaps(rest, segments).filter(is_link).select("a", "b"), "links-2")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more), held, "components-2")
-    return members, labels
+    after = lambda c: F.col(f"{c}.n") - F.col(f"{c}.own") - F.col(f"{c}.i")
+    fits = lengths_fit(F.col("x.n"), F.col("y.n")) & _enough(F.least(after("x"), after("y")), F.col("x.n"), F.col("y.n"), percent)
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & fits)
+
+
+def _labelled(docs: DataFrame, held: kit.Durable, percent: int, width: int) -> DataFrame:
+    """doc_id, tag, n and label of every document; texts of one label are linked. Without shingles the label is null."""
+    members, labels = similar_classes(docs, held, percent, width)
+    named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    return held.write(named.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label")), "named")
 
 
 def near_duplicates(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    members, labels = similar_classes(docs, held, percent, width)
-    named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label"))
-    named = held.write(named, "named")
-    # A document whose id comes with several texts belongs to all their groups, which are therefore one.
+    named = _labelled(docs, held, percent, width)
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "label", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """docs with one row of each group of linked ones: that of the smallest id. Rows without words all stay."""
+    named = _labelled(docs, held, percent, width).withColumn("id", kit.doc_key())
+    first = named.filter("label is not null").groupBy("label").agg(F.min(F.struct("id", "tag")).alias("k")).select(F.col("k.id").alias("__vx_id"), F.col("k.tag").alias("__vx_tag"), F.lit(1).alias("__vx_most"))
+    blank = named.filter("label is null").select(F.col("id").alias("__vx_id"), F.col("tag").alias("__vx_tag"), F.lit(None).cast("int").alias("__vx_most")).distinct()
+    own = docs.withColumn("__vx_id", kit.doc_key()).withColumn("__vx_tag", F.xxhash64("text"))
+    kept = own.join(first.unionByName(blank), ["__vx_id", "__vx_tag"])
+    nth = F.row_number().over(Window.partitionBy("__vx_id", "__vx_tag").orderBy(F.lit(0)))
+    return kept.withColumn("__vx_n", nth).filter("__vx_most is null or __vx_n <= __vx_most").select(*docs.columns)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kit.table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, kit.Durable(spark, "jaccard-join"))
