@@ -136,14 +136,14 @@ def route(patterns: dict[tuple, int], quotas: dict, costs=COSTS) -> dict[tuple,
     return given
 
 
-def mix(sized: DataFrame, held: kit.Durable, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """Adds source_size, target and taken to (doc_id, size, sources): ``sources`` is a sorted array, of one or more sources.
+def mix(sized: DataFrame, held: kit.Durable, weights=WEIGHTS, most: int = MOST, seed: int = SEED, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Adds source_size, target and taken to (keys, size, sources): ``sources`` is a sorted array, of one or more sources.
 
     source_size and target are those of the first source; taken is the document's size times how often the mix takes it.
     """
     spark = sized.sparkSession
-    cell = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(CELLS))
-    named = sized.select("doc_id", "size", "sources", cell.alias("cell"))
+    cell = F.pmod(F.xxhash64(*keys, "size", F.lit(seed)), F.lit(CELLS))
+    named = sized.select(*keys, "size", "sources", cell.alias("cell"))
     cells = held.write(named.groupBy("sources", "cell").agg(F.sum("size").alias("size")), "cells")
     patterns = {tuple(r.sources): int(r.size) for r in cells.groupBy("sources").agg(F.sum("size").alias("size")).collect()}
     sizes: dict = defaultdict(int)
@@ -167,21 +167,23 @@ def mix(sized: DataFrame, held: kit.Durable, weights=WEIGHTS, most: int = MOST,
     placed = named.join(cut, ["sources", "cell"], "left")
     inside = (F.col("before") < F.col("rest")) & (F.col("after") > F.col("rest"))
     # Of the cell in which the remainder ends, documents are taken as long as they fit.
-    within = Window.partitionBy("sources", "cell").orderBy(F.xxhash64("doc_id", "size", F.lit(seed + 1)), "doc_id", "size")
+    within = Window.partitionBy("sources", "cell").orderBy(F.xxhash64(*keys, "size", F.lit(seed + 1)), *keys, "size")
     edge = placed.filter(inside).withColumn("so_far", F.col("before") + F.sum("size").over(within))
     edge = edge.withColumn("more", F.when(F.col("so_far") <= F.col("rest"), 1).otherwise(0))
     clear = placed.filter(~inside).withColumn("more", F.when(F.col("after") <= F.col("rest"), 1).otherwise(0))
-    columns = ["doc_id", "size", "sources", "source_size", "target", "whole", "rest", "more"]
+    columns = [*keys, "size", "sources", "source_size", "target", "whole", "rest", "more"]
     chosen = held.write(clear.select(*columns).unionByName(edge.select(*columns)), "chosen")
     # What is still missing goes to the largest document that fits, again to such a one, and then to the nearest if that helps.
     for turn, reach_of in enumerate((1, 1, 2)):
         gaps = chosen.groupBy("sources").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
         others = chosen.filter("more = 0 and size > 0").join(gaps, "sources").filter(F.col("size") < reach_of * F.col("gap") + int(reach_of == 1))
-        filler = others.groupBy("sources").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"), "doc_id", "size")).alias("f"))
-        filler = filler.select("sources", F.col("f.doc_id").alias("f_id"), F.col("f.size").alias("f_size"))
-        picked = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size"))
+        filler = others.groupBy("sources").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.xxhash64(*keys, "size", F.lit(seed)).alias("h"), *keys, "size")).alias("f"))
+        filler = filler.select("sources", F.col("f.size").alias("f_size"), *[F.col(f"f.{k}").alias(f"f_{k}") for k in keys])
+        picked = F.col("size") == F.col("f_size")
+        for k in keys:
+            picked = picked & F.col(k).eqNullSafe(F.col(f"f_{k}"))
         chosen = held.write(chosen.join(filler, "sources", "left").withColumn("more", F.when(picked, 1).otherwise(F.col("more"))).select(*columns), f"filled-{turn}")
-    return chosen.select("doc_id", "size", "sources", "source_size", "target", (F.col("size") * F.least(F.col("whole") + F.col("more"), F.lit(most))).alias("taken"))
+    return chosen.select(*keys, "size", "sources", "source_size", "target", (F.col("size") * F.least(F.col("whole") + F.col("more"), F.lit(most))).alias("taken"))
 
 
 def sized_documents(docs: DataFrame, held: kit.Durable) -> DataFrame:
@@ -189,6 +191,17 @@ def sized_documents(docs: DataFrame, held: kit.Durable) -> DataFrame:
     return held.write(docs.select("doc_id", word_count(F.col("text")).alias("size"), F.array("source").alias("sources")), "sized")
 
 
+def mixed(docs: DataFrame, held: kit.Durable) -> DataFrame:
+    """docs with each row as often as the mix takes it; rows of size 0 are not taken."""
+    tag = F.xxhash64("text")
+    sized = held.write(docs.select(kit.doc_key().alias("__vx_id"), tag.alias("__vx_tag"), word_count(F.col("text")).alias("size"), F.array("source").alias("sources")), "sized")
+    times = mix(sized, held, keys=("__vx_id", "__vx_tag")).filter("taken > 0").select("__vx_id", "__vx_tag", (F.col("taken") / F.col("size")).cast("int").alias("__vx_times"))
+    # Rows that agree in id and text are taken alike; a differing source would make another row of them.
+    times = times.groupBy("__vx_id", "__vx_tag").agg(F.max("__vx_times").alias("__vx_times"))
+    own = docs.withColumn("__vx_id", kit.doc_key()).withColumn("__vx_tag", tag).join(times, ["__vx_id", "__vx_tag"])
+    return own.withColumn("__vx_copy", F.explode(F.array_repeat(F.lit(0), F.col("__vx_times")))).select(*docs.columns)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = kit.Durable(spark, "mixing")
     docs = kit.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
