@@ -18,7 +18,9 @@ def greedy_dedup(hits: DataFrame, threshold: float = T.DUPLICATE, keys: tuple[st
     gathered in one row; the shingles of each are made once.
     """
     entry = F.struct("rank", "id", T.char_shingles(F.col("text")).alias("s"))
-    lists = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("l"))
+    # An explicit number of partitions, as lists are small in bytes but not in work, and would be merged into one task.
+    spread = hits.repartition(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    lists = spread.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("l"))
     kind = "struct<kept:array<struct<id:string,s:array<bigint>>>,dropped:array<struct<id:string,kept_id:string>>>"
     start = F.from_json(F.lit('{"kept":[],"dropped":[]}'), kind)
     ids = hits.schema["id"].dataType

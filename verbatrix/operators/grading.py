@@ -116,7 +116,8 @@ def declined(text: Column, n_citations: Column) -> Column:
 
 def judged(runs: DataFrame, questions: DataFrame, model: LanguageModel | None) -> DataFrame:
     """question_id and claims_score: the share of expected claims that the answer states; null if the reply cannot be read."""
-    joined = runs.join(questions.select(F.col("id").alias("question_id"), "category", "expected"), "question_id").filter("category in ('narrative', 'transcript') and size(expected.claims) > 0")
+    own = runs.select("question_id", "question", "answer_text")
+    joined = own.join(questions.select(F.col("id").alias("question_id"), "category", "expected"), "question_id").filter("category in ('narrative', 'transcript') and size(expected.claims) > 0")
     listed = F.array_join(F.transform("expected.claims", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c)), "\n")
     ask = F.concat(F.lit("Question:\n"), F.coalesce("question", F.lit("")), F.lit("\n\nAnswer:\n"), F.coalesce("answer_text", F.lit("")), F.lit("\n\nFacts:\n"), listed, F.lit("\n\nReply with a JSON array of booleans, one a fact, in order."))
     if model is None:
@@ -137,7 +138,7 @@ def claims_score(reply: Column, n: Column) -> Column:
 def grade(runs: DataFrame, questions: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """A row of grades for each run whose question is known. claims: what ``judged`` gives."""
     spec = questions.select(F.col("id").alias("question_id"), "category", "expected", "evidence")
-    g = runs.join(spec, "question_id")
+    g = runs.select("question_id", "answer_text", "resolved_citations").join(spec, "question_id")
     g = g.join(claims, "question_id", "left") if claims is not None else g.withColumn("claims_score", F.lit(None).cast("double"))
     cited = F.filter(F.coalesce("resolved_citations", F.array().cast(runs.schema["resolved_citations"].dataType)), lambda c: c["metadata"].isNotNull())
     name = lambda m: F.concat_ws("_", *[F.when(m[k] != "", m[k]) for k in ("company", "form", "period")])

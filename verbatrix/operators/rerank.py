@@ -22,7 +22,9 @@ def rerank(hits: DataFrame, queries: DataFrame, scorer: Scorer, top: int = 5) ->
     def score(query: pd.Series, passage: pd.Series) -> pd.Series:
         return pd.Series(scorer.score(list(zip(query, passage))), dtype="float64")
 
-    joined = hits.join(queries.select("query_id", "query"), "query_id")
-    scored = joined.withColumn("rerank_score", F.round(score("query", scoring_text(F.col("text"), F.col("kind"))), DIGITS)).drop("query")
+    # The passage is made below the join: a Python function is not planned over an argument with lambdas in it.
+    shown = hits.withColumn("__passage", scoring_text(F.col("text"), F.col("kind")))
+    joined = shown.join(queries.select("query_id", F.col("query").alias("__query")), "query_id")
+    scored = joined.withColumn("rerank_score", F.round(score("__query", "__passage"), DIGITS)).drop("__query", "__passage")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank"))
     return scored.withColumn("rerank_rank", place).filter(F.col("rerank_rank") <= top)

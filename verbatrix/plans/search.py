@@ -30,9 +30,11 @@ def search(queries: DataFrame, chunks: DataFrame, index: SparseIndex, embedder:
     """queries: query_id, query. chunks: id, ord, text, embedding and metadata columns."""
     about = chunks.select("id", "text", *[c for c in META if c in chunks.columns])
     asked = dense.embed(queries, embedder, "query") if "embedding" not in queries.columns else queries
-    near, _ = fusion.greedy_dedup(dense.search(asked, chunks, n, filters).join(about, "id"))
-    said, dropped = fusion.greedy_dedup(sparse.search(index, queries, n, filters).join(about, "id"))
-    fused = fusion.reciprocal_rank_fusion([near, said]).join(about, "id")
+    # Lists hold n rows a query; each is read several times below, so it is kept rather than ranked anew.
+    near, _ = fusion.greedy_dedup(dense.search(asked, chunks, n, filters).join(about, "id").persist())
+    said, dropped = fusion.greedy_dedup(sparse.search(index, queries, n, filters).join(about, "id").persist())
+    near, said = near.persist(), said.persist()
+    fused = fusion.reciprocal_rank_fusion([near, said]).join(about, "id").persist()
     kept, more = fusion.greedy_dedup(fused)
     kept = kept if "kind" in kept.columns else kept.withColumn("kind", F.lit("narrative"))
     return SearchResult(near, said, kept, rerank.rerank(kept, queries, scorer, top), dropped.unionByName(more))
