@@ -35,7 +35,8 @@ TRAIN_CHARS = 20_000
 STEPS = 120
 RATE = 0.05
 RIDGE = 1e-3
-SLICE = 2 << 20
+#: Bytes of text whose characters are counted together.
+SLICE = 1 << 20
 
 #: Kinds of bytes: 0 lower, 1 upper, 2 digit, 3 blank, 4 above ASCII, 5 other control; each punctuation mark has its own.
 KIND = np.full(256, 5, np.int64)
@@ -80,21 +81,30 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, n_lines, lengths
 
 
-def with_neighbours(own: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
-    """Each line's features, then those of the line before and after (zero at a text's ends), the ends, and a constant."""
-    first = np.zeros(len(own), bool)
+def text_ends(n_lines: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are the first, and which the last of their text."""
+    first = np.zeros(n, bool)
     first[np.cumsum(n_lines) - n_lines] = True
-    last = np.append(first[1:], True)
-    out = np.zeros((len(own), WIDTH), np.float32)
-    out[:, :OWN] = own
-    out[1:, OWN : 2 * OWN] = own[:-1]
-    out[:-1, 2 * OWN : 3 * OWN] = own[1:]
-    out[first, OWN : 2 * OWN] = 0
-    out[last, 2 * OWN : 3 * OWN] = 0
-    out[:, -3:] = np.stack([first, last, np.ones(len(own))], axis=1)
+    return first, np.append(first[1:], True)[:n]
+
+
+def emissions(own: np.ndarray, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log odds of good over bad of each line: from its features, those of the lines before and after, the ends, and a constant."""
+    here, before, after = (own @ weights[: 3 * OWN].reshape(3, OWN).T).T
+    out = here + first * weights[-3] + last * weights[-2] + weights[-1]
+    out[1:] += np.where(first[1:], 0, before[:-1])
+    out[:-1] += np.where(last[:-1], 0, after[1:])
     return out
 
 
+def emission_slope(own: np.ndarray, first: np.ndarray, last: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The sum over lines of ``rest`` times the derivative of ``emissions`` by the weights."""
+    next_rest, last_rest = np.zeros_like(rest), np.zeros_like(rest)
+    next_rest[:-1] = np.where(first[1:], 0, rest[1:])
+    last_rest[1:] = np.where(last[:-1], 0, rest[:-1])
+    return np.concatenate([(own.T @ np.stack([rest, next_rest, last_rest], axis=1)).T.ravel(), [rest[first].sum(), rest[last].sum(), rest.sum()]])
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -108,8 +118,12 @@ class Model:
     constant: float | None = None
 
     def emissions(self, own: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
-        x = np.clip((own - self.centre) / self.scale, -8, 8)
-        return with_neighbours(x.astype(np.float32), n_lines) @ self.weights
+        return emissions(self.scaled(own), *text_ends(n_lines, len(own)), self.weights)
+
+    def scaled(self, own: np.ndarray) -> np.ndarray:
+        out = own - self.centre
+        out /= self.scale
+        return np.clip(out, -8, 8, out=out)
 
 
 def chains(n_lines: np.ndarray):
@@ -168,9 +182,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if len(set(labels)) < 2:
         flat = np.zeros(OWN, np.float32)
         return Model(np.zeros(WIDTH, np.float32), np.zeros((2, 2)), flat, flat + 1, constant=float((y.sum() + 1) / (len(y) + 2)))
-    own, n_lines, lengths = line_features(pa.array(texts, pa.string()))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    parts = [line_features(pa.array(texts[a:b], pa.string())) for a, b in kit.row_slices(sizes, SLICE)]
+    own, n_lines, lengths = (np.concatenate(p) for p in zip(*parts))
     model = Model(np.zeros(WIDTH, np.float32), np.zeros((2, 2)), own.mean(axis=0), own.std(axis=0) + 1e-3)
-    x = with_neighbours(np.clip((own - model.centre) / model.scale, -8, 8).astype(np.float32), n_lines)
+    x, ends = model.scaled(own), text_ends(n_lines, len(own))
     label = np.repeat(y, n_lines)
     seen = np.zeros((2, 2))
     for value, n in zip(labels, n_lines):
@@ -178,14 +194,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     theta = [np.zeros(WIDTH), np.zeros((2, 2))]
     first, second = [np.zeros_like(p) for p in theta], [np.zeros_like(p) for p in theta]
     for turn in range(1, STEPS + 1):
-        marginal, expected, _ = forward_backward(x @ theta[0].astype(np.float32), n_lines, theta[1])
-        slope = [x.T @ (label - marginal).astype(np.float32) / len(x) - RIDGE * theta[0], (seen - expected) / len(x) - RIDGE * theta[1]]
+        marginal, expected, _ = forward_backward(emissions(x, *ends, theta[0].astype(np.float32)), n_lines, theta[1])
+        slope = [emission_slope(x, *ends, (label - marginal).astype(np.float32)) / len(x) - RIDGE * theta[0], (seen - expected) / len(x) - RIDGE * theta[1]]
         for i, g in enumerate(slope):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
             theta[i] = theta[i] + RATE * (first[i] / (1 - 0.9**turn)) / (np.sqrt(second[i] / (1 - 0.99**turn)) + 1e-8)
     model.weights, model.moves = theta[0].astype(np.float32), theta[1]
-    share = good_share(forward_backward(x @ model.weights, n_lines, model.moves)[0], lengths, n_lines)
+    share = good_share(forward_backward(emissions(x, *ends, model.weights), n_lines, model.moves)[0], lengths, n_lines)
     # Newton's steps for the curve; the two labels weigh alike, and a ridge keeps it finite where they are separable.
     z, w = np.stack([share - 0.5, np.ones(len(share))], axis=1), np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     curve = np.zeros(2)
