@@ -37,4 +37,4 @@ def search(queries: DataFrame, chunks: DataFrame, index: SparseIndex, embedder:
     fused = fusion.reciprocal_rank_fusion([near, said]).join(about, "id").persist()
     kept, more = fusion.greedy_dedup(fused)
     kept = kept if "kind" in kept.columns else kept.withColumn("kind", F.lit("narrative"))
-    return SearchResult(near, said, kept, rerank.rerank(kept, queries, scorer, top), dropped.unionByName(more))
+    return SearchResult(near, said, kept, rerank.rerank(kept, queries, scorer, top).persist(), dropped.unionByName(more))
