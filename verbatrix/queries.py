@@ -280,14 +280,14 @@ _NUMBERS = ("1", "1A", "2", "3")
 def filings(spark, sf_dir, order=(0, 1, 2, 3)) -> DataFrame:
     """doc_id and text; ``order`` is that of the headings over the bodies."""
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    parts = docs.select(F.floor(F.col("doc_id") / 4).cast("string").alias("doc_id"), (F.col("doc_id") % 4).cast("int").alias("i"), F.rpad(F.substring("text", 1, 2000), 400, "x").alias("t"))
+    parts = docs.select(F.floor(F.col("doc_id") / 4).cast("string").alias("doc_id"), (F.col("doc_id") % 4).cast("int").alias("i"), F.when(F.length("text") < 400, F.rpad("text", 400, "x")).otherwise(F.col("text")).alias("t"))
     head = F.element_at(F.array(*[F.lit(_HEADS[k]) for k in order]), F.col("i") + 1)
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", F.concat(head, "t", F.lit(" ")).alias("s")))), lambda p: p["s"]), "")
     return parts.groupBy("doc_id").agg(F.concat(F.lit("".join(_HEADS)), body).alias("text"))
 
 
 _FILINGS = """
-WITH p AS (SELECT doc_id // 4 AS g, doc_id % 4 AS i, rpad(substr(text, 1, 2000), 400, 'x') AS t FROM documents WHERE text IS NOT NULL),
+WITH p AS (SELECT doc_id // 4 AS g, doc_id % 4 AS i, CASE WHEN length(text) < 400 THEN rpad(text, 400, 'x') ELSE text END AS t FROM documents WHERE text IS NOT NULL),
 h AS (SELECT *, ['Item 1. Business ', 'Item 1A. Risk Factors ', 'Item 2. Properties ', 'Item 3. Legal Proceedings '] AS heads FROM p),
 s AS (SELECT g, i, heads[i + 1] AS head, length(heads[i + 1]) + length(t) + 1 AS n FROM h),
 o AS (SELECT g, i, n, 84 + coalesce(sum(n) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(n) OVER (PARTITION BY g) + 84 AS len FROM s)
@@ -434,21 +434,18 @@ def page_blocks(spark, sf_dir):
     return documents.document_blocks(pages).select("doc_id", "source_order", "block_type", "block_id", "text")
 
 
-# Answers made of documents: a passage cited by the number that the row's id gives, then one by two numbers, then a year.
-_ANSWER = "substr(text, 1, 60) || ' [' || (doc_id % 7 + 1) || ']. More [' || (doc_id % 5 + 1) || ', ' || (doc_id % 3 + 1) || '][9] in [2025]. ' || CASE WHEN doc_id % 11 = 0 THEN 'It is missing.' ELSE 'End.' END"
-
-
+# Answers made of whole documents: the text cited by the number that the row's id gives, then one by two numbers, then a year.
 def _answers(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("text is not null").filter(~F.col("text").rlike(r"\[\d"))
+    d = table(spark, sf_dir, "documents").filter("text is not null")
     number = lambda k: (F.col("doc_id") % k + 1).cast("string")
     end = F.when(F.col("doc_id") % 11 == 0, "It is missing.").otherwise("End.")
-    text = F.concat(F.substring("text", 1, 60), F.lit(" ["), number(7), F.lit("]. More ["), number(5), F.lit(", "), number(3), F.lit("][9] in [2025]. "), end)
+    text = F.concat(F.translate("text", "[]", "()"), F.lit(" ["), number(7), F.lit("]. More ["), number(5), F.lit(", "), number(3), F.lit("][9] in [2025]. "), end)
     context = F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: i.cast("int")), F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.lit("c"), i.cast("string"))))
     return d.select(F.col("doc_id").alias("query_id"), text.alias("answer_text"), context.alias("citation_map"))
 
 
 _CITED = r"""
-WITH a AS (SELECT doc_id, CAST(doc_id % 7 + 1 AS INTEGER) AS x, CAST(doc_id % 5 + 1 AS INTEGER) AS y, CAST(doc_id % 3 + 1 AS INTEGER) AS z FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '\[[0-9]')),
+WITH a AS (SELECT doc_id, CAST(doc_id % 7 + 1 AS INTEGER) AS x, CAST(doc_id % 5 + 1 AS INTEGER) AS y, CAST(doc_id % 3 + 1 AS INTEGER) AS z FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, [x] || CASE WHEN y <> x THEN [y] ELSE [] END || CASE WHEN z <> x AND z <> y THEN [z] ELSE [] END || [9] AS n FROM a)
 """
 
