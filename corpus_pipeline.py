@@ -19,22 +19,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return jaccard_join.keep_one(docs, kit.Durable(spark, "pipeline-near-duplicates"))
+    return jaccard_join.keep_one(docs, kit.Durable(spark, "pipeline-near-duplicates", docs))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand earlier already; n_chars follows."""
-    return substring_dedup.without_repeats(docs, kit.Durable(spark, "pipeline-passages"))
+    return substring_dedup.without_repeats(docs, kit.Durable(spark, "pipeline-passages", docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, up to three times or not at all."""
-    return mixing.mixed(docs, kit.Durable(spark, "pipeline-mix"))
+    return mixing.mixed(docs, kit.Durable(spark, "pipeline-mix", docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and where they lie in sequences."""
-    return packing.pack(docs.select("doc_id", "text"), kit.Durable(spark, "pipeline-pack"), packing.tokenizer_path())
+    return packing.pack(docs.select("doc_id", "text"), kit.Durable(spark, "pipeline-pack", docs), packing.tokenizer_path())
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("mix", mix), ("pack", pack)]

@@ -85,8 +85,8 @@ def test_near_duplicates_on_odd_input(spark, held, odd, empty):
 
 def test_components_of_a_long_path(spark, held):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    assert {r.node: r.label for r in components.components(edges, held, "p").collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
-    assert components.components(edges.limit(0), held, "none").count() == 0
+    assert {r.node: r.label for r in components.components(edges, held).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    assert components.components(edges.limit(0), held).count() == 0
 
 
 def brute_removal(rows, width):

@@ -17,7 +17,7 @@ further work is on classes. Links are pairs of classes with a Jaccard similarity
    and within one no more than hold it together.
 
 Defined cases: texts of fewer than five words have one shingle, the whole sequence; null or blank texts have none and are
-linked with nothing, so component_id is doc_id. Rows that share an id are one document for the components. Null ids
+linked with nothing, so component_id is doc_id. Rows that share an id are judged each by its own text. Null ids
 yield a null component_id unless a linked document has an id. An empty table gives an empty result. Extra columns are
 ignored.
 """
@@ -203,23 +203,24 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
     """(doc_id, tag, n, sig) of every document, tag being a hash of its text, and (node, label) of classes that are linked to others."""
     spark, buckets = docs.sparkSession, kit.buckets_for(docs)
     # No name is kept for what is only read once: a live plan keeps its shuffle files.
-    found = held.write(docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(_send(width, buckets), MESSAGE).groupBy("bucket").applyInArrow(_count, FOUND), "found")
+    found = held.write(docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(kit.lean(_send(width, buckets)), MESSAGE).groupBy("bucket").applyInArrow(kit.lean_group(_count), FOUND), "found")
     held.sweep()
     members = found.filter("kind = 1").select("doc_id", "tag", "n", "sig")
     sets = held.write(
         found.filter("kind = 0").groupBy("sig", "n").agg(F.sum(F.length("keys") / 8).alias("m"), F.collect_list(F.struct("keys", "counts")).alias("parts"))
         .filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n")).select("sig", "n", "parts")
-        .mapInArrow(_order(percent), "sig binary, n int, own int, keys array<long>, place array<double>"),
+        .mapInArrow(kit.lean(_order(percent)), "sig binary, n int, own int, keys array<long>, place array<double>"),
         "sets",
+        small=True,
     )
-    members = held.write(members, "members")
+    members = held.write(members, "members", small=True)
     held.drop("found")
     prefix = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1
     heads = sets.select("sig", "n", "own", F.posexplode(F.slice("keys", 1, F.greatest(prefix - F.col("own"), F.lit(0)).cast("int"))).alias("i", "key"))
-    postings = held.write(heads.select("key", "sig", "n", "own", "i"), "postings")
+    postings = held.hold(heads.select("key", "sig", "n", "own", "i"))
 
     size = F.least(F.greatest(prefix - F.col("own"), F.lit(0)), F.size("keys")).cast("int")
-    first_parts = held.write(sets.select("sig", "n", size.alias("size"), (F.col("n") - F.col("own") - size).alias("after"), F.slice("keys", 1, size).alias("part"), F.get("place", size - 1).alias("last")), "prefixes")
+    first_parts = held.hold(sets.select("sig", "n", size.alias("size"), (F.col("n") - F.col("own") - size).alias("after"), F.slice("keys", 1, size).alias("part"), F.get("place", size - 1).alias("last")))
 
     edges = [F.lit(k / FRAGMENTS) for k in range(1, FRAGMENTS)]
     cuts = sets.select(F.explode("place").alias("p")).agg(F.percentile_approx("p", F.array(*edges), F.lit(1000)).alias("cuts")).head().cuts or []
@@ -232,11 +233,11 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
         .filter("stop > start")
         .select("sig", "n", "fragment", F.slice("keys", F.col("start") + 1, F.col("stop") - F.col("start")).alias("part"))
     )
-    segments = held.write(segments, "segments")
+    segments = held.hold(segments)
 
     lengths_fit = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     is_link = _enough(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)
-    verified = lambda pairs, name: held.write(overlaps(promising(pairs.distinct(), first_parts, percent), segments).filter(is_link).select("a", "b"), name)
+    verified = lambda pairs: held.hold(overlaps(promising(pairs.distinct(), first_parts, percent), segments).filter(is_link).select("a", "b"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
     def spokes(over: DataFrame) -> DataFrame:
@@ -245,21 +246,21 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
         hubs = hubs.select("key", "h.own", "h.hub", "h.hub_n", F.col("h.label").alias("hub_label")).withColumnRenamed("own", "hub_own")
         return over.join(hubs, "key").filter((F.col("sig") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & lengths_fit(F.col("n"), F.col("hub_n")))
 
-    def unresolved(labels: DataFrame, name: str) -> DataFrame:
+    def unresolved(labels: DataFrame) -> DataFrame:
         """The postings of shingles whose classes are not all linked yet."""
         placed = postings.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
         open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        return held.write(placed.join(open_keys, "key", "left_semi"), name)
+        return held.hold(placed.join(open_keys, "key", "left_semi"))
 
     none = spark.createDataFrame([], "node binary, label binary")
-    least_hub = spokes(unresolved(none, "open-1")).groupBy("sig").agg(F.min(F.struct("hub_own", "hub")).alias("h"))
-    links = verified(least_hub.select(*pair(F.col("sig"), F.col("h.hub"))), "links-1")
-    labels = components(links, held, "components-1")
-    for turn, meet in ((2, lambda x: spokes(x).select(*pair(F.col("sig"), F.col("hub")))), (3, lambda x: _across(x, lengths_fit, percent).select(*pair(F.col("x.sig"), F.col("y.sig"))))):
-        more = verified(meet(unresolved(labels, f"open-{turn}")), f"links-{turn}")
+    least_hub = spokes(unresolved(none)).groupBy("sig").agg(F.min(F.struct("hub_own", "hub")).alias("h"))
+    links = verified(least_hub.select(*pair(F.col("sig"), F.col("h.hub"))))
+    labels = components(links, held)
+    for meet in (lambda x: spokes(x).select(*pair(F.col("sig"), F.col("hub"))), lambda x: _across(x, lengths_fit, percent).select(*pair(F.col("x.sig"), F.col("y.sig")))):
+        more = verified(meet(unresolved(labels)))
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = components(links, held, f"components-{turn}")
+            labels = components(links, held)
     return members, labels
 
 
@@ -278,7 +279,7 @@ def _labelled(docs: DataFrame, held: kit.Durable, percent: int, width: int) -> D
     """doc_id, tag, n and label of every document; texts of one label are linked. Without shingles the label is null."""
     members, labels = similar_classes(docs, held, percent, width)
     named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    return held.write(named.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label")), "named")
+    return held.hold(named.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label")))
 
 
 def near_duplicates(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -302,4 +303,18 @@ def keep_one(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kit.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs, kit.Durable(spark, "jaccard-join"))
+    return near_duplicates(docs, kit.Durable(spark, "jaccard-join", docs))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS o FROM e a JOIN e b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS (SELECT a, b FROM o WHERE 100 * o >= 80 * (na + nb - o) UNION ALL SELECT b, a FROM o WHERE 100 * o >= 80 * (na + nb - o)),
+r AS (SELECT doc_id, doc_id AS reach FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach)
+SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(reach) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id
+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -11,13 +13,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters outside these six; everything else, Unicode spaces included, belongs to words.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Texts are cut into slices of about this many bytes before they are turned into arrays, so memory follows the slice, not the batch.
 SLICE_BYTES = 4 << 20
+#: A small table gets one file for so many bytes of the operator's input.
+SMALL_FILES_EACH = 256 << 20
 #: Stands for a null doc_id where ids are packed into arrays: nulls sort after every id.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -42,17 +46,25 @@ class Durable:
     until the folder is cleaned; the others go with ``drop``, which also lets Spark delete the shuffle files behind them.
     """
 
-    def __init__(self, spark: SparkSession, operator: str):
+    def __init__(self, spark: SparkSession, operator: str, like: DataFrame | None = None):
+        """``like`` is the operator's input: tables that are written as small have few files for each of its gigabytes."""
         self.spark, self.root = spark, f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
+        self.few, self.held = max(3, planned_bytes(like) // SMALL_FILES_EACH) if like is not None else 3, 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
         path = f"{self.root}/{name}"
+        df = df.coalesce(self.few) if small else df
         df.write.option("compression", "zstd").parquet(path)
         schema = df.schema
         del df
         gc.collect()
         return self.spark.read.schema(schema).parquet(path)
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """``write`` of a small table under a number; for those of iterations, whose plans would grow otherwise."""
+        self.held += 1
+        return self.write(df, f"held-{self.held}", small=True)
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
@@ -85,6 +97,34 @@ def buckets_for(df: DataFrame, bytes_each: int = 16 << 20, most: int = 1 << 17)
     return max(8, least, min(most, planned_bytes(df) // bytes_each))
 
 
+def tidy() -> None:
+    """Give free memory back to the system; workers stay for a while after their task, and then hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """A function over batches that leaves its worker with little memory."""
+
+    def batches(source):
+        yield from run(source)
+        tidy()
+
+    return batches
+
+
+def lean_group(run):
+    """A function of a group that leaves its worker with little memory."""
+
+    def group(table):
+        out = run(table)
+        tidy()
+        return out
+
+    return group
+
+
 def row_slices(lengths: np.ndarray, most: int = SLICE_BYTES):
     """Consecutive row ranges of about ``most`` bytes; a longer text gets a range of its own."""
     ends, start = np.cumsum(lengths), 0
@@ -101,7 +141,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
     lengths = np.asarray(pc.binary_length(texts)).astype(np.int64) + 1
     for start, stop in row_slices(lengths, most):
         yield batch.slice(start, stop - start), texts.slice(start, stop - start)
-        pa.default_memory_pool().release_unused()
+        tidy()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -193,6 +233,17 @@ def doc_key(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(int(NULL_ID)))
 
 
+def least_hashed(df: DataFrame, by: str, key: str, most: int, shares: int = 256) -> DataFrame:
+    """For each value of ``by``, the ``most`` rows of the least hash of ``key``; ties go to the lesser key.
+
+    Each share of a group is ranked by itself first, so that no task sees more of a group than its share, or what shares kept.
+    """
+    h = F.xxhash64(key)
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(h, key))
+    first = df.withColumn("__vx_share", F.pmod(h, F.lit(shares))).withColumn("__vx_r", rank(by, "__vx_share")).filter(F.col("__vx_r") <= most)
+    return first.withColumn("__vx_r", rank(by)).filter(F.col("__vx_r") <= most).drop("__vx_share", "__vx_r")
+
+
 def hash_fold(name: str, parts: int):
     """crc32 of the id as text, modulo ``parts``: the fold a document falls into."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % parts

@@ -119,10 +119,9 @@ def _train(batches):
 def profiles(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, list[int]]:
     """The ranked n-grams of each language. What reaches the driver is ``PROFILE`` numbers a language."""
     usable = docs.filter("lang is not null and text is not null and doc_id is not null").filter(kit.hash_fold("doc_id", FOLDS) != HELD_OUT)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("doc_id", "lang").distinct()
+    chosen = kit.least_hashed(usable.select("doc_id", "lang"), "lang", "doc_id", per_language).distinct()
     sample = usable.select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(chosen, ["doc_id", "lang"], "left_semi")
-    counts = sample.select("lang", "text").mapInArrow(_train, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.select("lang", "text").mapInArrow(kit.lean(_train), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= PROFILE)
     out: dict[str, list[int]] = {}
     for row in ranked.orderBy("lang", "r").select("lang", "gram").collect():
@@ -162,7 +161,7 @@ def _predict(learned: dict[str, list[int]]):
 def identify(docs: DataFrame, learned: dict[str, list[int]]) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every text."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(kit.hash_fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    return read.mapInArrow(_predict(learned), "doc_id long, held_out boolean, lang_pred string, score double")
+    return read.mapInArrow(kit.lean(_predict(learned)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

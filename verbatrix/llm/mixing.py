@@ -144,7 +144,7 @@ def mix(sized: DataFrame, held: kit.Durable, weights=WEIGHTS, most: int = MOST,
     spark = sized.sparkSession
     cell = F.pmod(F.xxhash64(*keys, "size", F.lit(seed)), F.lit(CELLS))
     named = sized.select(*keys, "size", "sources", cell.alias("cell"))
-    cells = held.write(named.groupBy("sources", "cell").agg(F.sum("size").alias("size")), "cells")
+    cells = held.hold(named.groupBy("sources", "cell").agg(F.sum("size").alias("size")))
     patterns = {tuple(r.sources): int(r.size) for r in cells.groupBy("sources").agg(F.sum("size").alias("size")).collect()}
     sizes: dict = defaultdict(int)
     for p, size in patterns.items():
@@ -172,7 +172,7 @@ def mix(sized: DataFrame, held: kit.Durable, weights=WEIGHTS, most: int = MOST,
     edge = edge.withColumn("more", F.when(F.col("so_far") <= F.col("rest"), 1).otherwise(0))
     clear = placed.filter(~inside).withColumn("more", F.when(F.col("after") <= F.col("rest"), 1).otherwise(0))
     columns = [*keys, "size", "sources", "source_size", "target", "whole", "rest", "more"]
-    chosen = held.write(clear.select(*columns).unionByName(edge.select(*columns)), "chosen")
+    chosen = held.hold(clear.select(*columns).unionByName(edge.select(*columns)))
     # What is still missing goes to the largest document that fits, again to such a one, and then to the nearest if that helps.
     for turn, reach_of in enumerate((1, 1, 2)):
         gaps = chosen.groupBy("sources").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
@@ -182,7 +182,7 @@ def mix(sized: DataFrame, held: kit.Durable, weights=WEIGHTS, most: int = MOST,
         picked = F.col("size") == F.col("f_size")
         for k in keys:
             picked = picked & F.col(k).eqNullSafe(F.col(f"f_{k}"))
-        chosen = held.write(chosen.join(filler, "sources", "left").withColumn("more", F.when(picked, 1).otherwise(F.col("more"))).select(*columns), f"filled-{turn}")
+        chosen = held.hold(chosen.join(filler, "sources", "left").withColumn("more", F.when(picked, 1).otherwise(F.col("more"))).select(*columns))
     return chosen.select(*keys, "size", "sources", "source_size", "target", (F.col("size") * F.least(F.col("whole") + F.col("more"), F.lit(most))).alias("taken"))
 
 
@@ -203,6 +203,6 @@ def mixed(docs: DataFrame, held: kit.Durable) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = kit.Durable(spark, "mixing")
     docs = kit.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    held = kit.Durable(spark, "mixing", docs)
     return mix(sized_documents(docs, held), held).drop("sources")

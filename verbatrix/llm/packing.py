@@ -181,7 +181,7 @@ def _first_fit(capacity: int):
 def pack(docs: DataFrame, held: kit.Durable, path: str, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, class and sequence_length (with padding)."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("copy"))
-    pieces = held.write(read.mapInArrow(_pieces(path, capacity), PIECE), "pieces")
+    pieces = held.write(read.mapInArrow(kit.lean(_pieces(path, capacity)), PIECE), "pieces")
     counts = pieces.groupBy("class").agg(F.count("*").alias("c")).agg(F.max("c").alias("c")).head().c or 0
     workers = max(1, min(WORKERS, counts // PIECES_PER_WORKER))
     order = ["doc_id", "start", "copy"]
@@ -194,8 +194,8 @@ def pack(docs: DataFrame, held: kit.Durable, path: str, capacity: int = CAPACITY
         return df.withColumn("bin", F.floor(F.col("i") / F.col("class"))).withColumn("full", F.col("bin") < F.floor(F.col("of") / F.col("class")))
 
     share = F.pmod(F.xxhash64("doc_id", "start", "copy"), F.lit(workers)).cast("int")
-    first = held.write(fill(pieces.withColumn("worker", share), "class", "worker").select(*columns, "worker", "bin", "full"), "first")
-    second = held.write(fill(first.filter("not full").select(*columns), "class").select(*columns, F.lit(-1).alias("worker"), "bin", "full"), "second")
+    first = held.hold(fill(pieces.withColumn("worker", share), "class", "worker").select(*columns, "worker", "bin", "full"))
+    second = held.hold(fill(first.filter("not full").select(*columns), "class").select(*columns, F.lit(-1).alias("worker"), "bin", "full"))
     place = Window.partitionBy("class", "worker", "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(place), F.lit(0)).alias("offset")
     harmonic = first.filter("full").unionByName(second.filter("full")).select(*columns, "worker", "bin", offset)
@@ -217,4 +217,4 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kit.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, kit.Durable(spark, "packing"), tokenizer_path())
+    return pack(docs, kit.Durable(spark, "packing", docs), tokenizer_path())

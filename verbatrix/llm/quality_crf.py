@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kit
@@ -217,8 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """Fit on the bounded sample of labelled texts. What reaches the driver is that sample."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").filter(kit.hash_fold("doc_id", FOLDS) != HELD_OUT)
     agreed = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
-    first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = agreed.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_class).select(F.col("doc_id").alias("__vx_id"), F.col("quality").alias("__vx_quality"))
+    chosen = kit.least_hashed(agreed, "quality", "doc_id", per_class).select(F.col("doc_id").alias("__vx_id"), F.col("quality").alias("__vx_quality"))
     read = docs.select(F.col("doc_id").alias("id"), F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS).alias("text"))
     sample = read.join(F.broadcast(chosen), F.col("id") == F.col("__vx_id")).select("id", "text", F.col("__vx_quality").alias("quality"))
     rows = sample.orderBy("id", "text").limit(2 * per_class).toArrow()
@@ -245,7 +244,7 @@ def _score(model: Model, names: list[str]):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every text."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(kit.hash_fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    scored = read.mapInArrow(_score(model, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double")
+    scored = read.mapInArrow(kit.lean(_score(model, ["doc_id", "held_out"])), "doc_id long, held_out boolean, score double")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -260,7 +259,7 @@ def _accept(model: Model):
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose text is predicted to be good, with all their columns."""
-    return docs.mapInArrow(_accept(model), docs.schema)
+    return docs.mapInArrow(kit.lean(_accept(model)), docs.schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op7_language_id": language_id.op7_language_id,
+    "op6_substring_dedup": substring_dedup.SQL,
     "op8_vector_search": vector_search.SQL,
+    "op10_jaccard_join": jaccard_join.SQL,
 }

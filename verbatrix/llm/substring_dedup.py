@@ -238,12 +238,12 @@ def repeated_starts(docs: DataFrame, held: kit.Durable, width: int = WINDOW) ->
     buckets = kit.buckets_for(docs)
 
     def answered(messages: DataFrame, judge, dtype) -> DataFrame:
-        return messages.groupBy("bucket").applyInArrow(judge(buckets), ANSWERS).groupBy("home").applyInArrow(_by_text(dtype), FOUND)
+        return messages.groupBy("bucket").applyInArrow(kit.lean_group(judge(buckets)), ANSWERS).groupBy("home").applyInArrow(kit.lean_group(_by_text(dtype)), FOUND)
 
     # No name is kept for what is only read once: a live plan keeps its shuffle files.
-    keys = held.write(answered(texts.mapInArrow(_send_keys(width, buckets), MESSAGE), _repeated_keys, np.uint64), "keys")
+    keys = held.write(answered(texts.mapInArrow(kit.lean(_send_keys(width, buckets)), MESSAGE), _repeated_keys, np.uint64), "keys", small=True)
     held.sweep()
-    starts = held.write(answered(texts.join(keys, ["id", "tag"]).mapInArrow(_send_windows(width, buckets), MESSAGE), _later_windows, np.uint32), "starts")
+    starts = held.write(answered(texts.join(keys, ["id", "tag"]).mapInArrow(kit.lean(_send_windows(width, buckets)), MESSAGE), _later_windows, np.uint32), "starts", small=True)
     held.drop("keys")
     return starts
 
@@ -308,7 +308,7 @@ def _with_starts(docs: DataFrame, starts: DataFrame, columns: list[str]) -> Data
 
 def digests(docs: DataFrame, held: kit.Durable, width: int = WINDOW) -> DataFrame:
     starts = repeated_starts(docs, held, width)
-    return _with_starts(docs, starts, ["doc_id", "text"]).mapInArrow(_digest(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_starts(docs, starts, ["doc_id", "text"]).mapInArrow(kit.lean(_digest(width)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, held: kit.Durable, width: int = WINDOW) -> DataFrame:
@@ -317,7 +317,7 @@ def without_repeats(docs: DataFrame, held: kit.Durable, width: int = WINDOW) ->
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed_rest = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in other]).alias("rest")) if other else docs.select("doc_id", "text")
     columns = packed_rest.columns
-    cut = _with_starts(packed_rest, starts, columns).mapInArrow(_cut(width), packed_rest.schema)
+    cut = _with_starts(packed_rest, starts, columns).mapInArrow(kit.lean(_cut(width)), packed_rest.schema)
     value = {"doc_id": F.col("doc_id"), "text": F.col("text"), **{c: F.col("rest").getField(c) for c in other}}
     if "n_chars" in value:
         value["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
@@ -326,4 +326,17 @@ def without_repeats(docs: DataFrame, held: kit.Durable, width: int = WINDOW) ->
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kit.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(docs, kit.Durable(spark, "substring-dedup"))
+    return digests(docs, kit.Durable(spark, "substring-dedup", docs))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS h FROM p),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS n FROM k) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, s + j AS pos FROM r, (SELECT unnest(range(20)) AS j)),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+y AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM x ANTI JOIN c USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id)
+"""

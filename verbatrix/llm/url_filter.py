@@ -94,7 +94,7 @@ def templates(urls: DataFrame, held: kit.Durable) -> DataFrame:
     Works on one row per host and shape, written after each level, so that plans stay short.
     """
     nodes = urls.select("host", shapes(urls).alias("shape"), "label").groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-    nodes = held.write(nodes.withColumn("template", F.lit("")), "level-0")
+    nodes = held.hold(nodes.withColumn("template", F.lit("")))
     deepest = nodes.agg(F.max(F.size(F.array_remove("shape", "")))).head()[0] or 0
     for i in range(min(LEVELS, deepest)):
         own, after = F.get("shape", F.lit(i)), F.get("shape", F.lit(i + 1))
@@ -112,7 +112,7 @@ def templates(urls: DataFrame, held: kit.Durable) -> DataFrame:
         named = joined.select("host", "template", "segment", step.alias("step"))
         longer = F.when(F.col("step") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))
         level = nodes.withColumn("segment", own).join(named, ["host", "template", "segment"]).select("host", "shape", "n", "known", "bad", longer.alias("template"))
-        nodes = held.write(level, f"level-{i + 1}")
+        nodes = held.hold(level)
     return nodes.withColumn("template", F.concat("template", F.get("shape", F.lit(LEVELS))))
 
 
@@ -136,7 +136,7 @@ def judge(pages: DataFrame, held: kit.Durable, rules=RULES, labels: DataFrame |
         ruled = ruled.join(given, "page_id", "left")
         own = F.coalesce(own, F.col("given"))
     nodes = templates(ruled.withColumn("label", own), held)
-    named = held.write(nodes.join(purity(nodes), ["host", "template"]).select("host", "shape", "template", "purity", "covered"), "named")
+    named = held.hold(nodes.join(purity(nodes), ["host", "template"]).select("host", "shape", "template", "purity", "covered"))
     out = ruled.withColumn("shape", shapes(ruled)).join(named, ["host", "shape"], "left")
     rejected = (F.col("purity") >= REJECT) & (F.col("covered") >= COVERED)
     verdict = F.coalesce("decided", F.when(rejected, F.lit("block")).otherwise(F.lit("allow")))
@@ -144,4 +144,5 @@ def judge(pages: DataFrame, held: kit.Durable, rules=RULES, labels: DataFrame |
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(kit.table(spark, sf_dir, "pages").select("page_id", "url"), kit.Durable(spark, "url-filter"))
+    pages = kit.table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, kit.Durable(spark, "url-filter", pages))

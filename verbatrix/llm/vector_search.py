@@ -116,11 +116,11 @@ def top_k(queries: DataFrame, shards: DataFrame, k: int = K) -> DataFrame:
     across = max(1, math.ceil(cells / down))
     tile = "dim int, ids binary, matrix binary"
     dealt = lambda df, parts: df.repartition(parts, F.xxhash64("vec_id"))
-    left = dealt(queries, down).mapInArrow(_tiles(QUERY_TILE), tile).select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.pmod(F.xxhash64("ids"), F.lit(down)).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("c"))
-    right = dealt(shards, across).mapInArrow(_tiles(SHARD_TILE), tile).select("dim", "ids", "matrix", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("r"), F.pmod(F.xxhash64("ids"), F.lit(across)).alias("c"))
+    left = dealt(queries, down).mapInArrow(kit.lean(_tiles(QUERY_TILE)), tile).select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.pmod(F.xxhash64("ids"), F.lit(down)).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("c"))
+    right = dealt(shards, across).mapInArrow(kit.lean(_tiles(SHARD_TILE)), tile).select("dim", "ids", "matrix", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("r"), F.pmod(F.xxhash64("ids"), F.lit(across)).alias("c"))
     cell = (F.col("r") * across + F.col("c")).cast("int").alias("cell")
     pairs = left.select("dim", "q_ids", "q_matrix", cell).hint("shuffle_merge").join(right.select("dim", "ids", "matrix", cell), ["cell", "dim"])
-    lists = pairs.mapInArrow(_multiply(k), "query_id long, vec_id long, score long, cell int")
+    lists = pairs.mapInArrow(kit.lean(_multiply(k)), "query_id long, vec_id long, score long, cell int")
     best = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     per_cell = best(lists, "query_id", "cell").drop("rank")
     return best(per_cell, "query_id").select("query_id", "rank", "vec_id", "score")
