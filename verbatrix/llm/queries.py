@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, mixing, packing, quality_crf, quality_rules, substring_dedup, url_filter, vector_search
+from . import jaccard_join, language_id, license_scan, mixing, packing, quality_crf, quality_rules, substring_dedup, url_filter, vector_search
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_mixing": mixing.op3_mixing,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_quality_classifier": quality_crf.op5_quality_classifier,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_language_id": language_id.op7_language_id,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op4_license_scan": license_scan.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op8_vector_search": vector_search.SQL,
     "op10_jaccard_join": jaccard_join.SQL,
