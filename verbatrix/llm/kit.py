@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters outside these six; everything else, Unicode spaces included, belongs to words.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Texts are cut into slices of about this many bytes before they are turned into arrays, so memory follows the slice, not the batch.
-SLICE_BYTES = 4 << 20
-#: A small table gets one file for so many bytes of the operator's input.
+SLICE_BYTES = 2 << 20
+#: A table gets one file, and a small table one, for so many bytes of the operator's input.
+FILES_EACH = 32 << 20
 SMALL_FILES_EACH = 256 << 20
 #: Stands for a null doc_id where ids are packed into arrays: nulls sort after every id.
 NULL_ID = np.iinfo(np.int64).max
@@ -49,11 +50,12 @@ class Durable:
     def __init__(self, spark: SparkSession, operator: str, like: DataFrame | None = None):
         """``like`` is the operator's input: tables that are written as small have few files for each of its gigabytes."""
         self.spark, self.root = spark, f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
-        self.few, self.held = max(3, planned_bytes(like) // SMALL_FILES_EACH) if like is not None else 3, 0
+        size = planned_bytes(like) if like is not None else 0
+        self.few, self.some, self.held = max(3, size // SMALL_FILES_EACH), max(12, size // FILES_EACH), 0
 
     def write(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
         path = f"{self.root}/{name}"
-        df = df.coalesce(self.few) if small else df
+        df = df.coalesce(self.few if small else self.some)
         df.write.option("compression", "zstd").parquet(path)
         schema = df.schema
         del df

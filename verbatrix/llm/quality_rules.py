@@ -136,6 +136,6 @@ def judge(counts: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = kit.Durable(spark, "quality-rules")
-    counts = held.write(text_counts(kit.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), "counts")
+    docs = kit.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    counts = kit.Durable(spark, "quality-rules", docs).write(text_counts(docs), "counts")
     return judge(counts, cutoffs(counts, kit.table(spark, sf_dir, "labels")))
