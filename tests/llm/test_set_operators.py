@@ -64,6 +64,21 @@ def test_near_duplicates_match_brute_force(spark, held, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+@pytest.mark.parametrize("tile_keys", [jaccard_join.TILE_KEYS, 150])
+def test_all_links_are_counted(spark, held, monkeypatch, tile_keys):
+    """Each component has the number of all its links, between equal and between similar texts, however it is dealt into tiles."""
+    monkeypatch.setattr(jaccard_join, "TILE_KEYS", tile_keys)
+    monkeypatch.setattr(jaccard_join, "KEYS_AT_ONCE", 64)
+    rows = list(enumerate(near_texts(2)))
+    component = {i: c for i, (_, c) in brute_components(rows).items()}
+    want = dict.fromkeys(component.values(), 0)
+    for (i, a), (_, b) in combinations([(i, shingle_set(t)) for i, t in rows], 2):
+        want[component[i]] += bool(a and b and 100 * len(a & b) >= 80 * len(a | b))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), held).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {i: (c, want[c]) for i, c in component.items()}
+    assert max(want.values()) >= 10
+
+
 def test_near_duplicates_on_documents(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = jaccard_join.op10_jaccard_join(spark, small).collect()

@@ -15,15 +15,20 @@ further work is on classes. Links are pairs of classes with a Jaccard similarity
    class meets one hub; then the hubs of all its prefix shingles, and last all classes that share one, in both rounds only
    where the two are not linked yet, directly or through others. So every link between different components is found,
    and within one no more than hold it together.
+5. Where links are counted, all of them are: every link lies within a component, so each component's classes are dealt
+   into tiles, by length and then by hash, and all pairs of tiles whose lengths fit are compared, each class with each.
+   A link is between rows: classes of i and j equal texts that are similar have i * j, and a class of i has i * (i - 1) / 2.
 
 Defined cases: texts of fewer than five words have one shingle, the whole sequence; null or blank texts have none and are
-linked with nothing, so component_id is doc_id. Rows that share an id are judged each by its own text. Null ids
+linked with nothing, so component_id is doc_id and n_links 0. Rows that share an id are judged each by its own text. Null ids
 yield a null component_id unless a linked document has an id. An empty table gives an empty result. Extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +41,9 @@ from .components import components
 WIDTH = 5
 PERCENT = 80
 FRAGMENTS = 8
+#: Shingles of a tile, about, and how many of them are compared at once.
+TILE_KEYS = 100_000
+KEYS_AT_ONCE = 1024
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 MESSAGE = "bucket int, kind int, sigs binary, sizes binary, owner binary, key binary"
 FOUND = "kind int, doc_id long, tag long, n int, sig binary, keys binary, counts binary"
@@ -199,8 +207,8 @@ def promising(pairs: DataFrame, first_parts: DataFrame, percent: int) -> DataFra
     return shared.filter((F.col("o") > 0) & _enough(F.col("o") + after, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, tag, n, sig) of every document, tag being a hash of its text, and (node, label) of classes that are linked to others."""
+def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, tag, n, sig) of every document, tag being a hash of its text; (node, label) of classes that are linked to others; (sig, n, keys) of classes."""
     spark, buckets = docs.sparkSession, kit.buckets_for(docs)
     # No name is kept for what is only read once: a live plan keeps its shuffle files.
     found = held.write(docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(kit.lean(_send(width, buckets)), MESSAGE).groupBy("bucket").applyInArrow(kit.lean_group(_count), FOUND), "found")
@@ -261,7 +269,7 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links, held)
-    return members, labels
+    return members, labels, sets.select("sig", "n", "keys")
 
 
 def _across(still: DataFrame, lengths_fit, percent: int) -> DataFrame:
@@ -275,24 +283,99 @@ def _across(still: DataFrame, lengths_fit, percent: int) -> DataFrame:
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & fits)
 
 
-def _labelled(docs: DataFrame, held: kit.Durable, percent: int, width: int) -> DataFrame:
+def _overlaps_of_tiles(x_keys, x_owner, x_rows: int, y_keys, y_owner, y_rows: int) -> np.ndarray:
+    """How many shingles each class of one tile shares with each of the other: products of 0/1 matrices."""
+    both, out = np.intersect1d(x_keys, y_keys), np.zeros((x_rows, y_rows), np.int64)
+
+    def placed(keys, owner):
+        at = np.minimum(np.searchsorted(both, keys), max(len(both) - 1, 0))
+        there = np.flatnonzero(both[at] == keys) if len(both) else np.empty(0, np.int64)
+        there = there[np.argsort(at[there], kind="stable")]
+        return at[there], owner[there]
+
+    def matrix(at, owner, rows, start):
+        a, b = np.searchsorted(at, [start, start + KEYS_AT_ONCE])
+        one = np.zeros((rows, min(KEYS_AT_ONCE, len(both) - start)), np.float32)
+        one[owner[a:b], at[a:b] - start] = 1
+        return one
+
+    x, y = placed(x_keys, x_owner), placed(y_keys, y_owner)
+    for start in range(0, len(both), KEYS_AT_ONCE):
+        out += (matrix(*x, x_rows, start) @ matrix(*y, y_rows, start).T).astype(np.int64)
+    return out
+
+
+def _count_in_tiles(percent: int):
+    """label and links of each pair of tiles; within one tile each pair of classes counts once."""
+
+    def run(batches):
+        for batch in batches:
+            links = []
+            for i, same in enumerate(batch.column("same").to_pylist()):
+                n, copies, keys, owner = [], [], [], []
+                for side in "xy":
+                    cell = lambda c: np.asarray(batch.column(f"{c}_{side}")[i].values)  # noqa: B023, E731
+                    n.append(cell("ns").astype(np.int64)), copies.append(cell("copies")), keys.append(cell("keys"))
+                    owner.append(np.repeat(np.arange(len(n[-1])), cell("sizes")))
+                overlap = _overlaps_of_tiles(keys[0], owner[0], len(n[0]), keys[1], owner[1], len(n[1]))
+                link = (100 + percent) * overlap >= percent * (n[0][:, None] + n[1][None, :])
+                link = np.triu(link, 1) if same else link
+                links.append(int(copies[0] @ (link @ copies[1])))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(links, pa.int64())], ["label", "links"])
+
+    return run
+
+
+def count_links(members: DataFrame, labels: DataFrame, sets: DataFrame, held: kit.Durable, percent: int = PERCENT) -> DataFrame:
+    """label and n_links: the number of all pairs of rows of that label that are equal or similar."""
+    copies = held.hold(members.filter("n > 0").groupBy("sig").agg(F.count("*").alias("copies")))
+    label_of = labels.withColumnRenamed("node", "sig")
+    equal = copies.filter("copies > 1").join(label_of, "sig", "left").select(F.coalesce("label", "sig").alias("label"), F.expr("copies * (copies - 1) div 2").alias("links"))
+
+    # Linked lengths differ by less than a band, so they lie in one band or in two that meet; a little more is for rounding.
+    band = 1.001 * max(math.log(100 / percent), 0.01)
+    placed = held.write(sets.join(label_of, "sig").join(copies, "sig").withColumn("band", F.floor(F.log("n") / F.lit(band))), "placed", small=True)
+    weights = placed.groupBy("label", "band").agg(F.ceil(F.sum(F.size("keys")) / F.lit(TILE_KEYS)).alias("parts"))
+    # No more rows than shingles / TILE_KEYS.
+    large = F.broadcast(weights.filter("parts > 1"))
+    part = F.coalesce(F.pmod(F.xxhash64("sig"), "parts"), F.lit(0))
+    dealt = placed.join(large, ["label", "band"], "left").withColumn("part", part)
+    tiles = dealt.groupBy("label", "band", "part").agg(F.collect_list(F.struct("n", "copies", F.size("keys").alias("size"), "keys")).alias("s"))
+    tiles = held.write(tiles.select("label", "band", "part", F.col("s.n").alias("ns"), F.col("s.copies").alias("copies"), F.col("s.size").alias("sizes"), F.flatten("s.keys").alias("keys")), "tiles", small=True)
+    held.drop("placed")
+
+    side = lambda x, *columns: tiles.select("label", *[F.col(c).alias(f"{c}_{x}") for c in ("band", "part", *columns)])
+    order = (F.col("band_y") == F.col("band_x")) & (F.col("part_y") >= F.col("part_x")) | (F.col("band_y") == F.col("band_x") + 1)
+    pairs = held.hold(side("x").join(side("y"), "label").filter(order))
+    filled = ("ns", "copies", "sizes", "keys")
+    met = pairs.join(side("x", *filled), ["label", "band_x", "part_x"]).join(side("y", *filled), ["label", "band_y", "part_y"])
+    met = met.select("label", ((F.col("band_x") == F.col("band_y")) & (F.col("part_x") == F.col("part_y"))).alias("same"), *[f"{c}_{x}" for x in "xy" for c in filled])
+    similar = met.mapInArrow(kit.lean(_count_in_tiles(percent)), "label binary, links long")
+    return held.hold(equal.unionByName(similar).groupBy("label").agg(F.sum("links").alias("n_links")))
+
+
+def _labelled(members: DataFrame, labels: DataFrame, held: kit.Durable) -> DataFrame:
     """doc_id, tag, n and label of every document; texts of one label are linked. Without shingles the label is null."""
-    members, labels = similar_classes(docs, held, percent, width)
     named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
     return held.hold(named.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label")))
 
 
-def near_duplicates(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    named = _labelled(docs, held, percent, width)
+def near_duplicates(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width: int = WIDTH, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document and, if ``counted``, n_links: the number of all links of its component."""
+    members, labels, sets = similar_classes(docs, held, percent, width)
+    named = _labelled(members, labels, held)
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if counted:
+        least = least.join(count_links(members, labels, sets, held, percent), "label", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return named.join(least, "label", "left").select(*columns)
 
 
 def keep_one(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """docs with one row of each group of linked ones: that of the smallest id. Rows without words all stay."""
-    named = _labelled(docs, held, percent, width).withColumn("id", kit.doc_key())
+    members, labels, _ = similar_classes(docs, held, percent, width)
+    named = _labelled(members, labels, held).withColumn("id", kit.doc_key())
     first = named.filter("label is not null").groupBy("label").agg(F.min(F.struct("id", "tag")).alias("k")).select(F.col("k.id").alias("__vx_id"), F.col("k.tag").alias("__vx_tag"), F.lit(1).alias("__vx_most"))
     blank = named.filter("label is null").select(F.col("id").alias("__vx_id"), F.col("tag").alias("__vx_tag"), F.lit(None).cast("int").alias("__vx_most")).distinct()
     own = docs.withColumn("__vx_id", kit.doc_key()).withColumn("__vx_tag", F.xxhash64("text"))
@@ -303,7 +386,13 @@ def keep_one(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kit.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs, kit.Durable(spark, "jaccard-join", docs))
+    return near_duplicates(docs, kit.Durable(spark, "jaccard-join", docs), counted=False)
+
+
+def op10_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_jaccard_join with n_links as a further column, which that query's SQL does not have."""
+    docs = kit.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, kit.Durable(spark, "jaccard-links", docs))
 
 
 SQL = r"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_vector_search": vector_search.op8_vector_search,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op10_jaccard_links": jaccard_join.op10_jaccard_links,
 }
 
 SQL: dict[str, str] = {
