@@ -29,3 +29,44 @@ def test_layout_does_not_matter(spark, odd, empty):
     digest = lambda t: hashlib.sha256(plain(t).encode()).hexdigest()
     assert out == sorted(((r.doc_id, digest(r.text), table.get(digest(r.text))) for r in odd.collect()), key=str)
     assert license_scan.scan(empty, known).count() == 0 and license_scan.scan(docs, known.limit(0)).filter("license is not null").count() == 0
+
+
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>"""
+
+
+def test_whole_license_files_are_found(spark):
+    """License files as they are: a title, holders without a year, typographic marks, and licenses that are known by digest only."""
+    mit = license_scan.KNOWN[0][1]
+    quoted = mit.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u201cAS IS\u201d")
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Foo\n\n" + mit), (2, "Copyright Foo Inc.\n\n" + mit), (3, "The MIT License (MIT)\nCopyright Foo Inc.\nCopyright Bar\n" + mit), (4, quoted),
+        (5, UNLICENSE), (6, "The Unlicense\n\n" + UNLICENSE.replace(" - ", " \u2014 ")), (7, mit.replace("The above copyright", "The above\ncopyright")), (8, mit + "\n\nCopyright notice: none"), (9, "MIT License"), (10, "Copyright Foo Inc."), (11, UNLICENSE[:-30]),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan(docs, license_scan.known_licenses(spark), license_scan.DIGESTS).collect()
+    assert {r.doc_id: r.license for r in got} == {1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: "Unlicense", 6: "Unlicense", 7: "MIT", 8: None, 9: None, 10: None, 11: None}
+    assert all(r.digest == hashlib.sha256(plain(t).encode()).hexdigest() for r, (_, t) in zip(sorted(got), rows))
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0", "MIT", "ISC", "0BSD"} <= set(license_scan.DIGESTS.values())

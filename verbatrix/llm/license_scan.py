@@ -4,6 +4,11 @@ A text is brought to a canonical form: ASCII letters in lower case, copyright li
 as single blanks, equivalent spellings as one. The digest of the whole form is joined to the digests of known licenses. So
 a text is found if all of it is a license, whatever its layout, case, punctuation and copyright holder are.
 
+A text that is not found so is looked up by its loose form, in which typographic quotes, dashes and blanks are punctuation
+too, and copyright lines that only name a holder are taken out: those at the top, below a title at most, and those that are
+a paragraph of their own. ``license_digests`` holds digests of loose forms of the common full licenses, each with and without
+its title and with and without what follows its terms. The column ``digest`` is of the canonical form always.
+
 Known licenses are a small table, at most ``MOST_KNOWN`` rows by check, so it may be broadcast; texts are not shuffled.
 
 Defined cases: null, empty and blank texts have an empty form and no license. Repeated rows and null ids are judged one by
@@ -17,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kit
+from .license_digests import DIGESTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]|by\b|:)|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*$"
@@ -27,6 +33,12 @@ EQUIVALENT = (
     ("favour", "favor"), ("wilful", "willful"), ("fulfil ", "fulfill "), ("judgement", "judgment"), ("per cent", "percent"), ("http ", "https "),
 )
 MOST_KNOWN = 10_000
+#: Quotes, dashes, blanks, bullets and the like that are not ASCII.
+MARKS = "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f\u2032\u2033\u00ab\u00bb\u2039\u203a\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00ad\u2026\u2022\u00b7\u00a0\u2002\u2003\u2009\u200b\u202f\u3000\ufeff"
+_NAMED = r"[^a-z0-9\n]*copyright[ \t]+(?!(?:notice|holder|owner|law|license|permission|statement|protection|treat|interest|and|or|in|on|of|the|to|is|as|for)[a-z]*\b)[^\n]*"
+_BLANK = r"[^a-z0-9\n]*(?:\n|\z)"
+#: Lines that name a holder without a year: at the top, below a title at most, or as a paragraph of their own.
+HOLDER_LINES = (rf"\A((?:{_BLANK})*(?:[^\n]*licen[sc]e[^\n]*\n)?(?:[^a-z0-9\n]*\n)*)(?:{_NAMED}(?:\n|\z))+", rf"(\n[^a-z0-9\n]*\n)(?:{_NAMED}(?:\n|\z))+(?={_BLANK})")
 
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
@@ -58,14 +70,28 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, digest and license (null if the text is none) of every document. known: name, text."""
+def loose(text: Column) -> Column:
+    """The form of a text in which it is looked up if its canonical form is unknown."""
+    out = F.translate(F.coalesce(text, F.lit("")), UPPER + MARKS, LOWER + " " * len(MARKS))
+    out = F.regexp_replace(out, COPYRIGHT_LINE, "")
+    for lines in HOLDER_LINES:
+        out = F.regexp_replace(out, lines, "$1\n")
+    return canonical(out)
+
+
+def scan(docs: DataFrame, known: DataFrame, registered: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, digest and license (null if the text is none) of every document. known: name, text. registered: names by digests of loose forms."""
     forms = known.select("name", canonical(F.col("text")).alias("form")).filter("form <> ''")
     table = forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("name").alias("license"))
     if table.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
         raise ValueError(f"more than {MOST_KNOWN} known licenses")
-    own = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return own.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license")
+    more = known.select(F.col("name"), loose(F.col("text")).alias("form")).filter("form <> ''").select(F.sha2("form", 256).alias("loose"), "name")
+    if registered:
+        more = more.unionByName(docs.sparkSession.createDataFrame(sorted(registered.items()), "loose string, name string"))
+    more = more.groupBy("loose").agg(F.min("name").alias("by_loose"))
+    own = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(loose(F.col("text")), 256).alias("loose"))
+    found = own.join(F.broadcast(table), "digest", "left").join(F.broadcast(more), "loose", "left")
+    return found.select("doc_id", "digest", F.coalesce("license", "by_loose").alias("license"))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -73,7 +99,7 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(kit.table(spark, sf_dir, "documents").select("doc_id", "text"), known_licenses(spark))
+    return scan(kit.table(spark, sf_dir, "documents").select("doc_id", "text"), known_licenses(spark), DIGESTS)
 
 
 def _sql_form(column: str) -> str:
