@@ -300,6 +300,14 @@ def test_packing(spark, small, odd, empty):
     assert packing.pack(empty, kit.Durable(spark, "t"), packing.tokenizer_path()).count() == 0
 
 
+def test_sequence_numbers_differ(spark):
+    """Also those of the last worker of a class and of the second round (-1) of the next one."""
+    most = packing.WORKERS - 1
+    cells = [(k, w, b) for k in (1, 2, 3, packing.CAPACITY - 1, packing.CAPACITY) for w in (-1, 0, 1, most - 1, most) for b in (0, 1, 2**36 - 1)] + [(0, -2, 0), (0, -2, 5)]
+    rows = spark.createDataFrame(cells, "class int, worker int, bin long").select(packing.sequence_number(F.col("class"), F.col("worker"), F.col("bin")).alias("s")).collect()
+    assert len({r.s for r in rows}) == len(cells) and min(r.s for r in rows) >= 0
+
+
 def test_many_small_pieces_fill_bins_by_count(spark):
     docs = spark.createDataFrame([(i, "the cat sat on it") for i in range(3000)], "doc_id long, text string")
     rows = packing.pack(docs, kit.Durable(spark, "t"), packing.tokenizer_path()).collect()

@@ -29,7 +29,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kit
@@ -178,6 +178,11 @@ def _first_fit(capacity: int):
     return run
 
 
+def sequence_number(k: Column, worker: Column, bin_number: Column) -> Column:
+    """Tells class, worker and bin apart: 36 bits for the bin, 14 for the worker, which is -2 at least and less than ``WORKERS``; first fit's bins (-2) have class 0."""
+    return F.shiftleft(F.when(worker == -2, F.lit(0)).otherwise(k).cast("long"), 50) + F.shiftleft((worker + 2).cast("long"), 36) + bin_number
+
+
 def pack(docs: DataFrame, held: kit.Durable, path: str, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, class and sequence_length (with padding)."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("copy"))
@@ -201,9 +206,7 @@ def pack(docs: DataFrame, held: kit.Durable, path: str, capacity: int = CAPACITY
     harmonic = first.filter("full").unionByName(second.filter("full")).select(*columns, "worker", "bin", offset)
     last_schema = PIECE + ", worker int, bin long, offset long"
     last = second.filter("not full").select(*columns, F.lit(-2).alias("worker")).groupBy("worker").applyInPandas(lambda pdf: _first_fit(capacity)(pdf)[[*columns, "worker", "bin", "offset"]], last_schema)
-    # A sequence's number tells its class, worker and bin apart; first fit's bins have class 0.
-    number = F.shiftleft(F.when(F.col("worker") == -2, F.lit(0)).otherwise(F.col("class")).cast("long"), 48) + F.shiftleft((F.col("worker") + 2).cast("long"), 36) + F.col("bin")
-    packed = harmonic.unionByName(last).withColumn("sequence_id", number)
+    packed = harmonic.unionByName(last).withColumn("sequence_id", sequence_number(F.col("class"), F.col("worker"), F.col("bin")))
     filled = F.sum("length").over(Window.partitionBy("sequence_id"))
     power = F.bit_count(filled) == 1
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "class", F.when(power, filled).otherwise(F.lit(capacity)).cast("long").alias("sequence_length"))
