@@ -365,6 +365,15 @@ def test_templates_learn_from_labels(spark, held):
     assert {r.verdict for r in few} == {"allow"}
 
 
+@pytest.mark.parametrize("urls", [200, 2000])
+def test_few_labels_speak_for_their_template(spark, held, urls):
+    """Ten labels a branch decide, however many urls have none; what a rule blocks says nothing of its neighbours."""
+    pages = spark.createDataFrame([(i, f"http://h.io/{'spam' if i % 2 else 'news'}/{i}.html") for i in range(urls)] + [(-1 - i, f"http://a.example.com/{'de' if i < 5 else 'en'}/{i}") for i in range(50)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(20)], "page_id long, blocked boolean")
+    got = url_filter.judge(pages, held, labels=labels).collect()
+    assert len(got) == urls + 50 and all((r.verdict == "block") == ("/spam/" in r.path or r.path.startswith("/de/")) for r in got)
+
+
 def brute_search(rows, k=5):
     good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []

@@ -10,8 +10,10 @@ templates. A host's paths form a tree of segments, which is generalised level by
   urls among their labelled ones differs from the branch point's by a two-proportion test.
 
 Each template counts its labelled urls: those that a rule decided, or labels that are given. Its purity is the share of
-blocked ones among them, smoothed towards the table's share. A template is rejected if its purity reaches ``REJECT`` and
-at least ``COVERED`` of its urls are labelled, so that a few labels do not speak for many urls.
+blocked ones among them, smoothed towards the table's share. A template is rejected if its purity reaches ``REJECT`` and its
+labels bear that out: the lower confidence bound of the share of blocked ones among its given labels reaches ``MOST``, however
+many urls have no label, or at least ``COVERED`` of its urls are labelled. What rules decide is no sample of the other urls, so
+these labels count for the second condition only.
 
 Segments are counted before any shuffle, so a host with a third of all pages costs one row a distinct template.
 
@@ -40,6 +42,9 @@ APART = 2.58
 PRIOR = 4.0
 REJECT = 0.7
 COVERED = 0.5
+#: Standard errors of the lower bound (Wilson, 95 % one-sided), and what it must reach.
+BOUND = 1.645
+MOST = 0.5
 
 
 def lower_ascii(c: Column) -> Column:
@@ -89,11 +94,13 @@ def shapes(urls: DataFrame) -> DataFrame:
 
 
 def templates(urls: DataFrame, held: kit.Durable) -> DataFrame:
-    """From (host, path, label) to (host, shape, n, known, bad, template): label is 1 for blocked, 0 for allowed, null if unknown.
+    """From (host, path, label, given) to (host, shape, n, known, bad, sampled, sampled_bad, template): label is 1 for blocked, 0 for allowed, null if unknown; given likewise, of given labels only.
 
     Works on one row per host and shape, written after each level, so that plans stay short.
     """
-    nodes = urls.select("host", shapes(urls).alias("shape"), "label").groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
+    nodes = urls.select("host", shapes(urls).alias("shape"), "label", "given").groupBy("host", "shape").agg(
+        F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("given").alias("sampled"), F.coalesce(F.sum("given"), F.lit(0)).alias("sampled_bad")
+    )
     nodes = held.hold(nodes.withColumn("template", F.lit("")))
     deepest = nodes.agg(F.max(F.size(F.array_remove("shape", "")))).head()[0] or 0
     for i in range(min(LEVELS, deepest)):
@@ -111,17 +118,24 @@ def templates(urls: DataFrame, held: kit.Durable) -> DataFrame:
         step = F.when(F.col("segment").rlike(r"\{") | (F.col("segment") == ""), F.col("segment")).when(rare, F.lit("{any}")).when(F.col("fan") > 1, merged).otherwise(F.col("segment"))
         named = joined.select("host", "template", "segment", step.alias("step"))
         longer = F.when(F.col("step") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))
-        level = nodes.withColumn("segment", own).join(named, ["host", "template", "segment"]).select("host", "shape", "n", "known", "bad", longer.alias("template"))
+        level = nodes.withColumn("segment", own).join(named, ["host", "template", "segment"]).select("host", "shape", "n", "known", "bad", "sampled", "sampled_bad", longer.alias("template"))
         nodes = held.hold(level)
     return nodes.withColumn("template", F.concat("template", F.get("shape", F.lit(LEVELS))))
 
 
+def lower_bound(bad: Column, known: Column) -> Column:
+    """Wilson's lower confidence bound of a share; 0 without labels."""
+    share, z = bad / known, F.lit(BOUND)
+    bound = (share + z * z / (2 * known) - z * F.sqrt(share * (1 - share) / known + z * z / (4 * known * known))) / (1 + z * z / known)
+    return F.when(known > 0, bound).otherwise(F.lit(0.0))
+
+
 def purity(nodes: DataFrame) -> DataFrame:
-    """host, template, its smoothed share of blocked urls, and the share of its urls that are labelled."""
-    by_template = nodes.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "known", "bad")])
+    """host, template, its smoothed share of blocked urls, the share of its urls that are labelled, and the lower bound of the share of blocked ones among given labels."""
+    by_template = nodes.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "known", "bad", "sampled", "sampled_bad")])
     total = by_template.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("k"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).head()
     base = (total.b + PRIOR * 0.5) / (total.k + PRIOR)
-    return by_template.select("host", "template", ((F.col("bad") + PRIOR * base) / (F.col("known") + PRIOR)).alias("purity"), (F.col("known") / F.col("n")).alias("covered"))
+    return by_template.select("host", "template", ((F.col("bad") + PRIOR * base) / (F.col("known") + PRIOR)).alias("purity"), (F.col("known") / F.col("n")).alias("covered"), lower_bound(F.col("sampled_bad"), F.col("sampled")).alias("least"))
 
 
 def judge(pages: DataFrame, held: kit.Durable, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -135,10 +149,14 @@ def judge(pages: DataFrame, held: kit.Durable, rules=RULES, labels: DataFrame |
         given = labels.filter("blocked is not null").groupBy("page_id").agg(F.max(F.col("blocked").cast("int")).alias("given"))
         ruled = ruled.join(given, "page_id", "left")
         own = F.coalesce(own, F.col("given"))
+    else:
+        ruled = ruled.withColumn("given", F.lit(None).cast("int"))
+    # A label of a url that a rule decides says what the rule says, and nothing of other urls.
+    ruled = ruled.withColumn("given", F.when(F.col("decided").isNull(), F.col("given")))
     nodes = templates(ruled.withColumn("label", own), held)
-    named = held.hold(nodes.join(purity(nodes), ["host", "template"]).select("host", "shape", "template", "purity", "covered"))
+    named = held.hold(nodes.join(purity(nodes), ["host", "template"]).select("host", "shape", "template", "purity", "covered", "least"))
     out = ruled.withColumn("shape", shapes(ruled)).join(named, ["host", "shape"], "left")
-    rejected = (F.col("purity") >= REJECT) & (F.col("covered") >= COVERED)
+    rejected = (F.col("purity") >= REJECT) & ((F.col("least") >= MOST) | (F.col("covered") >= COVERED))
     verdict = F.coalesce("decided", F.when(rejected, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
