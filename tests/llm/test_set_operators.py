@@ -301,11 +301,29 @@ def test_packing(spark, small, odd, empty):
 
 
 def test_sequence_numbers_differ(spark):
-    """Also those of the last worker of a class and of the second round (-1) of the next one."""
-    most = packing.WORKERS - 1
-    cells = [(k, w, b) for k in (1, 2, 3, packing.CAPACITY - 1, packing.CAPACITY) for w in (-1, 0, 1, most - 1, most) for b in (0, 1, 2**36 - 1)] + [(0, -2, 0), (0, -2, 5)]
-    rows = spark.createDataFrame(cells, "class int, worker int, bin long").select(packing.sequence_number(F.col("class"), F.col("worker"), F.col("bin")).alias("s")).collect()
+    """Also those of the last worker and bin that a number has room for; beyond it there is an error, not another's number."""
+    cells = [(k, t, w, b) for k in (1, 2, 3, packing.CAPACITY - 1, packing.CAPACITY) for t in (0, 1, 15) for w in (0, 1, 4095, 4096, 2**30 - 1) for b in (0, 1, 2**16 - 1)] + [(0, 0, 0, 0), (0, 0, 0, 5)]
+    number = packing.sequence_number(F.col("class"), F.col("turn"), F.col("worker"), F.col("bin")).alias("s")
+    rows = spark.createDataFrame(cells, "class int, turn int, worker long, bin long").select(number).collect()
     assert len({r.s for r in rows}) == len(cells) and min(r.s for r in rows) >= 0
+    with pytest.raises(Exception, match="too large"):
+        spark.createDataFrame([(1, 0, 2**30, 0)], "class int, turn int, worker long, bin long").select(number).collect()
+
+
+def test_workers_leave_little_over(spark, monkeypatch):
+    """Several workers a class and several turns: bins are full but for a bounded rest, at every size."""
+    monkeypatch.setattr(packing, "PIECES_PER_WORKER", 8)
+    monkeypatch.setattr(packing, "BINS_PER_WORKER", 2)
+    docs = spark.createDataFrame([(i, "the cat sat on it " * (1 + i % 9)) for i in range(20_000)], "doc_id long, text string")
+    rows = packing.pack(docs, kit.Durable(spark, "t"), packing.tokenizer_path()).collect()
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append(r)
+    assert sum(len(p) for p in by_sequence.values()) >= 20_000 and len({r.sequence_id >> 46 & 15 for r in rows}) > 1
+    for parts in by_sequence.values():
+        at = np.cumsum([0] + [r.length for r in sorted(parts, key=lambda r: r.offset)])
+        assert [r.offset for r in sorted(parts, key=lambda r: r.offset)] == at[:-1].tolist() and at[-1] <= packing.CAPACITY
+    assert len(by_sequence) * packing.CAPACITY <= 1.03 * sum(r.length for r in rows) + 40 * packing.CAPACITY
 
 
 def test_many_small_pieces_fill_bins_by_count(spark):

@@ -212,7 +212,7 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
     spark, buckets = docs.sparkSession, kit.buckets_for(docs)
     # No name is kept for what is only read once: a live plan keeps its shuffle files.
     found = held.write(docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(kit.lean(_send(width, buckets)), MESSAGE).groupBy("bucket").applyInArrow(kit.lean_group(_count), FOUND), "found")
-    held.sweep()
+    held.forget_shuffles()
     members = found.filter("kind = 1").select("doc_id", "tag", "n", "sig")
     sets = held.write(
         found.filter("kind = 0").groupBy("sig", "n").agg(F.sum(F.length("keys") / 8).alias("m"), F.collect_list(F.struct("keys", "counts")).alias("parts"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Texts are cut into slices of about this many bytes before they are turned into arrays, so memory follows the slice, not the batch.
 SLICE_BYTES = 2 << 20
-#: A table gets one file, and a small table one, for so many bytes of the operator's input.
-FILES_EACH = 32 << 20
+#: A small table gets one file for so many bytes of the operator's input.
 SMALL_FILES_EACH = 256 << 20
+#: Catalyst's sizes from here on stand for tables of unknown size.
+UNKNOWN = 1 << 62
 #: Stands for a null doc_id where ids are packed into arrays: nulls sort after every id.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -32,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local master, whose executors are the driver, may do without one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="verbatrix-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -44,23 +47,21 @@ class Durable:
     """Intermediate tables of one operator, written as Parquet to the shared folder and read back.
 
     A written table survives the loss of executors and cuts the lineage. Tables that the result still reads stay
-    until the folder is cleaned; the others go with ``drop``, which also lets Spark delete the shuffle files behind them.
+    until the folder is cleaned; the others go with ``drop``.
     """
 
     def __init__(self, spark: SparkSession, operator: str, like: DataFrame | None = None):
         """``like`` is the operator's input: tables that are written as small have few files for each of its gigabytes."""
         self.spark, self.root = spark, f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
-        size = planned_bytes(like) if like is not None else 0
-        self.few, self.some, self.held = max(3, size // SMALL_FILES_EACH), max(12, size // FILES_EACH), 0
+        self.few, self.held = max(3, (planned_bytes(like) or 0) // SMALL_FILES_EACH if like is not None else 0), 0
 
     def write(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """The table as it reads back. What makes it keeps its partitions; a small one is dealt into few files after that."""
         path = f"{self.root}/{name}"
-        df = df.coalesce(self.few if small else self.some)
+        if small:
+            df = df.repartition(self.few)
         df.write.option("compression", "zstd").parquet(path)
-        schema = df.schema
-        del df
-        gc.collect()
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def hold(self, df: DataFrame) -> DataFrame:
         """``write`` of a small table under a number; for those of iterations, whose plans would grow otherwise."""
@@ -72,31 +73,35 @@ class Durable:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        self.sweep()
 
-    def sweep(self) -> None:
-        """Ask for a collection on the driver, upon which Spark deletes shuffle files that no plan can read any more.
+    def forget_shuffles(self) -> None:
+        """Let Spark delete the shuffle files that no plan can read any more, between phases that each shuffle more than their input.
 
-        Twice, as the first one only lets go of what Python's names stood for.
+        Spark does so when the driver's collector finds that their plans are gone, which may take long on a driver that has little to do.
         """
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.4)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df, from file sizes; nothing runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def planned_bytes(df: DataFrame) -> int | None:
+    """Catalyst's sizes of the tables that df reads, from file sizes; nothing runs. None if one of them is unknown.
+
+    The sum over tables is no estimate of df itself, which a join may multiply, but of the work that it stands for.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(n >= UNKNOWN for n in sizes) else sum(sizes)
 
 
-def buckets_for(df: DataFrame, bytes_each: int = 16 << 20, most: int = 1 << 17) -> int:
+def buckets_for(df: DataFrame, column: str = "text", bytes_each: int = 16 << 20) -> int:
     """How many buckets to deal work from df into: in proportion to its size, so that one bucket's share stays the same.
 
-    ``most`` only bounds a wrong estimate (Catalyst multiplies sizes through joins); it drops nothing.
+    Where Catalyst has no size, the bytes of ``column`` are summed up.
     """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, least, min(most, planned_bytes(df) // bytes_each))
+    size = planned_bytes(df)
+    if size is None:
+        size = df.agg(F.sum(F.octet_length(column)).alias("n")).head().n or 0
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each)
 
 
 def tidy() -> None:

@@ -242,7 +242,7 @@ def repeated_starts(docs: DataFrame, held: kit.Durable, width: int = WINDOW) ->
 
     # No name is kept for what is only read once: a live plan keeps its shuffle files.
     keys = held.write(answered(texts.mapInArrow(kit.lean(_send_keys(width, buckets)), MESSAGE), _repeated_keys, np.uint64), "keys", small=True)
-    held.sweep()
+    held.forget_shuffles()
     starts = held.write(answered(texts.join(keys, ["id", "tag"]).mapInArrow(kit.lean(_send_windows(width, buckets)), MESSAGE), _later_windows, np.uint32), "starts", small=True)
     held.drop("keys")
     return starts
