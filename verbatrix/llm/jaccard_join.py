@@ -40,6 +40,8 @@ from .components import components
 
 WIDTH = 5
 PERCENT = 80
+#: Bytes of text whose shingles are arrays at once.
+SLICE = 1 << 20
 FRAGMENTS = 8
 #: Shingles of a tile, about, and how many of them are compared at once.
 TILE_KEYS = 100_000
@@ -92,7 +94,7 @@ def _send(width: int, buckets: int):
 
     def run(batches):
         for batch in batches:
-            for rows, texts in kit.text_slices(batch):
+            for rows, texts in kit.text_slices(batch, most=SLICE):
                 owner, key, other = shingles(texts, width)
                 sizes = np.bincount(owner, minlength=len(texts)).astype(np.uint32)
                 sigs = _signatures(owner, key, other, len(texts))
@@ -211,7 +213,8 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
     """(doc_id, tag, n, sig) of every document, tag being a hash of its text; (node, label) of classes that are linked to others; (sig, n, keys) of classes."""
     spark, buckets = docs.sparkSession, kit.buckets_for(docs)
     # No name is kept for what is only read once: a live plan keeps its shuffle files.
-    found = held.write(docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(kit.lean(_send(width, buckets)), MESSAGE).groupBy("bucket").applyInArrow(kit.lean_group(_count), FOUND), "found")
+    with kit.small_batches(spark):
+        found = held.write(docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(kit.lean(_send(width, buckets)), MESSAGE).groupBy("bucket").applyInArrow(kit.lean_group(_count), FOUND), "found")
     held.forget_shuffles()
     members = found.filter("kind = 1").select("doc_id", "tag", "n", "sig")
     sets = held.write(
@@ -252,7 +255,7 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
         """Each posting with the hub of its shingle: the class that has the fewest shingles to itself."""
         hubs = over.groupBy("key").agg(F.min(F.struct("own", F.col("sig").alias("hub"), F.col("n").alias("hub_n"), "label")).alias("h"))
         hubs = hubs.select("key", "h.own", "h.hub", "h.hub_n", F.col("h.label").alias("hub_label")).withColumnRenamed("own", "hub_own")
-        return over.join(hubs, "key").filter((F.col("sig") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & lengths_fit(F.col("n"), F.col("hub_n")))
+        return kit.spread_join(over, hubs, "key", ["sig"]).filter((F.col("sig") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & lengths_fit(F.col("n"), F.col("hub_n")))
 
     def unresolved(labels: DataFrame) -> DataFrame:
         """The postings of shingles whose classes are not all linked yet."""
@@ -275,12 +278,16 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
 def _across(still: DataFrame, lengths_fit, percent: int) -> DataFrame:
     """Pairs of classes that share a prefix shingle, are not linked yet, and may overlap enough from that shingle on.
 
-    The first shingle that two sets share has nothing in common before it, so a similar pair passes there.
+    The first shingle that two sets share has nothing in common before it, so a similar pair passes there. The postings of a
+    frequent shingle are dealt into parts, and each two parts meet in a task of their own.
     """
-    x, y = still.alias("x"), still.alias("y")
+    parts = F.coalesce("__vx_parts", F.lit(1))
+    dealt = still.join(F.broadcast(kit.hot_keys(still, "key", 2000)), "key", "left").withColumn("part", F.pmod(F.xxhash64("sig"), parts).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), parts - 1))
+    x, y = dealt.withColumn("met", other).alias("x"), dealt.withColumn("met", other).alias("y")
     after = lambda c: F.col(f"{c}.n") - F.col(f"{c}.own") - F.col(f"{c}.i")
     fits = lengths_fit(F.col("x.n"), F.col("y.n")) & _enough(F.least(after("x"), after("y")), F.col("x.n"), F.col("y.n"), percent)
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & fits)
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.met") == F.col("y.part")) & (F.col("y.met") == F.col("x.part")) & (F.col("x.label") < F.col("y.label")) & fits)
 
 
 def _overlaps_of_tiles(x_keys, x_owner, x_rows: int, y_keys, y_owner, y_rows: int) -> np.ndarray:
@@ -356,7 +363,7 @@ def count_links(members: DataFrame, labels: DataFrame, sets: DataFrame, held: ki
 
 def _labelled(members: DataFrame, labels: DataFrame, held: kit.Durable) -> DataFrame:
     """doc_id, tag, n and label of every document; texts of one label are linked. Without shingles the label is null."""
-    named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    named = kit.spread_join(members, labels.withColumnRenamed("node", "sig"), "sig", ["doc_id", "tag"], "left")
     return held.hold(named.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label")))
 
 
@@ -369,7 +376,7 @@ def near_duplicates(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
     if counted:
         least = least.join(count_links(members, labels, sets, held, percent), "label", "left")
         columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return named.join(least, "label", "left").select(*columns)
+    return kit.spread_join(named, least, "label", ["doc_id", "tag"], "left").select(*columns)
 
 
 def keep_one(docs: DataFrame, held: kit.Durable, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:

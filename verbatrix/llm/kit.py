@@ -104,6 +104,38 @@ def buckets_for(df: DataFrame, column: str = "text", bytes_each: int = 16 << 20)
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20):
+    """Jobs that run inside send Python batches of about ``most`` bytes; so many rows a batch, as is usual, may be long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def hot_keys(df: DataFrame, key: str, rows_each: int = 50_000) -> DataFrame:
+    """key and parts (two or more) of the keys with more than ``rows_each`` rows, or more than a 4096th of all: at most 4096 rows."""
+    counts = df.groupBy(key).agg(F.count("*").alias("__vx_n"))
+    limit = max(rows_each, df.count() // 4096)
+    return counts.filter(F.col("__vx_n") > limit).select(key, F.ceil(F.col("__vx_n") / limit).cast("int").alias("__vx_parts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right, which has few rows a key, where a key may hold a large share of left.
+
+    Rows of such keys are dealt out by a hash of ``spread``, and met by a copy of right's rows in each part. Rows without a
+    key meet nothing, and are dealt out too.
+    """
+    hot = F.broadcast(hot_keys(left, key))
+    parts = F.coalesce("__vx_parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("__vx_part", F.pmod(F.xxhash64(*spread), F.when(F.col(key).isNull(), F.lit(4096)).otherwise(parts)).cast("int")).drop("__vx_parts")
+    copies = right.join(hot, key, "left").withColumn("__vx_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__vx_parts")
+    return dealt.join(copies, [key, "__vx_part"], how).drop("__vx_part")
+
+
 def tidy() -> None:
     """Give free memory back to the system; workers stay for a while after their task, and then hold little."""
     pa.default_memory_pool().release_unused()
@@ -142,11 +174,11 @@ def row_slices(lengths: np.ndarray, most: int = SLICE_BYTES):
         start = stop
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int | None = None):
     """Slices of a batch; each is (rows, texts) with nulls as empty texts."""
     texts = pc.fill_null(batch.column(column), "")
     lengths = np.asarray(pc.binary_length(texts)).astype(np.int64) + 1
-    for start, stop in row_slices(lengths, most):
+    for start, stop in row_slices(lengths, most or SLICE_BYTES):
         yield batch.slice(start, stop - start), texts.slice(start, stop - start)
         tidy()
 
