@@ -38,26 +38,91 @@ def test_exact_binomial_tail(spark, n, k, risk):
     tail = sum(comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
     df = spark.createDataFrame([(k, n, tail * 1.001), (k, n, tail * 0.999)], "k long, n long, level double")
     got = [r[0] for r in df.select(quality_rules.tail_is_small(F.col("k"), F.col("n"), risk, F.col("level"))).collect()]
-    assert got == ([False, False] if k > risk * n else [True, False])
+    assert got == ([False, False] if k >= risk * n else [True, False])
 
 
-def test_cutoffs_hold_on_fresh_rows(spark):
+def test_binomial_tail_of_many_documents(spark):
+    """Large numbers: against the sum of logarithms of gamma functions."""
+    from math import exp, lgamma, log
+
+    cases = []
+    for n, risk in [(3000, 0.02), (200_000, 0.01), (1_000_000, 0.02)]:
+        sd = (n * risk * (1 - risk)) ** 0.5
+        for z in (1, 2.5, 6):
+            k = int(n * risk - z * sd)
+            tail = sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(risk) + (n - i) * log(1 - risk)) for i in range(k + 1))
+            cases.append((k, n, risk, tail))
+    for k, n, risk, tail in cases:
+        df = spark.createDataFrame([(k, n, tail * 1.001), (k, n, tail * 0.999)], "k long, n long, level double")
+        assert [r[0] for r in df.select(quality_rules.tail_is_small(F.col("k"), F.col("n"), risk, F.col("level"))).collect()] == [True, False]
+
+
+def test_false_rejection_stays_within_the_bound(spark):
+    """400 strata, each tested at 5 %: few of their thresholds reject more than 5 % of the true distribution, and most exist."""
     rng = np.random.default_rng(1)
-    rows = [(i, "en", 100, 100, int(s), 0, 0, 10, 0, 0) for i, s in enumerate(rng.integers(0, 20, 4000))]
-    counts = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_capitals long, n_exclamations long, n_lines long, n_dup_lines long, n_repeat_words long")
-    labels = spark.createDataFrame([(i, 1) for i in range(4000)], "doc_id long, quality int")
-    chosen = {r.rule: r.cutoff for r in quality_rules.cutoffs(counts, labels).collect()}
-    assert chosen["symbols"] == 20 and chosen["capitals"] == 1
-    few = quality_rules.cutoffs(counts, labels.filter("doc_id < 100"))
-    assert few.count() == 0 and quality_rules.judge(counts, few).filter("not kept").count() == 0
+    n, strata, risk = 300, 400, 0.05
+    rows = [(f"l{i // n:03}", float(x)) for i, x in enumerate(rng.exponential(size=n * strata))]
+    chosen = quality_rules.thresholds(spark.createDataFrame(rows, "lang string, badness double"), risk, 0.05 * strata).collect()
+    assert len(chosen) == strata
+    true_risk = np.exp(-np.array([r.threshold for r in chosen]))
+    assert (true_risk > risk).mean() <= 0.08 and np.median(true_risk) >= 0.02
+    few = quality_rules.thresholds(spark.createDataFrame(rows[:50], "lang string, badness double"), risk, 0.05)
+    assert few.count() == 0
+
+
+def brute_kept(docs, labels, risk, delta):
+    """doc_id -> kept, by plain Python; ratios from plain counts."""
+    from fractions import Fraction
+
+    good_ids = {i for i, q in labels if q == 1 and i is not None}
+    steps, base, lang_of = {}, {}, {}
+    for i, t, lang, fold in docs:
+        n, chars, symbols, dup_lines, repeated = plain_counts(t)
+        t = t or ""
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        import unicodedata
+
+        capitals = sum(unicodedata.category(c) == "Lu" for c in t)
+        part = lambda a, b: 1000 * a // b if b else 0
+        steps[i] = [part(symbols, chars), part(dup_lines, len(lines)), part(repeated, n), part(capitals, chars), part(t.count("!"), chars)]
+        base[i], lang_of[i] = n < 10 or 100 * repeated > 20 * n, (lang, fold)
+    good = [i for i in steps if i in good_ids and not base[i]]
+    fitting = [i for i in good if lang_of[i][1] == 0]
+    usual = [int(np.ceil(np.percentile([steps[i][r] for i in fitting], 99))) if fitting else 0 for r in range(5)]
+    badness = {i: max(Fraction(s + 1, u + 1) for s, u in zip(steps[i], usual)) for i in steps}
+    holdout = [i for i in good if lang_of[i][1] != 0]
+    strata = {lang_of[i][0] for i in holdout}
+    cut = {}
+    for lang in strata:
+        own = [badness[i] for i in holdout if lang_of[i][0] == lang]
+        n, p = len(own), Fraction(str(risk))
+        small = lambda k: float(sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))) <= delta / len(strata)  # noqa: B023, E731
+        if small(0):
+            cut[lang] = max(t for t in set(own) if not small(sum(x >= t for x in own)))
+    return {i: not base[i] and not (lang_of[i][0] in cut and badness[i] > cut[lang_of[i][0]]) for i in steps}
+
+
+def test_kept_matches_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(quality_rules.FOLDS))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", fold).collect()]
+    rng = np.random.default_rng(2)
+    labels = [(r[0], int(rng.random() < 0.9)) for r in rows] + [(None, 1), (10**9, 1), (rows[0][0], None)]
+    got = quality_rules.judge(quality_rules.text_counts(docs), spark.createDataFrame(labels, "doc_id long, quality int"), 0.2, 0.5).collect()
+    want = brute_kept(rows, labels, 0.2, 0.5)
+    assert {r.doc_id: r.kept for r in got} == want
+    assert any(not r.kept and not r.base_failed for r in got)
 
 
 def test_rules_on_odd_input(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (99, 1), (2, None)], "doc_id long, quality int")
-    counts = quality_rules.text_counts(odd)
-    assert quality_rules.judge(counts, quality_rules.cutoffs(counts, labels)).count() == odd.count()
-    none = quality_rules.text_counts(empty)
-    assert quality_rules.judge(none, quality_rules.cutoffs(none, labels)).count() == 0
+    got = quality_rules.judge(quality_rules.text_counts(odd), labels).collect()
+    row = lambda r, text: (r.doc_id, *plain_counts(text))
+    want = sorted((str(row(r, r.text)) for r in odd.collect()))
+    assert sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in got) == want
+    # Too few labels for any threshold: only the base rule takes texts.
+    assert all(r.kept != r.base_failed and r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in got)
+    assert quality_rules.judge(quality_rules.text_counts(empty), labels).count() == 0
 
 
 def plain_grams(text):

@@ -222,16 +222,16 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
         .filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n")).select("sig", "n", "parts")
         .mapInArrow(kit.lean(_order(percent)), "sig binary, n int, own int, keys array<long>, place array<double>"),
         "sets",
-        small=True,
     )
-    members = held.write(members, "members", small=True)
+    members = held.write(members, "members")
     held.drop("found")
+    held.forget_shuffles()
     prefix = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1
     heads = sets.select("sig", "n", "own", F.posexplode(F.slice("keys", 1, F.greatest(prefix - F.col("own"), F.lit(0)).cast("int"))).alias("i", "key"))
-    postings = held.hold(heads.select("key", "sig", "n", "own", "i"))
+    postings = held.write(heads.select("key", "sig", "n", "own", "i"), "postings")
 
     size = F.least(F.greatest(prefix - F.col("own"), F.lit(0)), F.size("keys")).cast("int")
-    first_parts = held.hold(sets.select("sig", "n", size.alias("size"), (F.col("n") - F.col("own") - size).alias("after"), F.slice("keys", 1, size).alias("part"), F.get("place", size - 1).alias("last")))
+    first_parts = held.write(sets.select("sig", "n", size.alias("size"), (F.col("n") - F.col("own") - size).alias("after"), F.slice("keys", 1, size).alias("part"), F.get("place", size - 1).alias("last")), "first-parts")
 
     edges = [F.lit(k / FRAGMENTS) for k in range(1, FRAGMENTS)]
     cuts = sets.select(F.explode("place").alias("p")).agg(F.percentile_approx("p", F.array(*edges), F.lit(1000)).alias("cuts")).head().cuts or []
@@ -244,7 +244,7 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
         .filter("stop > start")
         .select("sig", "n", "fragment", F.slice("keys", F.col("start") + 1, F.col("stop") - F.col("start")).alias("part"))
     )
-    segments = held.hold(segments)
+    segments = held.write(segments, "segments")
 
     lengths_fit = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     is_link = _enough(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)
@@ -261,7 +261,7 @@ def similar_classes(docs: DataFrame, held: kit.Durable, percent: int = PERCENT,
         """The postings of shingles whose classes are not all linked yet."""
         placed = postings.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
         open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        return held.hold(placed.join(open_keys, "key", "left_semi"))
+        return held.hold(placed.join(open_keys, "key", "left_semi"), small=False)
 
     none = spark.createDataFrame([], "node binary, label binary")
     least_hub = spokes(unresolved(none)).groupBy("sig").agg(F.min(F.struct("hub_own", "hub")).alias("h"))
@@ -341,14 +341,14 @@ def count_links(members: DataFrame, labels: DataFrame, sets: DataFrame, held: ki
 
     # Linked lengths differ by less than a band, so they lie in one band or in two that meet; a little more is for rounding.
     band = 1.001 * max(math.log(100 / percent), 0.01)
-    placed = held.write(sets.join(label_of, "sig").join(copies, "sig").withColumn("band", F.floor(F.log("n") / F.lit(band))), "placed", small=True)
+    placed = held.write(sets.join(label_of, "sig").join(copies, "sig").withColumn("band", F.floor(F.log("n") / F.lit(band))), "placed")
     weights = placed.groupBy("label", "band").agg(F.ceil(F.sum(F.size("keys")) / F.lit(TILE_KEYS)).alias("parts"))
     # No more rows than shingles / TILE_KEYS.
     large = F.broadcast(weights.filter("parts > 1"))
     part = F.coalesce(F.pmod(F.xxhash64("sig"), "parts"), F.lit(0))
     dealt = placed.join(large, ["label", "band"], "left").withColumn("part", part)
     tiles = dealt.groupBy("label", "band", "part").agg(F.collect_list(F.struct("n", "copies", F.size("keys").alias("size"), "keys")).alias("s"))
-    tiles = held.write(tiles.select("label", "band", "part", F.col("s.n").alias("ns"), F.col("s.copies").alias("copies"), F.col("s.size").alias("sizes"), F.flatten("s.keys").alias("keys")), "tiles", small=True)
+    tiles = held.write(tiles.select("label", "band", "part", F.col("s.n").alias("ns"), F.col("s.copies").alias("copies"), F.col("s.size").alias("sizes"), F.flatten("s.keys").alias("keys")), "tiles")
     held.drop("placed")
 
     side = lambda x, *columns: tiles.select("label", *[F.col(c).alias(f"{c}_{x}") for c in ("band", "part", *columns)])

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -63,10 +64,10 @@ class Durable:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def hold(self, df: DataFrame) -> DataFrame:
-        """``write`` of a small table under a number; for those of iterations, whose plans would grow otherwise."""
+    def hold(self, df: DataFrame, small: bool = True) -> DataFrame:
+        """``write`` under a number, mostly of a small table; for those of iterations, whose plans would grow otherwise."""
         self.held += 1
-        return self.write(df, f"held-{self.held}", small=True)
+        return self.write(df, f"held-{self.held}", small)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -77,10 +78,14 @@ class Durable:
     def forget_shuffles(self) -> None:
         """Let Spark delete the shuffle files that no plan can read any more, between phases that each shuffle more than their input.
 
-        Spark does so when the driver's collector finds that their plans are gone, which may take long on a driver that has little to do.
+        Spark does so when the driver's collector finds that their plans are gone. On a driver that has little to do that may take
+        half an hour, and the disks then hold all phases' files together. The first collection lets go of what Python's names
+        stood for, the second of the plans; files are deleted in the background, for which there is a moment.
         """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def planned_bytes(df: DataFrame) -> int | None:

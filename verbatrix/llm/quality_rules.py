@@ -1,27 +1,37 @@
-"""Quality rules with risk-controlled cutoffs (operator 9). DataFrame functions only.
+"""Quality rules with risk-controlled thresholds (operator 9). DataFrame functions only.
 
-Every text gets counts of words, symbols, repeated lines and repeated 5-word windows. A rule rejects a text whose ratio
-reaches a cutoff. Cutoffs come from labelled holdouts: within a stratum (a language; null is one too), a cutoff is
-admitted only if the exact binomial tail shows that it rejects at most ``risk`` of good documents, at level
-``delta / (strata * rules)`` (Bonferroni across strata and rules; within a rule, cutoffs are tested from the laxest on
-and testing stops at the first that fails, so no further correction is due). Where no cutoff passes, the rule is off in
-that stratum.
+Every text gets counts of words, symbols, repeated lines and repeated 5-word windows, and five ratios of them. Its badness is
+the worst of its ratios, each against what is usual: the 99th percentile of that ratio among good documents of a fitting
+fold, a quarter of the labelled documents by a hash of their id.
+
+The other labelled documents are the holdout. Within a stratum (a language; null is one too) texts worse than a threshold are
+rejected. With n good documents of the holdout, of which k are rejected, a threshold is admitted only if the exact binomial
+tail P(Binomial(n, risk) <= k) is at most ``delta / strata`` (Bonferroni across strata). There is one score and one threshold
+a stratum, and thresholds are tested from the laxest on until the first fails, so no further correction is due. So, with
+probability 1 - delta, no stratum loses more than ``risk`` of the good documents that pass the base rule, by all five ratios
+together; what the base rule takes is not counted. A stratum with too few good documents for any threshold rejects nothing.
 
 Defined cases: null and empty texts have no words, so all counts are 0 and base_failed is true. A document labelled more
 than once counts as good if any label says so. Labels of unknown documents and null labels are ignored. Rows with equal
 or null doc_id are judged one by one; null ids carry no label. An empty table gives an empty result. Extra columns are
-ignored. Ties at a cutoff are rejected.
+ignored. Texts as bad as the threshold are kept. Without a fitting fold, what is usual is 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kit
 
 WINDOW = 5
-STEPS = 100
+#: Ratios count in so many steps.
+STEPS = 1000
+#: One in so many labelled documents, by hash, tells what is usual, up to this share of good ones.
+FOLDS = 4
+USUAL = 0.99
 #: Rule name: ratio, of which larger values are worse.
 RATIOS = {
     "symbols": ("n_symbols", "word_chars"),
@@ -30,7 +40,7 @@ RATIOS = {
     "capitals": ("n_capitals", "word_chars"),
     "exclamations": ("n_exclamations", "word_chars"),
 }
-RISK = 0.01
+RISK = 0.02
 DELTA = 0.05
 
 
@@ -89,48 +99,73 @@ def _step(rule: str) -> Column:
     return F.when(F.col(whole) > 0, F.floor(F.lit(STEPS) * F.col(part) / F.col(whole))).otherwise(F.lit(0)).cast("int")
 
 
+def _log_factorial(n: Column) -> Column:
+    """Exact up to 20!, beyond it Stirling's series, whose error is less than 1 / (1680 n ** 7)."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n > 20, series).otherwise(F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double")))
+
+
 def tail_is_small(k: Column, n: Column, risk: float, level: Column) -> Column:
-    """Whether P(Binomial(n, risk) <= k) <= level: then the exact upper confidence bound of k in n is at most risk."""
-    step = lambda acc, i: let(
-        acc["p"] + F.log((n - i) / (i + 1)) + F.log(F.lit(risk / (1 - risk))),
-        lambda p: F.struct(p.alias("p"), (F.greatest(acc["c"], p) + F.log1p(F.exp(-F.abs(acc["c"] - p)))).alias("c")),
-    )
-    first = n * F.log1p(F.lit(-risk))
-    log_tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<bigint>")), F.struct(first.alias("p"), first.alias("c")), step, lambda acc: acc["c"])
-    return F.when(k > risk * n, F.lit(False)).otherwise(log_tail <= F.log(level))
-
-
-def cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff (in steps): the strictest admitted cutoff of each rule. One row per stratum and rule at most."""
-    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id")).filter("doc_id is not null").distinct()
-    holdout = counts.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    steps = F.array(*[F.struct(F.lit(r).alias("rule"), _step(r).alias("step")) for r in RATIOS])
-    cells = holdout.select("lang", F.inline(steps)).groupBy("lang", "rule", "step").agg(F.count("*").alias("n_at"))
-    grids = cells.groupBy("lang", "rule").agg(F.sum("n_at").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "n_at"))).alias("at"))
-    strata = F.size(F.collect_set(F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))))
-    tests = cells.agg(strata.alias("strata"))
-    level = F.lit(delta / len(RATIOS)) / F.greatest(F.col("strata"), F.lit(1))
-    candidates = grids.join(tests).select(
-        "lang", "rule", "n", level.alias("level"), "at", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("cutoff")
-    )
-    above = F.aggregate(F.filter(F.map_entries("at"), lambda e: e["key"] >= F.col("cutoff")), F.lit(0).cast("long"), lambda acc, e: acc + e["value"])
-    judged = candidates.select("lang", "rule", "n", "level", "cutoff", above.alias("k")).select("lang", "rule", "cutoff", tail_is_small(F.col("k"), F.col("n"), risk, F.col("level")).alias("ok"))
-    # The tail grows as the cutoff falls, so the lowest passing cutoff above the highest failing one is where testing stops.
-    return (
-        judged.groupBy("lang", "rule")
-        .agg(F.min(F.when(F.col("ok"), F.col("cutoff"))).alias("low"), F.max(F.when(~F.col("ok"), F.col("cutoff"))).alias("failed"))
-        .select(F.col("lang").alias("stratum"), "rule", F.when(F.col("failed").isNull(), F.col("low")).otherwise(F.greatest("low", F.col("failed") + 1)).alias("cutoff"))
-        .filter(f"cutoff <= {STEPS}")
-    )
-
-
-def judge(counts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """counts with base_failed and kept. ``chosen`` is a row per stratum and rule."""
-    wide = chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RATIOS])
-    joined = counts.join(wide, F.col("lang").eqNullSafe(F.col("stratum")), "left")
-    rejected = F.lit(False)
-    for r in RATIOS:
-        rejected = rejected | F.coalesce(_step(r) >= F.col(f"cut_{r}"), F.lit(False))
+    """Whether P(Binomial(n, risk) <= k) <= level: then the exact upper confidence bound of k in n is at most risk.
+
+    Terms are added from the k-th down, each by its ratio to the one before. Below the mean these fall faster than a geometric
+    series, which bounds what follows the last one added; some 40 standard deviations of terms leave nothing that counts.
+    """
+    odds = risk / (1 - risk)
+    ratio = lambda i: i / ((n - i + 1) * odds)
+    terms = F.least(k, F.ceil(40 * F.sqrt(k.cast("double"))) + 40)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    step = lambda acc, j: let(acc["term"] * ratio(k - j), lambda t: F.struct(t.alias("term"), (acc["sum"] + t).alias("sum")))
+    steps = F.when(terms > 0, F.sequence(F.lit(0).cast("long"), terms.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    rest = ratio(k - terms)
+    total = F.aggregate(steps, start, step, lambda acc: acc["sum"] + acc["term"] * rest / (1 - rest))
+    log_term = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * math.log(risk) + (n - k) * math.log1p(-risk)
+    # The margin is for rounding: logarithms of factorials are large numbers.
+    return F.when(k >= risk * n, F.lit(False)).otherwise(log_term + F.log(total) <= F.log(level) - 1e-5)
+
+
+def usual(good: DataFrame) -> dict[str, int]:
+    """Each rule's usual step, from good documents of the fitting fold: one row."""
+    row = good.agg(*[F.percentile(_step(r), USUAL).alias(r) for r in RATIOS]).head()
+    return {r: math.ceil(row[r] or 0) for r in RATIOS}
+
+
+def badness(steps: dict[str, int]) -> Column:
+    """The worst of a text's ratios against what is usual."""
+    return F.greatest(*[(_step(r) + 1) / F.lit(float(steps[r] + 1)) for r in RATIOS])
+
+
+def good_documents(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The counts of documents that are labelled good and pass the base rule, and whether they belong to the fitting fold."""
+    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    return counts.filter(~base_failed()).join(good, "doc_id", "left_semi").withColumn("fitting", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0)
+
+
+def thresholds(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """stratum, threshold: texts that are worse are rejected. holdout: lang and badness of good documents.
+
+    Badness has at most some thousands of values, so what is ranked is a few rows a stratum.
+    """
+    cells = holdout.groupBy("lang", "badness").agg(F.count("*").alias("here"))
+    by_lang = Window.partitionBy("lang")
+    worse = F.sum("here").over(by_lang.orderBy(F.desc("badness")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = cells.select("lang", "badness", F.sum("here").over(by_lang).alias("n"), worse.alias("k"))
+    strata = holdout.select("lang").distinct().count()
+    level = F.lit(delta / max(strata, 1))
+    judged = ranked.select("lang", "badness", tail_is_small(F.lit(0).cast("long"), F.col("n"), risk, level).alias("any"), tail_is_small(F.col("k"), F.col("n"), risk, level).alias("ok"))
+    # To reject all that are as bad as a value or worse fails for the least value at the latest.
+    return judged.filter("any and not ok").groupBy(F.col("lang").alias("stratum")).agg(F.max("badness").alias("threshold"))
+
+
+def judge(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """counts with base_failed and kept."""
+    good = good_documents(counts, labels)
+    steps = usual(good.filter("fitting"))
+    chosen = thresholds(good.filter("not fitting").select("lang", badness(steps).alias("badness")), risk, delta)
+    # One row a language; languages of unknown number are joined as they come.
+    joined = counts.join(chosen, F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    rejected = F.coalesce(badness(steps) > F.col("threshold"), F.lit(False))
     out = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -138,4 +173,4 @@ def judge(counts: DataFrame, chosen: DataFrame) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kit.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     counts = kit.Durable(spark, "quality-rules", docs).write(text_counts(docs), "counts")
-    return judge(counts, cutoffs(counts, kit.table(spark, sf_dir, "labels")))
+    return judge(counts, kit.table(spark, sf_dir, "labels"))

@@ -241,10 +241,12 @@ def repeated_starts(docs: DataFrame, held: kit.Durable, width: int = WINDOW) ->
         return messages.groupBy("bucket").applyInArrow(kit.lean_group(judge(buckets)), ANSWERS).groupBy("home").applyInArrow(kit.lean_group(_by_text(dtype)), FOUND)
 
     # No name is kept for what is only read once: a live plan keeps its shuffle files.
-    keys = held.write(answered(texts.mapInArrow(kit.lean(_send_keys(width, buckets)), MESSAGE), _repeated_keys, np.uint64), "keys", small=True)
-    held.forget_shuffles()
-    starts = held.write(answered(texts.join(keys, ["id", "tag"]).mapInArrow(kit.lean(_send_windows(width, buckets)), MESSAGE), _later_windows, np.uint32), "starts", small=True)
+    with kit.small_batches(docs.sparkSession):
+        keys = held.write(answered(texts.mapInArrow(kit.lean(_send_keys(width, buckets)), MESSAGE), _repeated_keys, np.uint64), "keys")
+        held.forget_shuffles()
+        starts = held.write(answered(texts.join(keys, ["id", "tag"]).mapInArrow(kit.lean(_send_windows(width, buckets)), MESSAGE), _later_windows, np.uint32), "starts")
     held.drop("keys")
+    held.forget_shuffles()
     return starts
 
 
