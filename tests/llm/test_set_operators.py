@@ -392,6 +392,159 @@ def test_few_labels_speak_for_their_template(spark, held, urls):
     assert len(got) == urls + 50 and all((r.verdict == "block") == ("/spam/" in r.path or r.path.startswith("/de/")) for r in got)
 
 
+def brute_kind(segment):
+    body, dot, extension = re.fullmatch(r"(?s)(.*?)((\.[A-Za-z]{1,5})?)", segment).group(1, 2, 3)
+    if re.fullmatch(r"[0-9]{4}-[0-9]{2}(-[0-9]{2})?", body):
+        return "{date}" + dot
+    if re.fullmatch(r"[0-9]+", body):
+        return "{number}" + dot
+    if re.fullmatch(r"[0-9a-fA-F-]{8,}", body) and re.search(r"[0-9]", body):
+        return "{hex}" + dot
+    if len(body) > 40:
+        return "{long}" + dot
+    return re.sub(r"[0-9]+", "{number}", body) + dot if re.search("[0-9]", body) else segment
+
+
+def brute_templates(nodes):
+    """(host, shape) -> [n, known, bad] to (host, shape) -> template, by walking each host's tree."""
+    import math
+
+    out = {}
+
+    def g_test(a, b):
+        cats = sorted(set(a) | set(b))
+        if len(cats) < 2:
+            return True
+        table = [[x.get(c, 0) for c in cats] for x in (a, b)]
+        total, g = sum(map(sum, table)), 0.0
+        for row in table:
+            for j, o in enumerate(row):
+                if o:
+                    g += 2 * o * math.log(o / (sum(row) * (table[0][j] + table[1][j]) / total))
+        d = len(cats) - 1
+        return g <= d * (1 - 2 / (9 * d) + 3.719 * (2 / (9 * d)) ** 0.5) ** 3
+
+    def walk(host, template, level, members):
+        for s in [s for s in members if len(s) == level]:
+            out[host, s] = template
+        if len(members) == 1:
+            for s in members:
+                out[host, s] = "".join([template, *("/" + x for x in s[level:])])
+            return
+        branches = defaultdict(list)
+        for s in members:
+            if len(s) > level:
+                branches[s[level]].append(s)
+        size = {b: sum(nodes[host, s][0] for s in own) for b, own in branches.items()}
+        whole, step = sum(size.values()), {}
+        word = lambda x: "{" not in x and x != ""
+        rare = {b for b in branches if word(b) and len(branches) > 32 and size[b] < 0.02 * whole}
+        leaders = []
+        for b in sorted(branches, key=lambda b: (-size[b], b)):
+            if b in rare:
+                step[b] = "{any}"
+            elif not word(b):
+                step[b] = b
+            else:
+                after = defaultdict(int)
+                for s in branches[b]:
+                    x = s[level + 1] if level + 1 < len(s) else None
+                    m = re.search(r"\{\w+\}", x or "")
+                    after["" if x is None else m[0] if m else "/" if x == "" else "word"] += nodes[host, s][0]
+                known, bad = (sum(nodes[host, s][i] for s in branches[b]) for i in (1, 2))
+                for lead in leaders:
+                    if bool(lead[2]) == bool(known) and g_test(lead[1], after) and (not known or g_test({"b": lead[3], "g": lead[2] - lead[3]}, {"b": bad, "g": known - bad})):
+                        lead[4].append(b)
+                        break
+                else:
+                    leaders.append((b, after, known, bad, [b]))
+        for b, *_, own in leaders:
+            for x in own:
+                step[x] = "{~%s}" % b if len(own) > 1 else b
+        below = defaultdict(list)
+        for b, own in branches.items():
+            below[step[b]].extend(own)
+        for name, own in below.items():
+            walk(host, template + "/" + name, level + 1, own)
+
+    by_host = defaultdict(list)
+    for host, s in nodes:
+        by_host[host].append(s)
+    for host, own in by_host.items():
+        walk(host, "", 0, own)
+    return out
+
+
+def brute_urls(rows, labels=None):
+    """page_id -> (host, path, rule, verdict, template, purity), by plain Python."""
+    found, nodes = {}, defaultdict(lambda: [0, 0, 0])
+    for i, url in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in re.match(r"[^/?#]*", rest)[0])
+        path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fits = [(-len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, rule, verdict = min(fits, default=(0, None, None))
+        label = verdict == "block" if verdict else (labels or {}).get(i)
+        own = tuple(brute_kind(x) for x in path.split("/")[1:])
+        found[i] = (host, path, rule, verdict, own)
+        node = nodes[host, own]
+        node[0] += 1
+        node[1] += label is not None
+        node[2] += bool(label)
+    template_of, hosts, told = brute_templates(nodes), defaultdict(list), {}
+    for (_, own), (_, known, bad) in nodes.items():
+        if known:
+            hosts[own].append(bad / known)
+    by_template = defaultdict(lambda: [0, 0, 0, 0.0])
+    for (host, own), (n, known, bad) in nodes.items():
+        share = (sum(hosts[own]) + 2) / (len(hosts[own]) + 4)
+        at = by_template[host, template_of[host, own]]
+        for k, x in enumerate((n, known, bad, n * share)):
+            at[k] += x
+    for i, (host, path, rule, verdict, own) in found.items():
+        n, known, bad, weight = by_template[host, template_of[host, own]]
+        purity = (bad + 4 * weight / n) / (known + 4)
+        told[i] = (host, path, rule, verdict or ("block" if purity >= 0.7 else "allow"), template_of[host, own], round(purity, 6))
+    return told
+
+
+def as_told(df):
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 6)) for r in df.collect()}
+
+
+def test_urls_match_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = brute_urls([(r.page_id, r.url) for r in pages.select("page_id", "url").collect()])
+    assert as_told(url_filter.op2_url_filter(spark, "/root/testdata/sf0.01")) == want
+    assert {v for _, _, rule, v, _, _ in want.values() if rule is None} == {"allow", "block"}
+
+
+def test_trees_match_brute_force(spark, held):
+    """Deep paths, many rare segments, long ones, labels on some of them, paths that end within others."""
+    rng = np.random.default_rng(6)
+    words = ["news", "blog", "shop", "spam", "ads", "x" * 60, "a-b", "v1.2", "", "2024-01-02", "deadbeef01", "page.html"]
+    rows = []
+    for i in range(1500):
+        host = f"h{int(rng.integers(0, 6))}.io"
+        depth = int(rng.integers(0, 9))
+        path = "".join("/" + (words[int(rng.integers(0, len(words)))] if rng.random() < 0.8 else f"s{'abcdefghij'[int(rng.integers(0, 10))]}{'klmnopqrst'[int(rng.integers(0, 10))]}") for _ in range(depth))
+        rows.append((i, f"http://{host}{path}"))
+    rows += [(2000 + i, f"http://wide.io/tag/{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26 % 26]}/{i}") for i in range(400)]
+    rows += [(3000 + i, f"http://wide.io/{'spam' if i % 2 else 'news'}/{i}") for i in range(200)]
+    rows += [(4000, "http://deep.io" + "/a" * 40), (4001, "http://deep.io" + "/a" * 39 + "/b"), (4002, "http://deep.io" + "/" * 30), (4003, "http://long.io/" + "q" * 20_000 + "/1"), (4004, None), (4005, "nothing")]
+    labels = {i: bool(rng.random() < (0.9 if "spam" in (u or "") else 0.1)) for i, u in rows if rng.random() < 0.3}
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), held, labels=spark.createDataFrame(list(labels.items()), "page_id long, blocked boolean"))
+    want = brute_urls(rows, labels)
+    assert as_told(got) == want
+    assert any("{any}" in t for *_, t, _ in want.values()) and any("{~" in t for *_, t, _ in want.values()) and {"allow", "block"} == {w[3] for w in want.values()}
+
+
+def test_equally_long_rules(spark, held):
+    rules = (("a.io", "/x/", "block"), ("b.a.io", "/", "allow"), ("a.io", "/y/", "allow"))
+    got = url_filter.judge(spark.createDataFrame([(1, "http://b.a.io/x/1"), (2, "http://a.io/x/1")], "page_id long, url string"), held, rules).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == {1: ("a.io/x/", "block"), 2: ("a.io/x/", "block")}
+
+
 def brute_search(rows, k=5):
     good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []

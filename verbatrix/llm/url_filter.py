@@ -1,30 +1,36 @@
 """URL filtering by explicit rules and by a tree of path templates (operator 2).
 
 Rules name a host (and all its subdomains) and a path prefix; the longest that fits decides. All other urls are judged by
-templates. A host's paths form a tree of segments, which is generalised level by level:
+templates. A host's paths form a tree of segments, which is generalised from the root on, level by level:
 
 - a segment that is evidently variable (digits, hexadecimal, a date, very long) becomes a wildcard of its kind, also with
-  the extension that follows;
+  the extension that follows; a path of segments so far is its shape;
 - a branch point with many different segments, of which most are rare, turns its rare ones into one wildcard;
-- branches that mostly carry the same kind of segment at the next level are merged into one, unless the share of blocked
-  urls among their labelled ones differs from the branch point's by a two-proportion test.
-
-Each template counts its labelled urls: those that a rule decided, or labels that are given. Its purity is the share of
-blocked ones among them, smoothed towards the table's share. A template is rejected if its purity reaches ``REJECT`` and its
-labels bear that out: the lower confidence bound of the share of blocked ones among its given labels reaches ``MOST``, however
-many urls have no label, or at least ``COVERED`` of its urls are labelled. What rules decide is no sample of the other urls, so
-these labels count for the second condition only.
-
-Segments are counted before any shuffle, so a host with a third of all pages costs one row a distinct template.
-
-Defined cases: a null url, or one without "://", has an empty host and path and no rule; its template has no labels, so it is
-allowed. Of a path, ``LEVELS`` segments have a level each and the rest are one
-wildcard. A host may keep its port and login. Of equally long rules the lesser (by text) decides. Repeated rows are judged
-alike, each in a row of its own. An empty table gives an empty result. Extra columns are ignored.
+- of the other branches each, from the largest on, is merged with the first larger one that it is similar to: G-tests find no
+  difference in what kinds of segments follow, nor in the shares of blocked urls among the labelled ones. A branch that has
+  labels is never similar to one that has none.
+
+Labels are the urls that a rule decided, or labels that are given. A template's purity is the share of blocked ones among its
+labelled urls, smoothed towards what other hosts say of its shapes: a shape's share is the mean over the hosts that have
+labels of it, each host counting once, smoothed towards one half. A template is rejected if its purity reaches ``REJECT``. So a
+template without labels is judged by its shapes on other hosts, a shape that no host has labels of is allowed, and one host
+alone never decides for others.
+
+Segments are counted before any shuffle, so a host with a third of all pages costs one row a distinct shape; joins that such
+a host, or a shape that all hosts have, would gather in one task are dealt into parts. Depth costs one turn a level, for those
+templates only that still have several shapes below.
+
+Defined cases: a null url, or one without "://", has an empty host and path and no rule; its path has no segments. A host
+may keep its port and login. Of equally long rules the lesser (by text) decides. Of branches with equally many urls the
+lesser segment counts as the larger one. Repeated rows are judged alike, each in a row of its own. An empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +38,14 @@ from . import kit
 
 #: (host, path, verdict); the rules of the registered query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-LEVELS = 6
 #: A branch point with more distinct segments than this wildcards those that hold less than RARE of its urls.
 FAN_OUT = 32
 RARE = 0.02
-#: Two rates differ if they are so many standard errors apart.
-APART = 2.58
-#: Weight of the prior share, in urls.
+#: Branches differ if a G statistic is beyond this many standard deviations of its normal transform (one in ten thousand by chance).
+APART = 3.719
+#: Weight of what a share is smoothed towards, in urls, or in hosts for a shape.
 PRIOR = 4.0
 REJECT = 0.7
-COVERED = 0.5
-#: Standard errors of the lower bound (Wilson, 95 % one-sided), and what it must reach.
-BOUND = 1.645
-MOST = 0.5
 
 
 def lower_ascii(c: Column) -> Column:
@@ -85,57 +86,89 @@ def _kind(segment: Column) -> Column:
     return F.coalesce(F.concat(wild, extension), segment)
 
 
-def shapes(urls: DataFrame) -> DataFrame:
-    """host and an array of LEVELS + 1 segments, variable ones as wildcards; missing ones are empty."""
-    found = F.split("path", "/", LEVELS + 2)
-    level = lambda i: F.coalesce(F.get(found, F.lit(i)), F.lit(""))
-    rest = F.when(F.size(found) > LEVELS + 1, F.lit("{rest}")).otherwise(F.lit(""))
-    return F.array(*[_kind(level(i + 1)) for i in range(LEVELS)], rest)
+def shape(path: Column) -> Column:
+    """The segments of a path, variable ones as wildcards."""
+    return F.transform(F.slice(F.split(path, "/", -1), 2, 1 << 30), _kind)
+
+
+def critical(freedom: int) -> float:
+    """What a G statistic of so many degrees of freedom seldom exceeds, by the cube root transform of its distribution."""
+    return freedom * (1 - 2 / (9 * freedom) + APART * math.sqrt(2 / (9 * freedom))) ** 3
+
+
+def differ(a: dict, b: dict) -> bool:
+    """Whether a G-test tells two distributions, as counts by category, apart."""
+    total_a, total_b = sum(a.values()), sum(b.values())
+    both = {c: a.get(c, 0) + b.get(c, 0) for c in {**a, **b}}
+    all_of = total_a + total_b
+    g = 2 * sum(n * math.log(n * all_of / (both[c] * total)) for own, total in ((a, total_a), (b, total_b)) for c, n in own.items() if n)
+    return len(both) > 1 and g > critical(len(both) - 1)
+
+
+def _merge(pdf):
+    """The step of each branch of one branch point: its segment, or a wildcard that it shares with those it is similar to."""
+    rows = sorted(zip(pdf["n"], pdf["segment"], pdf["follows"], pdf["known"], pdf["bad"]), key=lambda r: (-r[0], r[1]))
+    leaders, led_by = [], {}
+    for _, segment, follows, known, bad in rows:
+        own = (dict(follows), {"bad": bad, "good": known - bad})
+        like = next((name for name, (after, labels) in leaders if (sum(labels.values()) > 0) == (known > 0) and not differ(after, own[0]) and not (known and differ(labels, own[1]))), None)
+        if like is None:
+            leaders.append((segment, own))
+        else:
+            led_by[segment] = like
+    shared = set(led_by.values())
+    pdf["step"] = ["{~%s}" % led_by.get(s, s) if s in shared or s in led_by else s for s in pdf["segment"]]
+    return pdf[["point", "segment", "step"]]
 
 
 def templates(urls: DataFrame, held: kit.Durable) -> DataFrame:
-    """From (host, path, label, given) to (host, shape, n, known, bad, sampled, sampled_bad, template): label is 1 for blocked, 0 for allowed, null if unknown; given likewise, of given labels only.
+    """From (host, path, label) to (host, shape, n, known, bad, template): label is 1 for blocked, 0 for allowed, null if unknown.
 
     Works on one row per host and shape, written after each level, so that plans stay short.
     """
-    nodes = urls.select("host", shapes(urls).alias("shape"), "label", "given").groupBy("host", "shape").agg(
-        F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("given").alias("sampled"), F.coalesce(F.sum("given"), F.lit(0)).alias("sampled_bad")
-    )
-    nodes = held.hold(nodes.withColumn("template", F.lit("")))
-    deepest = nodes.agg(F.max(F.size(F.array_remove("shape", "")))).head()[0] or 0
-    for i in range(min(LEVELS, deepest)):
-        own, after = F.get("shape", F.lit(i)), F.get("shape", F.lit(i + 1))
-        kind_after = F.when(after.rlike(r"\{"), F.regexp_extract(after, r"(\{\w+\})", 1)).when(after == "", F.lit("")).otherwise(F.lit("word"))
-        below = nodes.select("host", "template", own.alias("segment"), kind_after.alias("after"), "n", "known", "bad").groupBy("host", "template", "segment", "after").agg(*[F.sum(c).alias(c) for c in ("n", "known", "bad")])
-        branches = below.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "known", "bad")], F.max(F.struct("n", "after"))["after"].alias("mostly"))
-        points = branches.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("n").alias("all"), F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
-        joined = branches.join(points, ["host", "template"])
+    counted = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
+    todo = held.hold(counted.withColumn("template", F.lit("")).withColumn("level", F.lit(0)), small=False)
+    columns, done, sums = todo.columns, [], [F.sum(c).alias(c) for c in ("n", "known", "bad")]
+    while True:
+        # Nothing is left to tell apart where a path ends, or below a template with one shape.
+        point = F.struct("host", "template").alias("point")
+        alone = todo.groupBy(point).agg(F.count("*").alias("rows"))
+        placed = kit.spread_join(todo.withColumn("point", point), alone, "point", ["shape"]).withColumn("open", (F.col("rows") > 1) & (F.size("shape") > F.col("level")))
+        placed = held.hold(placed.select(*columns, "open"), small=False)
+        rest = F.array_join(F.slice("shape", F.col("level") + 1, F.lit(1 << 30)), "/")
+        last = F.when(F.size("shape") > F.col("level"), F.concat("template", F.lit("/"), rest)).otherwise(F.col("template"))
+        done.append(placed.filter("not open").withColumn("template", last).drop("open", "level"))
+        todo = placed.filter("open").drop("open")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        after = F.get("shape", F.col("level") + 1)
+        follows = F.when(after.isNull(), F.lit("")).when(after.rlike(r"\{"), F.regexp_extract(after, r"(\{\w+\})", 1)).when(after == "", F.lit("/")).otherwise(F.lit("word"))
+        here = todo.withColumn("point", point).withColumn("segment", F.get("shape", "level"))
+        # There are few kinds of segments, so a branch's distribution is a short list.
+        kinds = here.withColumn("follows", follows).groupBy("point", "segment", "follows").agg(*sums)
+        branches = held.hold(kinds.groupBy("point", "segment").agg(F.map_from_entries(F.collect_list(F.struct("follows", "n"))).alias("follows"), *sums), small=False)
+        points = branches.groupBy("point").agg(F.count("*").alias("fan"), F.sum("n").alias("all"))
+        judged = kit.spread_join(branches, points, "point", ["segment"])
+        variable = F.col("segment").rlike(r"\{") | (F.col("segment") == "")
         rare = (F.col("fan") > FAN_OUT) & (F.col("n") < RARE * F.col("all"))
-        share = F.when(F.col("all_known") > 0, F.col("all_bad") / F.col("all_known"))
-        error = F.sqrt(share * (1 - share) / F.col("known"))
-        apart = F.when(F.col("known") > 0, F.abs(F.col("bad") / F.col("known") - share) > APART * error + 1e-9)
-        merged = F.concat(F.lit("{"), "mostly", F.when(F.coalesce(apart, F.lit(False)), F.concat(F.lit("!"), "segment")).otherwise(F.lit("")), F.lit("}"))
-        step = F.when(F.col("segment").rlike(r"\{") | (F.col("segment") == ""), F.col("segment")).when(rare, F.lit("{any}")).when(F.col("fan") > 1, merged).otherwise(F.col("segment"))
-        named = joined.select("host", "template", "segment", step.alias("step"))
-        longer = F.when(F.col("step") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))
-        level = nodes.withColumn("segment", own).join(named, ["host", "template", "segment"]).select("host", "shape", "n", "known", "bad", "sampled", "sampled_bad", longer.alias("template"))
-        nodes = held.hold(level)
-    return nodes.withColumn("template", F.concat("template", F.get("shape", F.lit(LEVELS))))
-
-
-def lower_bound(bad: Column, known: Column) -> Column:
-    """Wilson's lower confidence bound of a share; 0 without labels."""
-    share, z = bad / known, F.lit(BOUND)
-    bound = (share + z * z / (2 * known) - z * F.sqrt(share * (1 - share) / known + z * z / (4 * known * known))) / (1 + z * z / known)
-    return F.when(known > 0, bound).otherwise(F.lit(0.0))
+        kind = F.when(variable, F.lit("as it is")).when(rare, F.lit("rare")).otherwise(F.lit("branch"))
+        judged = held.hold(judged.withColumn("kind", kind), small=False)
+        fixed = judged.filter("kind <> 'branch'").select("point", "segment", F.when(F.col("kind") == "rare", F.lit("{any}")).otherwise(F.col("segment")).alias("step"))
+        # At most FAN_OUT, or 1 / RARE, branches a point.
+        merged = judged.filter("kind = 'branch'").groupBy("point").applyInPandas(_merge, "point struct<host:string,template:string>, segment string, step string")
+        steps = fixed.unionByName(merged).select(F.struct("point", "segment").alias("branch"), "step")
+        stepped = kit.spread_join(here.withColumn("branch", F.struct("point", "segment")), steps, "branch", ["shape"])
+        todo = held.hold(stepped.withColumn("template", F.concat("template", F.lit("/"), "step")).withColumn("level", F.col("level") + 1).select(*columns), small=False)
 
 
 def purity(nodes: DataFrame) -> DataFrame:
-    """host, template, its smoothed share of blocked urls, the share of its urls that are labelled, and the lower bound of the share of blocked ones among given labels."""
-    by_template = nodes.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "known", "bad", "sampled", "sampled_bad")])
-    total = by_template.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("k"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).head()
-    base = (total.b + PRIOR * 0.5) / (total.k + PRIOR)
-    return by_template.select("host", "template", ((F.col("bad") + PRIOR * base) / (F.col("known") + PRIOR)).alias("purity"), (F.col("known") / F.col("n")).alias("covered"), lower_bound(F.col("sampled_bad"), F.col("sampled")).alias("least"))
+    """host, template and its smoothed share of blocked urls."""
+    labelled = nodes.filter("known > 0").groupBy("shape").agg(F.sum(F.col("bad") / F.col("known")).alias("b"), F.count("*").alias("hosts"))
+    shares = labelled.select("shape", ((F.col("b") + PRIOR * 0.5) / (F.col("hosts") + PRIOR)).alias("share"))
+    told = kit.spread_join(nodes, shares, "shape", ["host"], "left").withColumn("share", F.coalesce("share", F.lit(0.5)))
+    by_template = told.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"), (F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("prior"))
+    # Rounded, as the order of addition is not fixed.
+    return by_template.select("host", "template", F.round((F.col("bad") + PRIOR * F.col("prior")) / (F.col("known") + PRIOR), 9).alias("purity"))
 
 
 def judge(pages: DataFrame, held: kit.Durable, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -143,21 +176,18 @@ def judge(pages: DataFrame, held: kit.Durable, rules=RULES, labels: DataFrame |
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, decided = longest_rule(F.col("host"), F.col("path"), rules)
-    ruled = split.withColumn("rule", rule).withColumn("decided", decided)
+    ruled = split.withColumn("rule", rule).withColumn("decided", decided).withColumn("shape", shape(F.col("path")))
     own = F.when(F.col("decided") == "block", 1).when(F.col("decided") == "allow", 0)
     if labels is not None:
         given = labels.filter("blocked is not null").groupBy("page_id").agg(F.max(F.col("blocked").cast("int")).alias("given"))
         ruled = ruled.join(given, "page_id", "left")
         own = F.coalesce(own, F.col("given"))
-    else:
-        ruled = ruled.withColumn("given", F.lit(None).cast("int"))
-    # A label of a url that a rule decides says what the rule says, and nothing of other urls.
-    ruled = ruled.withColumn("given", F.when(F.col("decided").isNull(), F.col("given")))
-    nodes = templates(ruled.withColumn("label", own), held)
-    named = held.hold(nodes.join(purity(nodes), ["host", "template"]).select("host", "shape", "template", "purity", "covered", "least"))
-    out = ruled.withColumn("shape", shapes(ruled)).join(named, ["host", "shape"], "left")
-    rejected = (F.col("purity") >= REJECT) & ((F.col("least") >= MOST) | (F.col("covered") >= COVERED))
-    verdict = F.coalesce("decided", F.when(rejected, F.lit("block")).otherwise(F.lit("allow")))
+    nodes = held.hold(templates(ruled.withColumn("label", own), held), small=False)
+    point = F.struct("host", "template").alias("point")
+    rated = kit.spread_join(nodes.withColumn("point", point), purity(nodes).select(point, "purity"), "point", ["shape"])
+    named = held.hold(rated.select(F.struct("host", "shape").alias("node"), "template", "purity"), small=False)
+    out = kit.spread_join(ruled.withColumn("node", F.struct("host", "shape")), named, "node", ["page_id"], "left")
+    verdict = F.coalesce("decided", F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
