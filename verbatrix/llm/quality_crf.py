@@ -6,13 +6,14 @@ its neighbours. Forward-backward marginals of "good", weighted by the lines' len
 lines; a logistic curve fitted on the training texts turns that into a score.
 
 The field is fitted by gradient ascent on the likelihood of the training texts, whose lines all bear the text's label. The
-training set is a bounded sample: up to ``PER_CLASS`` labelled texts of each label, those of the least hash of their id, of
-each the first ``TRAIN_CHARS`` characters. Scores come from whole texts and from nothing else: no label, language, source
+training set is a bounded sample of whole texts: up to ``PER_CLASS`` labelled texts of each label, those of the least hash of
+their id, as far as they have ``CLASS_CHARS`` characters together. Scores come from whole texts and from nothing else: no label, language, source
 or id is an input.
 
 Defined cases: a null text counts as empty, an empty text is one empty line, and both get a score. Texts whose labels
 disagree, null labels and labels of unknown documents teach nothing. If one label is missing altogether, every text gets
-the smoothed share of good labels. A null id is not held out and teaches nothing. Repeated rows are scored one by one.
+the smoothed share of good labels. A null id is not held out and teaches nothing. Repeated rows are scored one by one; of
+rows that share an id the least text teaches. A text with more than ``CLASS_CHARS`` characters teaches nothing.
 Extra columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kit
@@ -31,7 +32,7 @@ from . import kit
 FOLDS = 3
 HELD_OUT = 1
 PER_CLASS = 1500
-TRAIN_CHARS = 20_000
+CLASS_CHARS = 6_000_000
 STEPS = 120
 RATE = 0.05
 RIDGE = 1e-3
@@ -218,9 +219,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     known = labels.filter("doc_id is not null and quality in (0, 1)").filter(kit.hash_fold("doc_id", FOLDS) != HELD_OUT)
     agreed = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
     chosen = kit.least_hashed(agreed, "quality", "doc_id", per_class).select(F.col("doc_id").alias("__vx_id"), F.col("quality").alias("__vx_quality"))
-    read = docs.select(F.col("doc_id").alias("id"), F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS).alias("text"))
-    sample = read.join(F.broadcast(chosen), F.col("id") == F.col("__vx_id")).select("id", "text", F.col("__vx_quality").alias("quality"))
-    rows = sample.orderBy("id", "text").limit(2 * per_class).toArrow()
+    read = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    # At most 2 * per_class rows are broadcast.
+    found = read.join(F.broadcast(chosen), F.col("id") == F.col("__vx_id")).groupBy("id").agg(F.min("text").alias("text"), F.min("__vx_quality").alias("quality"))
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("quality").orderBy(F.xxhash64("id"), "id"))
+    sample = found.withColumn("so_far", so_far).filter(F.col("so_far") <= CLASS_CHARS)
+    rows = sample.select("id", "text", "quality").orderBy("id").toArrow()
     return fit(rows["text"].to_pylist(), rows["quality"].to_pylist())
 
 
