@@ -4,8 +4,8 @@ A language's profile lists its most frequent character n-grams (one to three cha
 either side) in order. A text is compared by its own most frequent n-grams: each counts how far its rank is from its
 rank in the profile, or the profile's length if it is not there; the language with the least sum wins.
 
-Profiles are fitted on a bounded sample: up to ``PER_LANGUAGE`` training texts of each language, those of the least hash of
-their id, of each the first ``TRAIN_CHARS`` characters. Prediction reads every text whole.
+Profiles are fitted on a bounded sample: up to ``PER_LANGUAGE`` whole training texts of each language, those of the least
+hash of their id. Prediction reads every text whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. If nothing can be learned, every text is
 ``und``. Training texts that are null or whose language is null are left out. Equal distances go to the lesser language
@@ -28,7 +28,8 @@ HELD_OUT = 2
 PROFILE = 400
 SIZES = (1, 2, 3)
 PER_LANGUAGE = 400
-TRAIN_CHARS = 20_000
+#: The ids of the sample are broadcast up to so many rows.
+FEW = 1_000_000
 #: Bytes of text whose n-grams are numbered together.
 SLICE = 2 << 20
 BLANK = 32
@@ -120,7 +121,9 @@ def profiles(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, lis
     """The ranked n-grams of each language. What reaches the driver is ``PROFILE`` numbers a language."""
     usable = docs.filter("lang is not null and text is not null and doc_id is not null").filter(kit.hash_fold("doc_id", FOLDS) != HELD_OUT)
     chosen = kit.least_hashed(usable.select("doc_id", "lang"), "lang", "doc_id", per_language).distinct()
-    sample = usable.select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(chosen, ["doc_id", "lang"], "left_semi")
+    if chosen.count() <= FEW:
+        chosen = F.broadcast(chosen)
+    sample = usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
     counts = sample.select("lang", "text").mapInArrow(kit.lean(_train), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= PROFILE)
     out: dict[str, list[int]] = {}
