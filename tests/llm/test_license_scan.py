@@ -70,3 +70,18 @@ def test_whole_license_files_are_found(spark):
     assert {r.doc_id: r.license for r in got} == {1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: "Unlicense", 6: "Unlicense", 7: "MIT", 8: None, 9: None, 10: None, 11: None}
     assert all(r.digest == hashlib.sha256(plain(t).encode()).hexdigest() for r, (_, t) in zip(sorted(got), rows))
     assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0", "MIT", "ISC", "0BSD"} <= set(license_scan.DIGESTS.values())
+
+
+def test_many_known_licenses(spark, monkeypatch):
+    """Beyond the size that is broadcast the result is the same, also where many documents are one license."""
+    from verbatrix.llm import kit
+
+    mit = license_scan.KNOWN[0][1]
+    docs = spark.createDataFrame([(i, mit if i % 3 else f"text {i}") for i in range(300)] + [(None, UNLICENSE), (7, None)], "doc_id long, text string")
+    known = license_scan.known_licenses(spark)
+    want = sorted(map(str, license_scan.scan(docs, known, license_scan.DIGESTS).collect()))
+    monkeypatch.setattr(license_scan, "FEW_KNOWN", 0)
+    keys = kit.hot_keys
+    monkeypatch.setattr(kit, "hot_keys", lambda df, key, rows_each=50: keys(df, key, rows_each))
+    many = license_scan.scan(docs, known, license_scan.DIGESTS)
+    assert sorted(map(str, many.collect())) == want and "'MIT'" in str(want)

@@ -79,6 +79,15 @@ def test_all_links_are_counted(spark, held, monkeypatch, tile_keys):
     assert max(want.values()) >= 10
 
 
+def test_hot_shingles_and_groups_are_dealt_out(spark, held, monkeypatch):
+    """The same result where every key counts as hot."""
+    keys = kit.hot_keys
+    monkeypatch.setattr(kit, "hot_keys", lambda df, key, rows_each=2: keys(df, key, 2))
+    rows = list(enumerate(near_texts(3)))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), held).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_near_duplicates_on_documents(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = jaccard_join.op10_jaccard_join(spark, small).collect()
@@ -233,7 +242,7 @@ def test_mix_on_documents(spark, small):
         d = docs[r.doc_id]
         assert r.size == len(WORD.findall(d.text or "")) and r.source_size == size[d.source] and r.target == pytest.approx(float(aims[d.source])) and 0 <= r.taken <= 3 * r.size
         taken[d.source] += r.taken
-    assert len(rows) == len(docs) and sum(abs(taken[s] - aims[s]) for s in size) <= 0.1 * sum(size.values())
+    assert len(rows) == len(docs) and sum(abs(taken[s] - aims[s]) for s in size) <= 0.04 * sum(size.values())
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.op3_mixing(spark, small).collect()))
 
 
@@ -565,6 +574,15 @@ def test_vectors_match_brute_force(spark):
     assert vector_search.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_vectors_with_other_columns(spark):
+    """Columns whose names the operator uses itself are ignored."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 3)], i, 1.5, "x", [i], 7) for i in range(120)]
+    wide = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank long, score double, cell string, v array<int>, dim int")
+    v = vector_search.quantised(wide)
+    assert sorted(tuple(r) for r in vector_search.top_k(v.filter("vec_id % 50 = 0"), v).collect()) == brute_search([r[:2] for r in rows])
+
+
 def test_vectors_in_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "QUERY_TILE", 3)
     monkeypatch.setattr(vector_search, "SHARD_TILE", 17)
@@ -608,6 +626,13 @@ def test_pipeline_on_odd_input(spark, odd, empty, small):
 
     for start in (odd, empty):
         docs, held = start, kit.Durable(spark, "t")
-        for name, stage in corpus_pipeline.STAGES:
-            docs = held.write(stage(spark, docs, small), name)
-        assert docs.count() >= 0
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            before, docs = docs, held.write(stage(spark, docs, small), name)
+            if i < 4:
+                assert docs.schema == start.schema
+                ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+                assert ids(docs) <= ids(before)
+        rows = docs.collect()
+        # What is packed is what the mix took, text by text.
+        assert {r.doc_id for r in rows} == ids(before) and sum(r.start == 0 for r in rows) == before.count()
+        assert (start is empty) == (len(rows) == 0)

@@ -9,7 +9,8 @@ too, and copyright lines that only name a holder are taken out: those at the top
 a paragraph of their own. ``license_digests`` holds digests of loose forms of the common full licenses, each with and without
 its title and with and without what follows its terms. The column ``digest`` is of the canonical form always.
 
-Known licenses are a small table, at most ``MOST_KNOWN`` rows by check, so it may be broadcast; texts are not shuffled.
+Up to ``FEW_KNOWN`` known licenses are broadcast; more are met by digests that are shuffled, where the digest of a text that
+many documents have is dealt into parts. Texts are never shuffled.
 
 Defined cases: null, empty and blank texts have an empty form and no license. Repeated rows and null ids are judged one by
 one. Of known licenses with one form the name that sorts first counts. An empty table gives an empty result. Extra columns are
@@ -32,7 +33,7 @@ EQUIVALENT = (
     ("licence", "license"), ("sub license", "sublicense"), ("organisation", "organization"), ("copyright owner", "copyright holder"), ("non commercial", "noncommercial"),
     ("favour", "favor"), ("wilful", "willful"), ("fulfil ", "fulfill "), ("judgement", "judgment"), ("per cent", "percent"), ("http ", "https "),
 )
-MOST_KNOWN = 10_000
+FEW_KNOWN = 10_000
 #: Quotes, dashes, blanks, bullets and the like that are not ASCII.
 MARKS = "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f\u2032\u2033\u00ab\u00bb\u2039\u203a\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00ad\u2026\u2022\u00b7\u00a0\u2002\u2003\u2009\u200b\u202f\u3000\ufeff"
 _NAMED = r"[^a-z0-9\n]*copyright[ \t]+(?!(?:notice|holder|owner|law|license|permission|statement|protection|treat|interest|and|or|in|on|of|the|to|is|as|for)[a-z]*\b)[^\n]*"
@@ -83,14 +84,15 @@ def scan(docs: DataFrame, known: DataFrame, registered: dict[str, str] | None =
     """doc_id, digest and license (null if the text is none) of every document. known: name, text. registered: names by digests of loose forms."""
     forms = known.select("name", canonical(F.col("text")).alias("form")).filter("form <> ''")
     table = forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("name").alias("license"))
-    if table.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
-        raise ValueError(f"more than {MOST_KNOWN} known licenses")
     more = known.select(F.col("name"), loose(F.col("text")).alias("form")).filter("form <> ''").select(F.sha2("form", 256).alias("loose"), "name")
     if registered:
         more = more.unionByName(docs.sparkSession.createDataFrame(sorted(registered.items()), "loose string, name string"))
     more = more.groupBy("loose").agg(F.min("name").alias("by_loose"))
     own = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(loose(F.col("text")), 256).alias("loose"))
-    found = own.join(F.broadcast(table), "digest", "left").join(F.broadcast(more), "loose", "left")
+    # Digests of licenses are at most so many rows of each kind as there are names.
+    few = known.limit(FEW_KNOWN + 1).count() + len(registered or {}) <= FEW_KNOWN
+    meet = (lambda df, names, key: df.join(F.broadcast(names), key, "left")) if few else (lambda df, names, key: kit.spread_join(df, names, key, ["doc_id"], "left"))
+    found = meet(meet(own, table, "digest"), more, "loose")
     return found.select("doc_id", "digest", F.coalesce("license", "by_loose").alias("license"))
 
 

@@ -9,12 +9,13 @@ and up to three whose sizes come nearest to what is then missing.
 Targets: sources in code point order, null last, get the weights in turn and share the total size by them. A target that is
 above ``MOST`` times its source's size stops there, and the excess is shared by weight among the others until none is above.
 
-What reaches the driver is one row a pattern, that is, about one a source; documents are only ever summed, by hash
-buckets within a pattern, so a source with a third of all documents costs as many rows as any other.
+What reaches the driver is one row a pattern, that is, about one a source: the flow is solved there, and more than
+``MOST_PATTERNS`` are an error, not another result. Documents are only ever summed, by hash buckets within a pattern, so a
+source with a third of all documents costs as many rows as any other.
 
 Defined cases: a null or blank text has size 0 and takes nothing. A null source is a source of its own, the last. Repeated
-rows and null ids are documents of their own; rows that agree in id, size and pattern are taken alike. With equal hashes the smaller id comes first. An empty table gives an empty result. Extra columns are
-ignored.
+rows and null ids are documents of their own; rows that agree in id, size and pattern are taken alike. With equal hashes the
+smaller id comes first. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ MOST = 3
 SEED = 20240229
 #: Hash buckets within a pattern; only the bucket in which a pattern's remainder ends is sorted.
 CELLS = 1024
+MOST_PATTERNS = 1_000_000
 #: The cost of a pattern's words the first, second and third time.
 COSTS = (0, 1, 3)
 
@@ -145,6 +147,8 @@ def mix(sized: DataFrame, held: kit.Durable, weights=WEIGHTS, most: int = MOST,
     cell = F.pmod(F.xxhash64(*keys, "size", F.lit(seed)), F.lit(CELLS))
     named = sized.select(*keys, "size", "sources", cell.alias("cell"))
     cells = held.hold(named.groupBy("sources", "cell").agg(F.sum("size").alias("size")))
+    if (found := cells.select("sources").distinct().limit(MOST_PATTERNS + 1).count()) > MOST_PATTERNS:
+        raise ValueError(f"{found} patterns of sources or more; the flow is solved for up to {MOST_PATTERNS}")
     patterns = {tuple(r.sources): int(r.size) for r in cells.groupBy("sources").agg(F.sum("size").alias("size")).collect()}
     sizes: dict = defaultdict(int)
     for p, size in patterns.items():
