@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 HASH_LENGTH = 12
 SHINGLE = 40
+#: Characters whose windows are cut out of one piece.
+BLOCK = 256
 DUPLICATE = 0.85
 
 # The words that searching leaves out.
@@ -55,11 +57,12 @@ def tokens(text: Column) -> Column:
 def char_shingles(text: Column, width: int = SHINGLE) -> Column:
     """64-bit hashes of the distinct character windows of the collapsed, lower-case text; none if it is shorter than one.
 
-    The text is taken apart into characters once; substrings by position would scan it from its start each time.
+    The text is cut into blocks first: a substring by position is found by scanning from the start.
     """
-    chars = F.regexp_extract_all(F.lower(collapse(text)), F.lit("(?s)."), F.lit(0))
-    spread = lambda c: F.when(F.size(c) >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - (width - 1)), lambda i: F.xxhash64(F.slice(c, i, F.lit(width))))))
-    return F.coalesce(let(chars, spread), F.array().cast("array<bigint>"))
+    of_block = lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (width - 1)), lambda i: F.xxhash64(F.substring(b, i, F.lit(width))))
+    blocks = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - (width - 1), F.lit(BLOCK)), lambda i: F.substring(t, i, F.lit(BLOCK + width - 1)))
+    spread = lambda t: F.when(F.length(t) >= width, F.array_distinct(F.flatten(F.transform(blocks(t), of_block))))
+    return F.coalesce(let(F.lower(collapse(text)), spread), F.array().cast("array<bigint>"))
 
 
 def overlap_of(a: Column, b: Column) -> Column:

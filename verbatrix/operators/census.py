@@ -136,13 +136,15 @@ def find_tables(profiles: DataFrame, table_id: str | None = None, contains: list
 def percentiles(df: DataFrame, column: str, keys: tuple[str, ...] = (), points: tuple[int, ...] = (0, 25, 50, 75, 90, 100)) -> DataFrame:
     """p0, p25, ... by position: the value at floor(p / 100 * n) of the sorted values, or the last.
 
-    Values are ranked by a window and picked by position, so no group is gathered in one row.
+    Rows are counted by value first; what is ranked is the distinct values of a group.
     """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("here"))
     by = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("v"), (F.row_number().over(by.orderBy(column)) - 1).alias("i"), F.count("*").over(by).alias("n"))
+    upto = F.sum("here").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.select(*keys, "v", "here", upto.alias("upto"), F.sum("here").over(by).alias("n"))
     at = lambda p: F.least(F.floor(F.lit(p) / 100 * F.col("n")), F.col("n") - 1)
-    picks = [F.max(F.when(F.col("i") == at(p), F.col("v"))).alias(f"p{p}") for p in points]
-    return ranked.groupBy(*keys).agg(*picks)
+    holds = lambda p: (at(p) < F.col("upto")) & (at(p) >= F.col("upto") - F.col("here"))
+    return ranked.groupBy(*keys).agg(*[F.max(F.when(holds(p), F.col("v"))).alias(f"p{p}") for p in points])
 
 
 def bucket_counts(profiles: DataFrame) -> DataFrame:

@@ -11,32 +11,43 @@ RRF_K = 60
 DIGITS = 12
 
 
-def greedy_dedup(hits: DataFrame, threshold: float = T.DUPLICATE, keys: tuple[str, ...] = ("query_id",)) -> tuple[DataFrame, DataFrame]:
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """id and s, the shingles of (id, text); rows that share an id have one text."""
+    one = texts.groupBy("id").agg(F.first("text").alias("text"))
+    # An explicit number of partitions, as texts are small in bytes but not in work, and would be merged into one task.
+    spread = one.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    return spread.select("id", T.char_shingles(F.col("text")).alias("s"))
+
+
+def greedy_dedup(hits: DataFrame, threshold: float = T.DUPLICATE, keys: tuple[str, ...] = ("query_id",), sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """From ranked hits (keys, id, rank, text, ...): the kept ones, ranked anew, and (keys, id, kept_id) of the dropped.
 
-    In rank order a hit is dropped if it overlaps one that was kept before. A list is a query's top n, so its hits are
-    gathered in one row; the shingles of each are made once.
+    In rank order a hit is dropped if it overlaps one that was kept before. ``sets`` (id, s) are the shingles of all ids, where
+    they are known already. A list is a query's top n: its sets meet in one row, where each pair is compared once, and the
+    choice runs over ranks only.
     """
-    entry = F.struct("rank", "id", T.char_shingles(F.col("text")).alias("s"))
-    # An explicit number of partitions, as lists are small in bytes but not in work, and would be merged into one task.
-    spread = hits.repartition(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    known = shingle_sets(hits.select("id", "text")) if sets is None else sets
+    entry = F.struct("rank", "id", "s")
+    spread = hits.select(*keys, "id", "rank").join(known, "id").repartition(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     lists = spread.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("l"))
-    kind = "struct<kept:array<struct<id:string,s:array<bigint>>>,dropped:array<struct<id:string,kept_id:string>>>"
-    start = F.from_json(F.lit('{"kept":[],"dropped":[]}'), kind)
-    ids = hits.schema["id"].dataType
+    like = lambda l, e, k: F.filter(F.transform(F.slice(l, F.lit(1), k), lambda x, j: F.when(T.overlap_of(e["s"], x["s"]) >= threshold, j)), lambda j: j.isNotNull())
+    marked = T.let(F.col("l"), lambda l: F.transform(l, lambda e, k: F.struct(k.alias("i"), e["id"].alias("id"), like(l, e, k).alias("like"))))
+    judged = lists.select(*keys, marked.alias("m"))
+
+    kind = "struct<kept:array<int>,dropped:array<struct<i:int,by:int>>>"
+    start = F.struct(F.array().cast("array<int>").alias("kept"), F.array().cast("array<struct<i:int,by:int>>").alias("dropped")).cast(kind)
 
     def step(acc, e):
-        like = F.filter(acc["kept"], lambda k: T.overlap_of(e["s"], k["s"]) >= threshold)
-        own = e["id"].cast("string")
-        keep = F.struct(F.concat(acc["kept"], F.array(F.struct(own.alias("id"), e["s"].alias("s")))).alias("kept"), acc["dropped"].alias("dropped"))
-        drop = F.struct(acc["kept"].alias("kept"), F.concat(acc["dropped"], F.array(F.struct(own.alias("id"), F.get(like, F.lit(0))["id"].alias("kept_id")))).alias("dropped"))
-        return T.let(like, lambda found: F.when(F.size(found) > 0, drop).otherwise(keep)).cast(kind)
-
-    judged = lists.select(*keys, F.aggregate("l", start, step).alias("a"))
-    kept = judged.select(*keys, F.posexplode(F.transform("a.kept", lambda k: k["id"])).alias("i", "kept"))
-    fresh = kept.select(*keys, F.col("kept").cast(ids).alias("id"), (F.col("i") + 1).alias("new_rank"))
-    ranked = hits.join(fresh, [*keys, "id"]).withColumn("rank", F.col("new_rank")).drop("new_rank")
-    dropped = judged.select(*keys, F.inline("a.dropped")).select(*keys, F.col("id").cast(ids).alias("id"), F.col("kept_id").cast(ids).alias("kept_id"))
+        by = F.array_min(F.array_intersect(e["like"], acc["kept"]))
+        keep = F.struct(F.concat(acc["kept"], F.array(e["i"])).alias("kept"), acc["dropped"].alias("dropped")).cast(kind)
+        drop = F.struct(acc["kept"].alias("kept"), F.concat(acc["dropped"], F.array(F.struct(e["i"].alias("i"), by.alias("by")))).alias("dropped")).cast(kind)
+        return F.when(by.isNull(), keep).otherwise(drop)
+
+    chosen = judged.select(*keys, "m", F.aggregate("m", start, step).alias("a"))
+    id_at = lambda i: F.get("m", i)["id"]
+    kept = chosen.select(*keys, F.posexplode(F.transform("a.kept", id_at)).alias("i", "id")).select(*keys, "id", (F.col("i") + 1).alias("new_rank"))
+    ranked = hits.join(kept, [*keys, "id"]).withColumn("rank", F.col("new_rank")).drop("new_rank")
+    dropped = chosen.select(*keys, F.inline(F.transform("a.dropped", lambda d: F.struct(id_at(d["i"]).alias("id"), id_at(d["by"]).alias("kept_id")))))
     return ranked, dropped
 
 

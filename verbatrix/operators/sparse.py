@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of queries that are broadcast.
+FEW_TERMS = 100_000
 #: Scores are rounded, so that the order of addition does not decide ranks.
 DIGITS = 6
 
@@ -36,14 +39,15 @@ def token_counts(chunks: DataFrame) -> DataFrame:
 
 
 def build(chunks: DataFrame) -> SparseIndex:
-    """chunks: id, ord and text, and whatever columns filters use."""
-    postings = token_counts(chunks)
-    totals = chunks.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
+    """chunks: id, ord and text, and whatever columns filters use. Texts are tokenized once: the postings are written."""
+    postings = written(token_counts(chunks), "postings")
+    size = chunks.agg(F.count("*").alias("n"), F.count("text").alias("texts"))
+    totals = size.join(F.broadcast(postings.agg(F.sum("tf").alias("tokens")))).select("n", (F.coalesce("tokens", F.lit(0)) / F.col("texts")).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(totals.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    terms = raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+    terms = written(raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf")), "terms")
     return SparseIndex(postings, terms, totals, chunks)
 
 
@@ -54,7 +58,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def scores(index: SparseIndex, queries: DataFrame) -> DataFrame:
     """query_id, id and score of every chunk that shares a term with the query."""
-    hits = query_terms(queries).join(index.terms, "term").join(index.postings, "term").join(F.broadcast(index.totals))
+    asked = query_terms(queries).join(index.terms, "term")
+    # Few terms go to all postings, so that those of a frequent one stay where they are; many are met term by term.
+    if query_terms(queries).limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        asked = F.broadcast(asked)
+    hits = index.postings.join(asked, "term").join(F.broadcast(index.totals))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), DIGITS).alias("score"))
 

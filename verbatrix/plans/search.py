@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import dense, fusion, rerank, sparse
 from ..operators.sparse import SparseIndex
 from ..providers import Embedder, Scorer
+from ..functions.tables import written
 
 N, TOP = 20, 5
 META = ("company", "form", "period", "section", "kind")
@@ -17,7 +19,7 @@ META = ("company", "form", "period", "section", "kind")
 
 @dataclass
 class SearchResult:
-    """Every list of a search, each a DataFrame with query_id, id and rank."""
+    """Every list of a search, each a DataFrame with query_id, id and rank; and (query_id, id, kept_id, list) of what was dropped."""
 
     dense: DataFrame
     sparse: DataFrame
@@ -30,11 +32,14 @@ def search(queries: DataFrame, chunks: DataFrame, index: SparseIndex, embedder:
     """queries: query_id, query. chunks: id, ord, text, embedding and metadata columns."""
     about = chunks.select("id", "text", *[c for c in META if c in chunks.columns])
     asked = dense.embed(queries, embedder, "query") if "embedding" not in queries.columns else queries
-    # Lists hold n rows a query; each is read several times below, so it is kept rather than ranked anew.
-    near, _ = fusion.greedy_dedup(dense.search(asked, chunks, n, filters).join(about, "id").persist())
-    said, dropped = fusion.greedy_dedup(sparse.search(index, queries, n, filters).join(about, "id").persist())
-    near, said = near.persist(), said.persist()
-    fused = fusion.reciprocal_rank_fusion([near, said]).join(about, "id").persist()
-    kept, more = fusion.greedy_dedup(fused)
-    kept = kept if "kind" in kept.columns else kept.withColumn("kind", F.lit("narrative"))
-    return SearchResult(near, said, kept, rerank.rerank(kept, queries, scorer, top).persist(), dropped.unionByName(more))
+    # Lists hold n rows a query; each is read several times below, so it is written.
+    near = written(dense.search(asked, chunks, n, filters).join(about, "id"), "near")
+    said = written(sparse.search(index, queries, n, filters).join(about, "id"), "said")
+    sets = written(fusion.shingle_sets(near.select("id", "text").unionByName(said.select("id", "text"))), "sets")
+    (near, less), (said, fewer) = fusion.greedy_dedup(near, sets=sets), fusion.greedy_dedup(said, sets=sets)
+    near, said = written(near, "near"), written(said, "said")
+    fused = written(fusion.reciprocal_rank_fusion([near, said]).join(about, "id"), "fused")
+    kept, more = fusion.greedy_dedup(fused, sets=sets)
+    kept = written(kept if "kind" in kept.columns else kept.withColumn("kind", F.lit("narrative")), "kept")
+    dropped = [d.withColumn("list", F.lit(name)) for name, d in (("dense", less), ("sparse", fewer), ("fused", more))]
+    return SearchResult(near, said, kept, written(rerank.rerank(kept, queries, scorer, top), "reranked"), written(reduce(DataFrame.unionByName, dropped), "dropped"))
