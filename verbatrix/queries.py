@@ -224,7 +224,23 @@ def _sparse_hits(spark, sf_dir, n=20) -> DataFrame:
     return sparse.search(sparse.build(chunks), passages(spark, sf_dir), n).join(chunks.select("id", "text"), "id")
 
 
-@query()
+_TOP = "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 20)"
+_GREEDY = f"""
+, {_TOP},
+sh AS (SELECT doc_id, list_distinct(list_transform(range(greatest(length(t) - 39, 0)), lambda i: hash(substr(t, CAST(i + 1 AS BIGINT), 40)))) AS x FROM (SELECT doc_id, {_collapse("lower(text)")} AS t FROM documents WHERE doc_id IN (SELECT id FROM h))),
+pr AS (SELECT DISTINCT a.id AS a, b.id AS b FROM h a JOIN h b ON a.query_id = b.query_id AND a.rank < b.rank),
+sim AS (SELECT a, b FROM pr JOIN sh p ON p.doc_id = a JOIN sh q ON q.doc_id = b WHERE least(len(p.x), len(q.x)) > 0 AND len(list_intersect(p.x, q.x)) / least(len(p.x), len(q.x))::DOUBLE >= 0.85),
+likes AS (SELECT y.query_id, y.rank, list(x.rank) AS l FROM h x JOIN h y ON x.query_id = y.query_id AND x.rank < y.rank JOIN sim ON sim.a = x.id AND sim.b = y.id GROUP BY ALL),
+g AS (
+  SELECT query_id, CAST(1 AS BIGINT) AS rank, [CAST(1 AS BIGINT)] AS kept FROM h WHERE rank = 1
+  UNION ALL
+  SELECT g.query_id, h.rank, CASE WHEN list_has_any(g.kept, coalesce(likes.l, [])) THEN g.kept ELSE list_append(g.kept, h.rank) END
+  FROM g JOIN h ON h.query_id = g.query_id AND h.rank = g.rank + 1 LEFT JOIN likes ON likes.query_id = h.query_id AND likes.rank = h.rank),
+k AS (SELECT query_id, unnest(kept) AS rank, generate_subscripts(kept, 1) AS place FROM (SELECT query_id, max_by(kept, rank) AS kept FROM g GROUP BY query_id))
+""".replace("GROUP BY ALL", "GROUP BY y.query_id, y.rank")
+
+
+@query(_BM25.replace("WITH toks", "WITH RECURSIVE toks") + _GREEDY + "SELECT query_id, id, CAST(place AS INTEGER) AS rank, score FROM k JOIN h USING (query_id, rank)")
 def greedy_dedup(spark, sf_dir):
     """Ranked lists without near-duplicates, ranked anew."""
     return fusion.greedy_dedup(_sparse_hits(spark, sf_dir))[0].select("query_id", "id", "rank", "score")
@@ -343,14 +359,26 @@ def section_attribution(spark, sf_dir):
     return sections.attribute(made, bounds)[0].select("doc_id", "source_order", "section_id", F.length("text").alias("chars"))
 
 
-@query()
+# The same filings with other headings over the bodies: item 3 stands before items 1A and 2.
+_SHUFFLED = _FILINGS.replace("heads[i + 1]", "heads[[1, 4, 2, 3][i + 1]]")
+
+
+@query(_SHUFFLED + "SELECT CAST(g AS VARCHAR) AS doc_id, ['1', '3', '1A', '2'][i + 1] AS item, CAST(start AS INTEGER) AS start FROM o WHERE i <> 1")
 def monotonic_sections(spark, sf_dir):
     """Headings out of order: the longest sequence that rises stays."""
     found = sections.runs(sections.candidates(filings(spark, sf_dir, order=(0, 3, 1, 2))))
     return sections.monotonic(found.filter("start >= 84"))[0].select("doc_id", "item", "start")
 
 
-@query()
+@query(
+    _SHUFFLED
+    + """, z AS (SELECT g, any_value(len) AS len, sum(n) FILTER (i < 2) AS x, sum(n) FILTER (i = 2) AS y, sum(n) FILTER (i = 3) AS tail FROM o GROUP BY g),
+f AS (SELECT *, tail > 10 * greatest(x, y) AS unbounded FROM z)
+SELECT severity, code, count(*) AS n FROM (
+  SELECT 'warning' AS severity, 'toc_discarded' AS code FROM f UNION ALL SELECT 'error', 'non_monotonic' FROM f UNION ALL SELECT 'warning', 'missing_items' FROM f
+  UNION ALL SELECT 'warning', 'unbounded_tail' FROM f WHERE unbounded
+  UNION ALL SELECT 'warning', 'dominant_section' FROM f WHERE x / len::DOUBLE > 0.5 OR y / len::DOUBLE > 0.5 OR (tail / len::DOUBLE > 0.5 AND NOT unbounded)) GROUP BY ALL"""
+)
 def section_diagnostics(spark, sf_dir):
     """How many filings have which diagnostic."""
     return sections.detect(_filing_blocks(spark, sf_dir, order=(0, 3, 1, 2)))[1].groupBy("severity", "code").agg(F.count("*").alias("n"))
@@ -358,21 +386,21 @@ def section_diagnostics(spark, sf_dir):
 
 # Tables rendered from lineitem and read back.
 def rendered_tables(spark, sf_dir) -> DataFrame:
-    """One page a supplier of lineitem's quantities by line status and year."""
-    li = table(spark, sf_dir, "lineitem").filter("year(l_shipdate) in (1995, 1996)").select("l_suppkey", "l_linenumber", F.year("l_shipdate").alias("y"), "l_quantity")
-    sums = li.groupBy("l_suppkey", "l_linenumber").agg(*[F.sum(F.when(F.col("y") == y, F.col("l_quantity"))).cast("long").alias(f"y{y}") for y in (1995, 1996)]).filter("y1995 is not null and y1996 is not null")
+    """One page a supplier of all of lineitem's quantities by line number; odd years stand for 1995, even ones for 1996."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", (F.year("l_shipdate") % 2).alias("odd"), "l_quantity")
+    sums = li.groupBy("l_suppkey", "l_linenumber").agg(*[F.coalesce(F.sum(F.when(F.col("odd") == odd, F.col("l_quantity"))), F.lit(0)).cast("long").alias(f"y{y}") for odd, y in ((1, 1995), (0, 1996))])
     row = F.concat(F.lit("<tr><td>Line "), F.col("l_linenumber").cast("string"), F.lit("</td><td>$</td><td>"), F.format_number("y1995", 0), F.lit("</td><td>$</td><td>"), F.format_number("y1996", 0), F.lit("</td></tr>"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("r")))), lambda x: x["r"]), "")
-    pages = sums.groupBy("l_suppkey").agg(body.alias("b"), F.count("*").alias("n"))
+    pages = sums.groupBy("l_suppkey").agg(body.alias("b"))
     head = F.lit('</p><table><tr><td>(in millions)</td><td colspan="4">Year ended</td></tr><tr><td></td><td></td><td>FY1995</td><td></td><td>FY1996</td></tr>')
     html = F.concat(F.lit("<html><body><p>Quantities of supplier "), F.col("l_suppkey").cast("string"), head, F.col("b"), F.lit("</table></body></html>"))
-    return pages.filter("n >= 3").select(F.col("l_suppkey").cast("string").alias("doc_id"), F.lit("sec_filing").alias("doc_type"), html.alias("html"))
+    return pages.select(F.col("l_suppkey").cast("string").alias("doc_id"), F.lit("sec_filing").alias("doc_type"), html.alias("html"))
 
 
 _SUMS = """
-WITH q AS (
-  SELECT l_suppkey, l_linenumber, CAST(sum(l_quantity) FILTER (year(l_shipdate) = 1995) AS BIGINT) AS a, CAST(sum(l_quantity) FILTER (year(l_shipdate) = 1996) AS BIGINT) AS b
-  FROM lineitem GROUP BY ALL), t AS (SELECT * FROM q WHERE a IS NOT NULL AND b IS NOT NULL), s AS (SELECT * FROM t WHERE l_suppkey IN (SELECT l_suppkey FROM t GROUP BY 1 HAVING count(*) >= 3))
+WITH RECURSIVE s AS (
+  SELECT l_suppkey, l_linenumber, CAST(coalesce(sum(l_quantity) FILTER (year(l_shipdate) % 2 = 1), 0) AS BIGINT) AS a, CAST(coalesce(sum(l_quantity) FILTER (year(l_shipdate) % 2 = 0), 0) AS BIGINT) AS b
+  FROM lineitem GROUP BY ALL)
 """
 
 
@@ -400,13 +428,118 @@ def conversion_routing(spark, sf_dir):
     return _converted(spark, sf_dir).groupBy("status", "reason").agg(F.count("*").alias("tables"))
 
 
-@query()
+_PACKED = f"""
+, r AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, y) AS k, rec, 'Quantities of supplier ' || l_suppkey || ' (continued) | values in millions unless the record states otherwise' AS head FROM (
+  SELECT l_suppkey, l_linenumber, 1995 AS y, {_RECORD.format(1995, "a")} AS rec FROM s UNION ALL SELECT l_suppkey, l_linenumber, 1996, {_RECORD.format(1996, "b")} FROM s)),
+p AS (
+  SELECT l_suppkey, k, rec, head, 0 AS i, length(rec) AS chars, CAST(length(rec) > 120 AS INTEGER) AS over FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.l_suppkey, r.k, r.rec, r.head, CASE WHEN p.chars + length(r.rec) + 1 <= 120 THEN p.i ELSE p.i + 1 END,
+         CASE WHEN p.chars + length(r.rec) + 1 <= 120 THEN p.chars + length(r.rec) + 1 ELSE length(r.head) + 1 + length(r.rec) END,
+         CAST(p.chars + length(r.rec) + 1 > 120 AND length(r.head) + length(r.rec) + 1 > 120 AS INTEGER)
+  FROM p JOIN r ON r.l_suppkey = p.l_suppkey AND r.k = p.k + 1)
+SELECT CAST(l_suppkey AS VARCHAR) AS doc_id, CAST(i AS INTEGER) AS i, CASE WHEN i > 0 THEN any_value(head) || chr(10) ELSE '' END || string_agg(rec, chr(10) ORDER BY k) AS text, CAST(sum(over) AS INTEGER) AS oversize FROM p GROUP BY l_suppkey, i
+"""
+
+
+@query(_SUMS + _PACKED)
 def record_packing(spark, sf_dir):
     """Chunks of those tables' records, at a size at which they span several."""
     packed = chunking.pack_records(F.col("records"), chunking.continuation_header(), 120, 1)
     return _converted(spark, sf_dir).withColumn("table_title", F.col("title")).select("doc_id", F.posexplode(packed).alias("i", "c")).select("doc_id", "i", F.col("c.text").alias("text"), F.col("c.oversize").alias("oversize"))
 
 
+_TABLE_TEXT = "'(in millions) Year ended FY1995 FY1996 ' || string_agg('Line ' || l_linenumber || ' $ ' || format('{:,}', a) || ' $ ' || format('{:,}', b), ' ' ORDER BY l_linenumber)"
+_TABLE_HTML = """'<table><tr><td>(in millions)</td><td colspan="4">Year ended</td></tr><tr><td></td><td></td><td>FY1995</td><td></td><td>FY1996</td></tr>' ||
+  string_agg('<tr><td>Line ' || l_linenumber || '</td><td>$</td><td>' || format('{:,}', a) || '</td><td>$</td><td>' || format('{:,}', b) || '</td></tr>', '' ORDER BY l_linenumber) || '</table>'"""
+
+
+@query(_SUMS + f"SELECT CAST(l_suppkey AS VARCHAR) AS doc_id, 'Quantities of supplier ' || l_suppkey || ' ' || {_TABLE_TEXT} AS text FROM s GROUP BY l_suppkey")
+def filing_text(spark, sf_dir):
+    """Text of pages that were rendered from lineitem."""
+    return documents.document_text(rendered_tables(spark, sf_dir))
+
+
+@query(_SUMS + f"""
+, h AS (SELECT CAST(l_suppkey AS VARCHAR) AS d, 'Quantities of supplier ' || l_suppkey AS title, {_TABLE_HTML} AS html, {_TABLE_TEXT} AS flat FROM s GROUP BY l_suppkey)
+SELECT d AS doc_id, 0 AS source_order, 'text' AS block_type, d || '/text/' || substr(sha256(title), 1, 12) AS block_id, title || ' ' AS content FROM h
+UNION ALL SELECT d, 1, 'table', d || '/table/' || substr(sha256(html), 1, 12), flat FROM h
+""")
+def filing_blocks(spark, sf_dir):
+    """Blocks of those pages: the text before the table, and the table."""
+    made = documents.document_blocks(rendered_tables(spark, sf_dir))
+    return made.select("doc_id", "source_order", "block_type", "block_id", F.coalesce("text", "flat_text").alias("content"))
+
+
+def _filing_chunks(spark, sf_dir) -> DataFrame:
+    named = rendered_tables(spark, sf_dir).select("*", F.lit("acme").alias("company"), F.lit("10-K").alias("form"), F.lit("FY1996").alias("period"))
+    return corpus.build(named)[0]
+
+
+_CHUNK_LINES = f"""
+, r AS (SELECT l_suppkey, l_linenumber, 1995 AS y, a AS v, {_RECORD.format(1995, "a")} AS rec FROM s UNION ALL SELECT l_suppkey, l_linenumber, 1996, b, {_RECORD.format(1996, "b")} FROM s)
+"""
+
+
+@query(_SUMS + _CHUNK_LINES + """
+SELECT l_suppkey || '_0' AS id, 'narrative' AS kind, 'section_unknown' AS section, 'Quantities of supplier ' || l_suppkey || ' ' AS text FROM s GROUP BY l_suppkey
+UNION ALL SELECT l_suppkey || '_1', 'table_records', 'section_unknown', string_agg(rec, chr(10) ORDER BY l_linenumber, y) FROM r GROUP BY l_suppkey
+""")
+def filing_chunks(spark, sf_dir):
+    """Those pages read, converted, attributed to sections and cut into chunks; their tables are short enough to stay whole."""
+    return _filing_chunks(spark, sf_dir).select("id", "kind", "section", "text")
+
+
+@query(_SUMS + _CHUNK_LINES + """
+SELECT l_suppkey || '_1' AS id, substr(string_agg('Quantities of supplier ' || l_suppkey || ', line ' || l_linenumber || ', year ended FY' || y || ': $' || format('{:,}', v) || ' million', ' ' ORDER BY l_linenumber, y), 1, 1800) AS rendered FROM r GROUP BY l_suppkey
+""")
+def rendered_chunks(spark, sf_dir):
+    """Chunks of table records as prose."""
+    made = _filing_chunks(spark, sf_dir).filter("kind = 'table_records'")
+    return made.select("id", render.scoring_text(F.col("text"), F.col("kind")).alias("rendered"))
+
+
+# A table of each kind for every customer, and what becomes of it.
+_YEARS = "<tr><td>(in millions)</td><td>2026</td><td>2025</td></tr>"
+_LINES = "<tr><td>Revenue</td><td>$ 1,234</td><td>$ 1,000</td></tr><tr><td>Expense</td><td>567</td><td>500</td></tr><tr><td>Return</td><td>17%</td><td>20%</td></tr>"
+_KINDS = (
+    ("Selected data", _YEARS + _LINES, "converted_data", "DATA_NUMERIC_GRID", "likely_data", 6),
+    ("Selected data", '<tr><td>Periods</td><td colspan="2">Three months ended June 30,</td></tr>' + _YEARS + _LINES, "converted_superheader", "DATA_SUPERHEADER_RESOLVED", "likely_data", 6),
+    ("", _YEARS + _LINES, "ambiguous_preserved", "AMBIGUOUS_NO_TABLE_SCOPE", "likely_data", 4),
+    ("Total capital of", _YEARS + _LINES, "ambiguous_preserved", "AMBIGUOUS_NO_TABLE_SCOPE", "likely_data", 4),
+    ("Selected data", _LINES, "ambiguous_preserved", "AMBIGUOUS_HEADER_UNRESOLVED", "likely_data", 3),
+    ("Selected data", "<tr><td>Year</td><td>2026</td><td>2026</td></tr>" + "<tr><td>A</td><td>1</td><td>2</td></tr>" * 3, "ambiguous_preserved", "AMBIGUOUS_HEADER_AMBIGUOUS_PATHS", "likely_data", 4),
+    ("Selected data", "<tr><td></td><td>2026</td><td>Area</td><td>2025</td></tr>" + "<tr><td>A</td><td>1</td><td>Region</td><td>2</td></tr>" * 3, "ambiguous_preserved", "AMBIGUOUS_MULTIPLE_STUB_COLUMNS", "likely_data", 4),
+    ("Selected data", "<tr><td>Page 12</td></tr>", "layout_passthrough", "LAYOUT_SHORT_FURNITURE", "likely_layout", 0),
+    ("Selected data", "<tr><td>" + "words that only fill a page " * 8 + "</td></tr>", "layout_passthrough", "LAYOUT_PROSE", "likely_layout", 0),
+    ("Selected data", '<tr><td rowspan="2">Area</td><td>2026</td><td>2025</td></tr><tr><td>first</td><td>second</td></tr>' + "<tr><td>A</td><td>1</td><td>2</td></tr>" * 3, "converted_superheader", "DATA_SUPERHEADER_RESOLVED", "likely_data", 6),
+)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, k[1] AS status, k[2] AS reason, k[3] AS primary_bucket, CAST(k[4] AS INTEGER) AS n_records FROM (SELECT c_custkey, [" + ", ".join(f"['{k[2]}', '{k[3]}', '{k[4]}', '{k[5]}']" for k in _KINDS) + f"][c_custkey % {len(_KINDS)} + 1] AS k FROM customer)")
+def conversion_reasons(spark, sf_dir):
+    """Tables of every kind: which are converted, kept as they are or passed through, and why."""
+    html = F.array(*[F.lit(f"<html><body><p>{title}</p><table>{rows}</table></body></html>") for title, rows, *_ in _KINDS])
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit("sec_filing").alias("doc_type"), F.get(html, (F.col("c_custkey") % len(_KINDS)).cast("int")).alias("html"))
+    made = documents.converted(documents.document_tables(documents.parsed(pages)))
+    return made.select("doc_id", "status", "reason", "primary_bucket", F.size("records").alias("n_records"))
+
+
+@query("""
+SELECT doc_id AS query_id, doc_id % 3 = 0 AND doc_id % 4 <> 0 AS refused, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 0.35 WHEN doc_id % 4 = 0 THEN round(1 / (1 + exp(-0.5)), 3) ELSE 0.0 END AS confidence FROM documents
+""")
+def refusals(spark, sf_dir):
+    """Answers that say they do not know: only those that cite nothing count."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    said = F.when(F.col("doc_id") % 3 == 0, F.lit("The context does not provide this.")).otherwise(F.lit("It was so."))
+    text = F.concat(said, F.when(F.col("doc_id") % 4 == 0, F.lit(" [1]")).otherwise(F.lit("")))
+    made = d.select(F.col("doc_id").alias("query_id"), text.alias("answer_text"), F.create_map(F.lit(1), F.lit("c1")).alias("citation_map"))
+    cited = answer.resolve(made).filter("id is not null")
+    scored = cited.select("query_id", "id", F.lit(0.5).alias("rerank_score"))
+    rated = answer.confidence(made, cited, scored, None)
+    return made.select("query_id", answer.refused(F.col("answer_text"), F.size(answer.citations(F.col("answer_text")))).alias("refused")).join(rated, "query_id")
+
+
 @query("SELECT p, CAST(v AS BIGINT) AS v FROM (SELECT unnest([0, 25, 50, 75, 90, 100]) AS p), (SELECT list_sort(list(n_chars)) AS l FROM documents WHERE n_chars IS NOT NULL), LATERAL (SELECT l[least(CAST(floor(p / 100.0 * len(l)) AS BIGINT), len(l) - 1) + 1] AS v)")
 def census_percentiles(spark, sf_dir):
     """Percentiles by position of the documents' lengths."""
@@ -461,7 +594,11 @@ def citations_resolve(spark, sf_dir):
     return answer.resolve(_answers(spark, sf_dir))
 
 
-@query()
+@query(_CITED + f"""
+, t AS (SELECT doc_id, x, y, z, regexp_replace(translate(text, '[]', '()') || ' ', '^{_SPACE}+|{_SPACE}+$', '', 'g') AS claim FROM a JOIN documents USING (doc_id))
+SELECT doc_id AS query_id, CAST(position AS INTEGER) AS position, CAST(number AS INTEGER) AS number, claim FROM (
+  SELECT doc_id, 0 AS position, x AS number, claim FROM t UNION ALL SELECT doc_id, 1, y, '. More' FROM t UNION ALL SELECT doc_id, 2, z, '. More' FROM t UNION ALL SELECT doc_id, 3, 9, '. More' FROM t)
+""")
 def claims_split(spark, sf_dir):
     """The claim that each citation stands for."""
     return _answers(spark, sf_dir).select("query_id", F.posexplode(answer.claims(F.col("answer_text"))).alias("position", "c")).select("query_id", "position", "c.number", "c.claim")
