@@ -1,4 +1,5 @@
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,17 @@ from verbatrix.sources.records import QUESTION, RUN
 TEXTS = ["A is 1 [1]. B is 2 [2][3]. In [2025] C [1, 4].", "none", "[7]", " x [100] y [10 , 2]", ""]
 
 
+def plain_claims(text):
+    """``claims`` for one answer, in Python."""
+    out, at, claim = [], 0, ""
+    for m in re.finditer(answer.CITATION, text):
+        claim = text[at : m.start()].strip() or claim
+        out += [(int(n), claim) for n in m[1].split(",")]
+        at = m.end()
+    return out
+
+
+
 def frame(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "query_id int, answer_text string")
 
@@ -16,7 +28,7 @@ def test_citations_and_claims(spark):
     got = {r.query_id: (r.n, [tuple(c) for c in r.c]) for r in frame(spark).select("query_id", answer.citations(F.col("answer_text")).alias("n"), answer.claims(F.col("answer_text")).alias("c")).collect()}
     assert [got[i][0] for i in range(5)] == [[1, 2, 3, 4], [], [7], [10, 2], []]
     for i, t in enumerate(TEXTS):
-        assert got[i][1] == answer.plain_claims(t)
+        assert got[i][1] == plain_claims(t)
 
 
 def test_verdicts(spark):

@@ -3,12 +3,13 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from verbatrix.functions import text as T
-from verbatrix.operators import dense, fusion, render, rerank, sparse
+from verbatrix.operators import dense, fusion, grading, render, rerank, sparse
 from verbatrix.plans import answers, search
 from verbatrix.providers import ExtractiveModel, HashedEmbedder, LexicalScorer
-from verbatrix.sources import store
+from verbatrix.sources import records, store
 from verbatrix.streaming import incremental
 
 
@@ -132,6 +133,20 @@ def test_search_and_answer_end_to_end(spark, tmp_path):
     a = {r.query_id: r for r in done.answers.collect()}
     assert "plums" in a["q1"].answer_text and "[1]" in a["q1"].answer_text and a["q1"].answer_text_error is None
     assert all(0 <= r.confidence <= 1 for r in done.confidence.collect()) and done.verified.count() == 4
+    # What was done is recorded, stored, read back, verified anew and graded.
+    records.write_runs(answers.run_records(queries.withColumn("category", F.lit("narrative")), found, done), str(tmp_path / "runs"))
+    runs = records.read_runs(spark, str(tmp_path / "runs"))
+    stored = {r.question_id: r for r in runs.collect()}
+    assert set(stored) == {"q1", "q2"} and stored["q1"].answer_text == a["q1"].answer_text and stored["q1"].context.startswith("[1] (")
+    assert [h.id for h in stored["q1"].reranked][0] == "2" and stored["q1"].fused[0].found_in == {"dense": stored["q1"].fused[0].found_in["dense"], "sparse": 1} and stored["q1"].dense[0].rank == 1
+    assert [c.number for c in stored["q1"].resolved_citations] == stored["q1"].parsed_citations == [1, 2] and stored["q1"].resolved_citations[0].chunk_id == "2"
+    again, rated = answers.verify_runs(runs, ExtractiveModel())
+    assert again.count() == 4 and {r.query_id: r.confidence for r in rated.collect()} == {r.query_id: r.confidence for r in done.confidence.collect()}
+    kind = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(records.QUESTION).fields}
+    spec = spark.createDataFrame([("q1", '{"claims": ["plums became of it"]}'), ("q2", '{"claims": ["nothing of bananas whatsoever"]}')], "id string, e string")
+    expected = spec.select("id", F.lit("narrative").alias("category"), F.from_json("e", kind["expected"]).alias("expected"), F.from_json(F.lit("{}"), kind["evidence"]).alias("evidence"))
+    graded = grading.grade(runs, expected, grading.judged(runs, expected, ExtractiveModel()))
+    assert {r.question_id: r.correct for r in graded.collect()} == {"q1": True, "q2": False}
     store.write_collection(chunk_frame(spark, texts[:1]).withColumn("strategy", F.lit("s")).withColumn("block_id", F.lit("")), HashedEmbedder(), path, append=True)
     with pytest.raises(store.StaleIndex):
         store.read_sparse(spark, path)

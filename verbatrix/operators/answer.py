@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -143,13 +142,3 @@ def confidence(answers: DataFrame, cited: DataFrame, reranked: DataFrame, verifi
         out = out.join(held, "query_id", "left")
         value = SUPPORT * F.coalesce("support", F.lit(0.0)) + RETRIEVAL * F.col("retrieval")
     return out.select("query_id", F.when(F.col("refused"), F.lit(REFUSED)).otherwise(F.round(value, digits)).alias("confidence"))
-
-
-def plain_claims(answer: str) -> list[tuple[int, str]]:
-    """``claims`` for one answer, in Python."""
-    out, at, claim = [], 0, ""
-    for m in re.finditer(CITATION, answer):
-        claim = answer[at : m.start()].strip() or claim
-        out += [(int(n), claim) for n in m[1].split(",")]
-        at = m.end()
-    return out

@@ -6,15 +6,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..operators import answer
 from ..providers import LanguageModel
+from ..sources.records import RUN
 from .search import SearchResult
 
 # Prices in dollars for a million tokens, and tokens of one call.
 EMBEDDING_PRICE, INPUT_PRICE, OUTPUT_PRICE = 0.02, 0.15, 0.60
 QUESTION_TOKENS, VERIFY_TOKENS, JUDGE_TOKENS = (30, 1100, 300), (700, 25), (500, 30)
 CHARS_PER_TOKEN = 4.0
+METADATA = ("company", "form", "period", "section", "strategy", "kind", "block_id")
 
 
 @dataclass
@@ -37,6 +40,53 @@ def answer_questions(questions: DataFrame, found: SearchResult, model: LanguageM
     return Answered(answers, cited, verified, answer.confidence(answers, cited.filter("id is not null"), found.reranked, verified))
 
 
+def _metadata(df: DataFrame):
+    """The columns that describe a chunk, as far as df has them."""
+    return F.struct(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in METADATA]).alias("metadata")
+
+
+def _listed(df: DataFrame, name: str, order: str, *fields) -> DataFrame:
+    """query_id and its rows as one array, in order."""
+    entry = F.struct(F.col("id").cast("string").alias("id"), *fields, _metadata(df), "text")
+    by_place = lambda a, b: (a["at"] - b["at"]).cast("int")
+    return df.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), entry.alias("e"))), by_place), lambda x: x["e"]).alias(name))
+
+
+def run_records(questions: DataFrame, found: SearchResult, done: Answered, lists: tuple[str, ...] = ("dense", "sparse")) -> DataFrame:
+    """A row of ``records.RUN`` a question: every list of its search, what was dropped, its context, answer and citations.
+
+    questions: query_id, query and, if there is one, category. Lists hold a query's top n, so a run is a bounded row.
+    """
+    int_of, named = (lambda c: F.col(c).cast("int")), F.transform_keys("found_in", lambda k, v: F.get(F.array(*map(F.lit, lists)), k))
+    hits = lambda df, kind: (int_of("rank").alias("rank"), F.col("score").cast("double").alias("score"), F.lit(kind).alias("score_type"))
+    parts = [
+        _listed(found.dense, "dense", "rank", *hits(found.dense, "squared_l2_distance")),
+        _listed(found.sparse, "sparse", "rank", *hits(found.sparse, "bm25")),
+        _listed(found.fused, "fused", "rank", int_of("rank").alias("rank"), "rrf_score", named.alias("found_in")),
+        _listed(found.reranked, "reranked", "rerank_rank", int_of("rerank_rank").alias("rerank_rank"), "rerank_score", int_of("rank").alias("rrf_rank"), "rrf_score", named.alias("found_in")),
+        found.dropped.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("list", F.col("id").cast("string").alias("id"), F.col("kept_id").cast("string").alias("kept_id")))).alias("dropped")),
+    ]
+    about = found.reranked.select("query_id", "id", _metadata(found.reranked))
+    resolved = done.citations.join(about, ["query_id", "id"], "left").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("position", F.struct("number", F.col("id").cast("string").alias("chunk_id"), "metadata").alias("c")))).alias("r"))
+    mapped = F.transform(F.array_sort(F.map_entries("citation_map")), lambda e: F.struct(e["key"].alias("number"), e["value"].cast("string").alias("chunk_id")))
+    own = done.answers.select("query_id", "answer_text", "context", mapped.alias("citation_map"), answer.citations(F.col("answer_text")).alias("parsed_citations"), F.col("answer_text_error").alias("error"))
+    category = F.col("category") if "category" in questions.columns else F.lit(None).cast("string")
+    out = questions.select("query_id", F.col("query").alias("question"), category.alias("category")).join(own, "query_id", "left")
+    for part in (*parts, resolved.select("query_id", F.transform("r", lambda x: x["c"]).alias("resolved_citations"))):
+        out = out.join(part, "query_id", "left")
+    # What a question does not have is empty, not missing.
+    full = [F.coalesce(F.col(f.name), F.array()).cast(f.dataType).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(RUN).fields if f.name != "question_id"]
+    return out.select(F.col("query_id").cast("string").alias("question_id"), *full)
+
+
+def verify_runs(runs: DataFrame, model: LanguageModel) -> tuple[DataFrame, DataFrame]:
+    """The citations of stored runs, verified anew, and (query_id, confidence)."""
+    answers = runs.select(F.col("question_id").alias("query_id"), "answer_text", F.map_from_entries("citation_map").alias("citation_map"))
+    passages = runs.select(F.col("question_id").alias("query_id"), F.inline("reranked"))
+    verified = answer.verify(answers, passages.select("query_id", "id", "text"), model)
+    return verified, answer.confidence(answers, answer.resolve(answers).filter("id is not null"), passages, verified)
+
+
 def question_cost(questions: int) -> float:
     embed, read, write = QUESTION_TOKENS
     return questions * (embed * EMBEDDING_PRICE + read * INPUT_PRICE + write * OUTPUT_PRICE) / 1e6

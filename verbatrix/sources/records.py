@@ -21,7 +21,8 @@ FUSED = f"struct<id:string,rank:int,rrf_score:double,found_in:map<string,int>,me
 RERANKED = f"struct<id:string,rerank_rank:int,rerank_score:double,rrf_rank:int,rrf_score:double,found_in:map<string,int>,metadata:{METADATA},text:string>"
 RUN = (
     f"question_id string, question string, category string, answer_text string, dense array<{HIT}>, sparse array<{HIT}>, fused array<{FUSED}>, reranked array<{RERANKED}>, "
-    f"citation_map array<struct<number:int,chunk_id:string>>, parsed_citations array<int>, resolved_citations array<struct<number:int,chunk_id:string,metadata:{METADATA}>>"
+    f"citation_map array<struct<number:int,chunk_id:string>>, parsed_citations array<int>, resolved_citations array<struct<number:int,chunk_id:string,metadata:{METADATA}>>, "
+    "dropped array<struct<list:string,id:string,kept_id:string>>, context string, error string"
 )
 
 
@@ -44,13 +45,16 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
-    """One run a file, without those of failed questions."""
-    runs = spark.read.schema(RUN).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    runs = runs.filter(~F.input_file_name().endswith(".error.json") & F.col("question_id").isNotNull())
+    """Runs of a folder, one a file or one a line, without those of failed questions."""
+    read = lambda whole: spark.read.schema(RUN).option("multiLine", whole).option("pathGlobFilter", "*.json").json(path).filter(~F.input_file_name().endswith(".error.json") & F.col("question_id").isNotNull())
+    lines = read(False)
+    # Of a file with a run a line, reading it as one value finds the first run again.
+    runs = lines.unionByName(read(True).join(lines.select("question_id"), "question_id", "left_anti")).filter("error is null")
     return runs.filter(F.col("question_id").isin(ids)) if ids else runs
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
+    """A run a line; those of failed questions go along with their error, and are not read back as runs."""
     runs.write.mode("overwrite").json(path)
 
 
