@@ -1,13 +1,17 @@
 """Dense retrieval: exact nearest neighbours by squared Euclidean distance, and cosine similarity.
 
-Queries are a small stated set: they are broadcast only while their size is below ``BROADCAST_ROWS``, else both sides are
-dealt into blocks (queries by hash, each block met by all vectors in turn).
+Queries and vectors are packed into tiles, which meet in the cells of a grid: a tile of queries goes to each cell of its grid
+row, a tile of vectors to each cell of its grid column, so that neither side is ever sent whole to one task. A pair of tiles
+is one matrix product, of which each query keeps its best n; these short lists are ranked per query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -16,7 +20,9 @@ from ..providers import Embedder
 from .sparse import matching
 
 DIGITS = 6
-BROADCAST_ROWS = 4096
+QUERY_TILE, VECTOR_TILE = 256, 2048
+#: Pairs of a query and a vector that one cell of the grid works on, about.
+CELL_PAIRS = 1 << 30
 
 
 def _sum(values: Column) -> Column:
@@ -45,12 +51,57 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "emb
     return df.withColumn(out, run(F.col(text)))
 
 
-def _top(queries: DataFrame, vectors: DataFrame, n: int, value: Callable[[Column, Column], Column], largest: bool) -> DataFrame:
-    """Each query against all vectors, in blocks of queries; the best n are selected within each partition first."""
-    one = queries.select("query_id", F.col("embedding").alias("q"))
-    few = one.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pairs = vectors.select("id", "ord", "embedding").join(F.broadcast(one)) if few else vectors.select("id", "ord", "embedding").join(one)
-    scored = pairs.select("query_id", "id", "ord", F.round(value(F.col("q"), F.col("embedding")), DIGITS).alias("score")).filter("score is not null")
+def _tiles(df: DataFrame, rows: int, name: str, *columns: str) -> DataFrame:
+    """Vectors of one length, ``rows`` of them or less in a row: an array of (columns, embedding) in the order of the columns."""
+    usable = df.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
+    entry = F.struct(*columns, F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    placed = usable.select(F.size("embedding").alias("dim"), F.floor(F.monotonically_increasing_id() / rows).alias("tile"), entry.alias("x"))
+    return placed.groupBy("dim", "tile").agg(F.array_sort(F.collect_list("x")).alias(name))
+
+
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0)
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """NaN where a vector has no length."""
+    scale = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))
+    return (a @ b.T) / np.where(scale > 0, scale, np.nan)
+
+
+def _best(values: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, largest: bool):
+    """query_id, id, ord and score of each query's best n in a pair of tiles; of equal scores the first in the tile."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, v, dim = batch.column("q")[i].values, batch.column("v")[i].values, batch.column("dim")[i].as_py()
+                matrix = lambda x: np.asarray(x.field("e").flatten()).reshape(len(x), dim)
+                score = np.floor(values(matrix(q), matrix(v)) * 10**DIGITS + 0.5) / 10**DIGITS
+                key = np.where(np.isnan(score), np.inf, -score if largest else score)
+                order = np.argsort(key, axis=1, kind="stable")[:, :n]
+                rows, cols = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
+                found = np.isfinite(key[rows, cols])
+                rows, cols = rows[found], cols[found]
+                taken = [q.field("query_id").take(pa.array(rows)), v.field("id").take(pa.array(cols)), v.field("ord").take(pa.array(cols)), pa.array(score[rows, cols] + 0.0)]
+                yield pa.RecordBatch.from_arrays(taken, ["query_id", "id", "ord", "score"])
+
+    return run
+
+
+def _top(queries: DataFrame, vectors: DataFrame, n: int, values: Callable[[np.ndarray, np.ndarray], np.ndarray], largest: bool) -> DataFrame:
+    spark = queries.sparkSession
+    n_queries, n_vectors = max(1, queries.count()), max(1, vectors.count())
+    cells = max(spark.sparkContext.defaultParallelism, math.ceil(n_queries * n_vectors / CELL_PAIRS))
+    down = max(1, min(math.ceil(n_queries / QUERY_TILE), round(math.sqrt(cells * n_queries / n_vectors))))
+    across = max(1, math.ceil(cells / down))
+    of = lambda parts: F.pmod(F.xxhash64("tile"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = _tiles(queries, QUERY_TILE, "q", "query_id").select("dim", "q", of(down).alias("r"), every(across).alias("c"))
+    right = _tiles(vectors, VECTOR_TILE, "v", "ord", "id").select("dim", "v", every(down).alias("r"), of(across).alias("c"))
+    kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "id", "ord")) + ", score double"
+    scored = left.hint("shuffle_hash").join(right, ["r", "c", "dim"]).select("dim", "q", "v").mapInArrow(_best(values, n, largest), schema)
     order = F.desc("score") if largest else F.asc("score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "ord"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= n).select("query_id", "id", "rank", "score")
@@ -61,9 +112,9 @@ def search(queries: DataFrame, vectors: DataFrame, n: int = 20, filters: dict |
 
     queries: query_id, embedding. vectors: id, ord, embedding and the columns of the filters, which reach the scan.
     """
-    return _top(queries, matching(vectors, filters), n, squared_l2, largest=False)
+    return _top(queries, matching(vectors, filters), n, squared_distances, largest=False)
 
 
 def most_similar(queries: DataFrame, vectors: DataFrame, n: int = 20, filters: dict | None = None) -> DataFrame:
-    """As ``search``, by cosine similarity."""
-    return _top(queries, matching(vectors, filters), n, cosine, largest=True)
+    """As ``search``, by cosine similarity; vectors without length are similar to nothing."""
+    return _top(queries, matching(vectors, filters), n, cosines, largest=True)
