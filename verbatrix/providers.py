@@ -49,6 +49,16 @@ class HashedEmbedder:
         return out / np.where(norm > 0, norm, 1)
 
 
+class LetterCounts:
+    """How often a text has each letter from a to z, in either case: whole numbers, which any engine can restate."""
+
+    dimension = 26
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        return np.array([[(t or "").count(c) + (t or "").count(c.upper()) for c in letters] for t in texts], np.float32).reshape(len(texts), len(letters))
+
+
 class LexicalScorer:
     """The share of the query's words that the passage has, spread to the range -6 to 9."""
 

@@ -14,7 +14,7 @@ from .operators import answer, blocks, census, chunking, convert, dense, fusion,
 from .plans import answers as answer_plan
 from .plans import corpus
 from .plans import search as search_plan
-from .providers import ExtractiveModel, HashedEmbedder, LexicalScorer
+from .providers import ExtractiveModel, LetterCounts, LexicalScorer
 from .sources import documents
 
 QUERIES: dict = {}
@@ -264,11 +264,50 @@ def rrf_fusion(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir) -> search_plan.SearchResult:
-    chunks = dense.embed(whole_chunks(spark, sf_dir), HashedEmbedder())
-    return search_plan.search(passages(spark, sf_dir), chunks, sparse.build(whole_chunks(spark, sf_dir)), HashedEmbedder(), LexicalScorer())
+    embedder = LetterCounts()
+    chunks = dense.embed(whole_chunks(spark, sf_dir), embedder)
+    return search_plan.search(passages(spark, sf_dir), chunks, sparse.build(whole_chunks(spark, sf_dir)), embedder, LexicalScorer())
 
 
-@query()
+_LETTERS = "list_transform(range(97, 123), lambda c: length(t) - length(replace(t, chr(CAST(c AS INTEGER)), '')))"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t"
+
+
+def _greedy_sql(lists: str, out: str) -> str:
+    """CTEs that keep, of each list l of a query, what is not like an earlier kept one; ``out`` has l, query_id, id and the new rank."""
+    return f"""
+{out}_likes AS (SELECT y.l, y.query_id, y.rank, list(x.rank) AS likes FROM {lists} x JOIN {lists} y ON x.l = y.l AND x.query_id = y.query_id AND x.rank < y.rank JOIN sim ON sim.a = least(x.id, y.id) AND sim.b = greatest(x.id, y.id) GROUP BY y.l, y.query_id, y.rank),
+{out}_g AS (
+  SELECT l, query_id, CAST(1 AS BIGINT) AS rank, [CAST(1 AS BIGINT)] AS kept FROM {lists} WHERE rank = 1
+  UNION ALL
+  SELECT g.l, g.query_id, h.rank, CASE WHEN list_has_any(g.kept, coalesce(k.likes, [])) THEN g.kept ELSE list_append(g.kept, h.rank) END
+  FROM {out}_g g JOIN {lists} h ON h.l = g.l AND h.query_id = g.query_id AND h.rank = g.rank + 1 LEFT JOIN {out}_likes k ON k.l = h.l AND k.query_id = h.query_id AND k.rank = h.rank),
+{out}_k AS (SELECT l, query_id, unnest(kept) AS rank, generate_subscripts(kept, 1) AS place FROM (SELECT l, query_id, max_by(kept, rank) AS kept FROM {out}_g GROUP BY l, query_id)),
+{out} AS (SELECT l, query_id, id, CAST(place AS BIGINT) AS rank FROM {out}_k JOIN {lists} USING (l, query_id, rank))"""
+
+
+_HYBRID = _BM25.replace("WITH toks", "WITH RECURSIVE toks") + f"""
+, e AS (SELECT doc_id, {_LETTERS} AS e FROM (SELECT doc_id, {_LOWERED} FROM documents)),
+qe AS (SELECT item_id, {_LETTERS} AS e FROM (SELECT item_id, {_LOWERED} FROM benchmark)),
+dist AS (SELECT item_id AS query_id, doc_id AS id, list_sum(list_transform(list_zip(qe.e, e.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM qe, e),
+lists AS (
+  SELECT 0 AS l, query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM dist) WHERE rank <= 20
+  UNION ALL SELECT 1, query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 20),
+u AS (SELECT DISTINCT query_id, id FROM lists),
+sh AS (SELECT doc_id, list_distinct(list_transform(range(greatest(length(t) - 39, 0)), lambda i: hash(substr(t, CAST(i + 1 AS BIGINT), 40)))) AS x FROM (SELECT doc_id, {_collapse("lower(text)")} AS t FROM documents WHERE doc_id IN (SELECT id FROM u))),
+pr AS (SELECT DISTINCT a.id AS a, b.id AS b FROM u a JOIN u b ON a.query_id = b.query_id AND a.id < b.id),
+sim AS (SELECT a, b FROM pr JOIN sh p ON p.doc_id = a JOIN sh q ON q.doc_id = b WHERE least(len(p.x), len(q.x)) > 0 AND len(list_intersect(p.x, q.x)) / least(len(p.x), len(q.x))::DOUBLE >= 0.85),
+{_greedy_sql("lists", "one")},
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, min(l * 1000 + rank) AS seen FROM one GROUP BY query_id, id),
+fused AS (SELECT 2 AS l, query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen) AS rank FROM f),
+{_greedy_sql("fused", "two")},
+words AS (SELECT query_id, two.id, two.rank, list_distinct(regexp_extract_all(lower(coalesce(b.text, '')), '[a-z0-9]+')) AS w, regexp_extract_all(lower(coalesce(d.text, '')), '[a-z0-9]+') AS p FROM two JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = two.id),
+scored AS (SELECT query_id, id, rank, round(CASE WHEN len(w) > 0 THEN 15.0::DOUBLE * len(list_filter(w, lambda x: list_contains(p, x))) / len(w) - 6.0 ELSE -6.0 END, 6) AS rerank_score FROM words),
+rr AS (SELECT * FROM (SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rerank_rank FROM scored) WHERE rerank_rank <= 5)
+"""
+
+
+@query(_HYBRID + "SELECT query_id, id, CAST(rerank_rank AS INTEGER) AS rerank_rank, rerank_score FROM rr")
 def hybrid_search(spark, sf_dir):
     """Dense and sparse lists, fused and reranked, with offline models."""
     return _hybrid(spark, sf_dir).reranked.select("query_id", "id", "rerank_rank", "rerank_score")
@@ -665,7 +704,12 @@ def run_compare(spark, sf_dir):
     return grading.compare_runs(a, b).select("question_id", "in_a", "in_b", "answer_changed")
 
 
-@query()
+@query(_HYBRID + f"""
+, lead2 AS (SELECT query_id, rerank_rank, rerank_score, string_split(text, chr(10))[1] AS line FROM rr JOIN documents ON doc_id = id WHERE rerank_rank <= 2),
+said AS (SELECT query_id, rerank_rank, rerank_score, regexp_replace(CASE WHEN regexp_matches(line, '[.!?] ') THEN regexp_extract(line, '^(.*?[.!?]) ', 1) ELSE line END, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS sentence FROM lead2),
+made AS (SELECT query_id, string_agg(sentence || ' [' || rerank_rank || '].', ' ' ORDER BY rerank_rank) AS answer_text, avg(CAST(regexp_matches(lower(sentence), '[a-z0-9]') AS INTEGER)) AS support, max(rerank_score) AS best FROM said GROUP BY query_id)
+SELECT item_id AS query_id, coalesce(answer_text, 'The context does not provide this.') AS answer_text, CASE WHEN answer_text IS NULL THEN 0.35 ELSE round(0.6 * support + 0.4 / (1 + exp(-best)), 3) END AS confidence FROM benchmark LEFT JOIN made ON query_id = item_id
+""")
 def answer_questions(spark, sf_dir):
     """Questions answered, cited, verified and rated, with offline models."""
     asked = passages(spark, sf_dir)
@@ -673,6 +717,14 @@ def answer_questions(spark, sf_dir):
     return done.answers.select("query_id", "answer_text").join(done.confidence, "query_id")
 
 
+@query()
+def run_records(spark, sf_dir):
+    """Searches and answers as they are recorded: how long each list is, and what was dropped and cited."""
+    asked, found = passages(spark, sf_dir), _hybrid(spark, sf_dir)
+    runs = answer_plan.run_records(asked, found, answer_plan.answer_questions(asked, found, ExtractiveModel()))
+    return runs.select("question_id", "answer_text", *[F.size(c).alias(c) for c in ("dense", "sparse", "fused", "reranked", "dropped", "resolved_citations")])
+
+
 @query()
 def corpus_build(spark, sf_dir):
     """Pages read, cut by section and size, and named."""
