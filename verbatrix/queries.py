@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.tables import written
 from .operators import answer, blocks, census, chunking, convert, dense, fusion, grading, render, reports, sections, sparse
 from .plans import answers as answer_plan
 from .plans import corpus
@@ -221,7 +222,7 @@ def shingle_overlap(spark, sf_dir):
 
 def _sparse_hits(spark, sf_dir, n=20) -> DataFrame:
     chunks = whole_chunks(spark, sf_dir)
-    return sparse.search(sparse.build(chunks), passages(spark, sf_dir), n).join(chunks.select("id", "text"), "id")
+    return written(sparse.search(sparse.build(chunks), passages(spark, sf_dir), n).join(chunks.select("id", "text"), "id"), "hits")
 
 
 _TOP = "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 20)"
