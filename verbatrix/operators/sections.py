@@ -58,17 +58,26 @@ def _loose(literal: str) -> str:
     return (T.SPACE + "*").join(re.escape(c) for c in literal if not c.isspace())
 
 
-def heading_pattern(number: str, words: str) -> str:
-    return rf"(?iu){_loose('Item')}{T.SPACE}*{_loose(number)}{T.SPACE[:-1]}.]*{_loose(words)}"
+def heading_body(number: str, words: str) -> str:
+    return rf"{_loose(number)}{T.SPACE[:-1]}.]*{_loose(words)}"
+
+
+def headings_pattern(items: Sequence[tuple[str, str, str]]) -> str:
+    """Any of the items' headings; no two of them begin alike, so which one it is follows from the match."""
+    return rf"(?iu){_loose('Item')}{T.SPACE}*(?:{'|'.join(heading_body(number, words) for number, _, words in items)})"
 
 
 def candidates(texts: DataFrame, items: Sequence[tuple[str, str, str]] = ITEMS) -> DataFrame:
-    """doc_id, item, key, title, start, end, matched of every heading in (doc_id, text). Offsets are code points."""
-    named = lambda number, title: lambda m: F.struct(F.lit(number).alias("item"), F.lit(title).alias("title"), m.alias("m"))
-    each = [F.transform(T.match_spans(F.col("text"), heading_pattern(number, words)), named(number, title)) for number, title, words in items]
+    """doc_id, item, key, title, start, end, matched of every heading in (doc_id, text). Offsets are code points.
+
+    A text is scanned once for all items; only the matches, which are short, are told apart item by item.
+    """
     likely = texts.filter(F.col("text").rlike(rf"(?iu){_loose('Item')}"))
-    found = likely.select("doc_id", F.explode(F.flatten(F.array(*each))).alias("c"))
-    return found.select("doc_id", "c.item", sort_key(F.col("c.item")).alias("key"), "c.title", "c.m.start", "c.m.end", F.col("c.m.match").alias("matched"))
+    hits = likely.select("doc_id", F.inline(T.match_spans(F.col("text"), headings_pattern(items))))
+    whole = lambda number, words: F.col("match").rlike(rf"(?iu)\A{_loose('Item')}{T.SPACE}*{heading_body(number, words)}\z")
+    known = F.coalesce(*[F.when(whole(number, words), F.struct(F.lit(number).alias("item"), F.lit(title).alias("title"))) for number, title, words in items])
+    found = hits.withColumn("c", known)
+    return found.select("doc_id", "c.item", sort_key(F.col("c.item")).alias("key"), "c.title", "start", "end", F.col("match").alias("matched"))
 
 
 def sort_key(item: Column) -> Column:
