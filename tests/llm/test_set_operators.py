@@ -414,8 +414,8 @@ def brute_kind(segment):
     return re.sub(r"[0-9]+", "{number}", body) + dot if re.search("[0-9]", body) else segment
 
 
-def brute_templates(nodes):
-    """(host, shape) -> [n, known, bad] to (host, shape) -> template, by walking each host's tree."""
+def brute_templates(nodes, hosts):
+    """(host, shape) -> [n, known, bad] to (host, shape) -> template, by walking each host's tree. hosts: shape -> (host, share) of those that have labels."""
     import math
 
     out = {}
@@ -460,7 +460,8 @@ def brute_templates(nodes):
                     x = s[level + 1] if level + 1 < len(s) else None
                     m = re.search(r"\{\w+\}", x or "")
                     after["" if x is None else m[0] if m else "/" if x == "" else "word"] += nodes[host, s][0]
-                known, bad = (sum(nodes[host, s][i] for s in branches[b]) for i in (1, 2))
+                known = sum(nodes[host, s][1] + sum(h != host for h, _ in hosts[s]) for s in branches[b])
+                bad = sum(nodes[host, s][2] + sum(x for h, x in hosts[s] if h != host) for s in branches[b])
                 for lead in leaders:
                     if bool(lead[2]) == bool(known) and g_test(lead[1], after) and (not known or g_test({"b": lead[3], "g": lead[2] - lead[3]}, {"b": bad, "g": known - bad})):
                         lead[4].append(b)
@@ -500,13 +501,14 @@ def brute_urls(rows, labels=None):
         node[0] += 1
         node[1] += label is not None
         node[2] += bool(label)
-    template_of, hosts, told = brute_templates(nodes), defaultdict(list), {}
-    for (_, own), (_, known, bad) in nodes.items():
+    hosts, told = defaultdict(list), {}
+    for (host, own), (_, known, bad) in nodes.items():
         if known:
-            hosts[own].append(bad / known)
+            hosts[own].append((host, bad / known))
+    template_of = brute_templates(nodes, hosts)
     by_template = defaultdict(lambda: [0, 0, 0, 0.0])
     for (host, own), (n, known, bad) in nodes.items():
-        share = (sum(hosts[own]) + 2) / (len(hosts[own]) + 4)
+        share = (sum(x for _, x in hosts[own]) + 2) / (len(hosts[own]) + 4)
         at = by_template[host, template_of[host, own]]
         for k, x in enumerate((n, known, bad, n * share)):
             at[k] += x

@@ -7,8 +7,9 @@ templates. A host's paths form a tree of segments, which is generalised from the
   the extension that follows; a path of segments so far is its shape;
 - a branch point with many different segments, of which most are rare, turns its rare ones into one wildcard;
 - of the other branches each, from the largest on, is merged with the first larger one that it is similar to: G-tests find no
-  difference in what kinds of segments follow, nor in the shares of blocked urls among the labelled ones. A branch that has
-  labels is never similar to one that has none.
+  difference in what kinds of segments follow, nor in the shares of blocked urls among the evidence. That is a branch's own
+  labelled urls, and each other host that has labels of one of its shapes, as one url. A branch that has evidence is never
+  similar to one that has none.
 
 Labels are the urls that a rule decided, or labels that are given. A template's purity is the share of blocked ones among its
 labelled urls, smoothed towards what other hosts say of its shapes: a shape's share is the mean over the hosts that have
@@ -107,11 +108,11 @@ def differ(a: dict, b: dict) -> bool:
 
 def _merge(pdf):
     """The step of each branch of one branch point: its segment, or a wildcard that it shares with those it is similar to."""
-    rows = sorted(zip(pdf["n"], pdf["segment"], pdf["follows"], pdf["known"], pdf["bad"]), key=lambda r: (-r[0], r[1]))
+    rows = sorted(zip(pdf["n"], pdf["segment"], pdf["follows"], pdf["known"] + pdf["others"], pdf["bad"] + pdf["others_bad"]), key=lambda r: (-r[0], r[1]))
     leaders, led_by = [], {}
-    for _, segment, follows, known, bad in rows:
-        own = (dict(follows), {"bad": bad, "good": known - bad})
-        like = next((name for name, (after, labels) in leaders if (sum(labels.values()) > 0) == (known > 0) and not differ(after, own[0]) and not (known and differ(labels, own[1]))), None)
+    for _, segment, follows, seen, bad in rows:
+        own = (dict(follows), {"bad": bad, "good": seen - bad})
+        like = next((name for name, (after, labels) in leaders if (sum(labels.values()) > 0) == (seen > 0) and not differ(after, own[0]) and not (seen and differ(labels, own[1]))), None)
         if like is None:
             leaders.append((segment, own))
         else:
@@ -122,13 +123,21 @@ def _merge(pdf):
 
 
 def templates(urls: DataFrame, held: kit.Durable) -> DataFrame:
-    """From (host, path, label) to (host, shape, n, known, bad, template): label is 1 for blocked, 0 for allowed, null if unknown.
+    """From (host, shape, label) to (host, shape, n, known, bad, told, hosts, template): label is 1 for blocked, 0 for allowed, null if unknown.
+
+    hosts is how many hosts have labels of the shape, told the sum of their shares of blocked ones.
 
     Works on one row per host and shape, written after each level, so that plans stay short.
     """
     counted = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-    todo = held.hold(counted.withColumn("template", F.lit("")).withColumn("level", F.lit(0)), small=False)
-    columns, done, sums = todo.columns, [], [F.sum(c).alias(c) for c in ("n", "known", "bad")]
+    counted = held.hold(counted, small=False)
+    labelled = counted.filter("known > 0").groupBy("shape").agg(F.sum(F.col("bad") / F.col("known")).alias("told"), F.count("*").alias("hosts"))
+    told = kit.spread_join(counted, labelled, "shape", ["host"], "left").withColumns({"told": F.coalesce("told", F.lit(0.0)), "hosts": F.coalesce("hosts", F.lit(0))})
+    # Without the host's own share; differences of sums are rounded.
+    elsewhere = F.when(F.col("known") > 0, F.greatest(F.round(F.col("told") - F.col("bad") / F.col("known"), 9), F.lit(0.0))).otherwise(F.col("told"))
+    told = told.withColumns({"others_bad": elsewhere, "others": F.col("hosts") - (F.col("known") > 0).cast("int")})
+    todo = held.hold(told.withColumn("template", F.lit("")).withColumn("level", F.lit(0)), small=False)
+    columns, done, sums = todo.columns, [], [F.sum(c).alias(c) for c in ("n", "known", "bad", "others", "others_bad")]
     while True:
         # Nothing is left to tell apart where a path ends, or below a template with one shape.
         point = F.struct("host", "template").alias("point")
@@ -163,9 +172,7 @@ def templates(urls: DataFrame, held: kit.Durable) -> DataFrame:
 
 def purity(nodes: DataFrame) -> DataFrame:
     """host, template and its smoothed share of blocked urls."""
-    labelled = nodes.filter("known > 0").groupBy("shape").agg(F.sum(F.col("bad") / F.col("known")).alias("b"), F.count("*").alias("hosts"))
-    shares = labelled.select("shape", ((F.col("b") + PRIOR * 0.5) / (F.col("hosts") + PRIOR)).alias("share"))
-    told = kit.spread_join(nodes, shares, "shape", ["host"], "left").withColumn("share", F.coalesce("share", F.lit(0.5)))
+    told = nodes.withColumn("share", (F.col("told") + PRIOR * 0.5) / (F.col("hosts") + PRIOR))
     by_template = told.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"), (F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("prior"))
     # Rounded, as the order of addition is not fixed.
     return by_template.select("host", "template", F.round((F.col("bad") + PRIOR * F.col("prior")) / (F.col("known") + PRIOR), 9).alias("purity"))
