@@ -225,13 +225,14 @@ def _sparse_hits(spark, sf_dir, n=20) -> DataFrame:
     return written(sparse.search(sparse.build(chunks), passages(spark, sf_dir), n).join(chunks.select("id", "text"), "id"), "hits")
 
 
-_TOP = "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 20)"
+_TOP = "h AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 20)"
 _GREEDY = f"""
 , {_TOP},
 sh AS (SELECT doc_id, list_distinct(list_transform(range(greatest(length(t) - 39, 0)), lambda i: hash(substr(t, CAST(i + 1 AS BIGINT), 40)))) AS x FROM (SELECT doc_id, {_collapse("lower(text)")} AS t FROM documents WHERE doc_id IN (SELECT id FROM h))),
 pr AS (SELECT DISTINCT a.id AS a, b.id AS b FROM h a JOIN h b ON a.query_id = b.query_id AND a.rank < b.rank),
-sim AS (SELECT a, b FROM pr JOIN sh p ON p.doc_id = a JOIN sh q ON q.doc_id = b WHERE least(len(p.x), len(q.x)) > 0 AND len(list_intersect(p.x, q.x)) / least(len(p.x), len(q.x))::DOUBLE >= 0.85),
-likes AS (SELECT y.query_id, y.rank, list(x.rank) AS l FROM h x JOIN h y ON x.query_id = y.query_id AND x.rank < y.rank JOIN sim ON sim.a = x.id AND sim.b = y.id GROUP BY ALL),
+sx AS MATERIALIZED (SELECT doc_id, len(x) AS n, unnest(x) AS v FROM sh),
+sim AS MATERIALIZED (SELECT pr.a, pr.b FROM pr JOIN sx p ON p.doc_id = pr.a JOIN sx q ON q.doc_id = pr.b AND q.v = p.v GROUP BY pr.a, pr.b HAVING count(*) / any_value(least(p.n, q.n))::DOUBLE >= 0.85),
+likes AS MATERIALIZED (SELECT y.query_id, y.rank, list(x.rank) AS l FROM h x JOIN h y ON x.query_id = y.query_id AND x.rank < y.rank JOIN sim ON sim.a = x.id AND sim.b = y.id GROUP BY ALL),
 g AS (
   SELECT query_id, CAST(1 AS BIGINT) AS rank, [CAST(1 AS BIGINT)] AS kept FROM h WHERE rank = 1
   UNION ALL
@@ -297,7 +298,8 @@ lists AS (
 u AS (SELECT DISTINCT query_id, id FROM lists),
 sh AS (SELECT doc_id, list_distinct(list_transform(range(greatest(length(t) - 39, 0)), lambda i: hash(substr(t, CAST(i + 1 AS BIGINT), 40)))) AS x FROM (SELECT doc_id, {_collapse("lower(text)")} AS t FROM documents WHERE doc_id IN (SELECT id FROM u))),
 pr AS (SELECT DISTINCT a.id AS a, b.id AS b FROM u a JOIN u b ON a.query_id = b.query_id AND a.id < b.id),
-sim AS (SELECT a, b FROM pr JOIN sh p ON p.doc_id = a JOIN sh q ON q.doc_id = b WHERE least(len(p.x), len(q.x)) > 0 AND len(list_intersect(p.x, q.x)) / least(len(p.x), len(q.x))::DOUBLE >= 0.85),
+sx AS MATERIALIZED (SELECT doc_id, len(x) AS n, unnest(x) AS v FROM sh),
+sim AS MATERIALIZED (SELECT pr.a, pr.b FROM pr JOIN sx p ON p.doc_id = pr.a JOIN sx q ON q.doc_id = pr.b AND q.v = p.v GROUP BY pr.a, pr.b HAVING count(*) / any_value(least(p.n, q.n))::DOUBLE >= 0.85),
 {_greedy_sql("lists", "one")},
 f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, min(l * 1000 + rank) AS seen FROM one GROUP BY query_id, id),
 fused AS (SELECT 2 AS l, query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen) AS rank FROM f),
