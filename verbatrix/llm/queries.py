@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, license_scan, mixing, packing, quality_crf, quality_rules, substring_dedup, url_filter, vector_search
+from . import jaccard_join, language_id, license_scan, mixing, packing, quality_crf, quality_rules, substring_dedup, turn_repair, url_filter, vector_search
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op10_jaccard_links": jaccard_join.op10_jaccard_links,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
 }
 
 SQL: dict[str, str] = {
@@ -23,4 +24,5 @@ SQL: dict[str, str] = {
     "op6_substring_dedup": substring_dedup.SQL,
     "op8_vector_search": vector_search.SQL,
     "op10_jaccard_join": jaccard_join.SQL,
+    "op12_turn_repair": turn_repair.SQL,
 }
