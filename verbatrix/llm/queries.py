@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, license_scan, mixing, packing, quality_crf, quality_rules, substring_dedup, turn_repair, url_filter, vector_search
+from . import jaccard_join, language_id, license_scan, mixing, negative_mining, packing, quality_crf, quality_rules, substring_dedup, turn_repair, url_filter, vector_search
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op10_jaccard_links": jaccard_join.op10_jaccard_links,
     "op12_turn_repair": turn_repair.op12_turn_repair,
+    "op13_negative_mining": negative_mining.op13_negative_mining,
 }
 
 SQL: dict[str, str] = {
@@ -25,4 +26,5 @@ SQL: dict[str, str] = {
     "op8_vector_search": vector_search.SQL,
     "op10_jaccard_join": jaccard_join.SQL,
     "op12_turn_repair": turn_repair.SQL,
+    "op13_negative_mining": negative_mining.SQL,
 }

@@ -6,7 +6,7 @@ its grid column, so that neither side is ever sent whole to one task. Each pair
 every query keeps its best k. These short lists are merged per cell, then per query.
 
 Scores are integers. A product runs in single precision only where every partial sum is below 2**24, in double where it
-is below 2**53, and in Python integers beyond that, so it is exact always.
+is below 2**53, and in Python integers beyond that, so it is exact always. One that does not fit into 64 bits is an error.
 
 Defined cases: a vector that is null, or holds a null, NaN or infinite component, takes no part, nor does a null id.
 Vectors of different lengths are not compared; empty ones score 0 with each other. A query is never its own candidate:
@@ -75,7 +75,10 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if most < 2**53:
         return (a @ b.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m.tolist()], dtype=object).reshape(m.shape)
-    return np.clip(whole(a).dot(whole(b).T), -(2**63) + 1, 2**63 - 1).astype(np.int64)
+    exact = whole(a).dot(whole(b).T)
+    if exact.size and max(exact.max(), -exact.min()) >= 2**63:
+        raise OverflowError("an inner product does not fit into 64 bits")
+    return exact.astype(np.int64)
 
 
 def _multiply(k: int):
