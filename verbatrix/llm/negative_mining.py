@@ -59,7 +59,8 @@ def _pivots(rows: DataFrame, n: int, dims: list[int], most: float) -> dict[int,
         by_dim.setdefault(len(v), []).append(v)
     out = {}
     for dim in dims:
-        matrix = np.array(by_dim.get(dim, [[0.0] * dim]), float).reshape(-1, dim)
+        vectors = by_dim.get(dim, [[0.0] * dim])
+        matrix = np.array(vectors, float).reshape(len(vectors), dim)
         out[dim] = np.concatenate([matrix, np.sqrt(np.maximum(most**2 - (matrix**2).sum(1), 0))[:, None]], axis=1)
     return out
 
@@ -161,7 +162,7 @@ def _meet(wanted: int):
                 dim = row["dim"]
                 ints = {n: np.frombuffer(row[n], np.int64) for n in ("key", "anchor_id", "a_label", "bounds", "vec_id", "label")}
                 bounds = ints["bounds"].reshape(len(ints["key"]), -1, 2)
-                scores = vector_search.product(np.frombuffer(row["a_matrix"]).reshape(-1, dim), np.frombuffer(row["matrix"]).reshape(-1, dim))
+                scores = vector_search.product(np.frombuffer(row["a_matrix"]).reshape(len(ints["key"]), dim), np.frombuffer(row["matrix"]).reshape(len(ints["vec_id"]), dim))
                 other, same = ints["anchor_id"][:, None] != ints["vec_id"], ints["a_label"][:, None] == ints["label"]
                 for p in range(max(1, bounds.shape[1])):
                     allowed = other & ~same & (scores >= bounds[:, p, :1]) & (scores <= bounds[:, p, 1:]) if bounds.shape[1] else other & same
