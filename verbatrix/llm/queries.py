@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, license_scan, mixing, negative_mining, packing, quality_crf, quality_rules, substring_dedup, turn_repair, url_filter, vector_search
+from . import jaccard_join, language_id, license_scan, mixing, negative_mining, packing, quality_crf, quality_rules, substring_dedup, turn_repair, url_filter, vector_search, wrapper_extraction
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op10_jaccard_links": jaccard_join.op10_jaccard_links,
+    "op11_wrapper_extraction": wrapper_extraction.op11_wrapper_extraction,
     "op12_turn_repair": turn_repair.op12_turn_repair,
     "op13_negative_mining": negative_mining.op13_negative_mining,
 }
