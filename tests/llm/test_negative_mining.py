@@ -54,12 +54,13 @@ def test_bounds_leave_cells_out(spark):
 
     def counted(rows, ranges, keys):
         copies = keep(rows, ranges, keys)
-        copied.append((copies.count(), rows.count() * ranges.select("a_cell").distinct().count()))
+        copied.append((copies.count(), rows.count() * ranges.select("grp").distinct().count()))
         return copies
 
     rows = clusters(3, 2000, 4, 0.01)
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(negative_mining, "_copies", counted)
+        patch.setattr(negative_mining, "ANCHOR_TILE", 4)
         assert mined(spark, rows, 50) == expected(rows, 50)
     (near, all_near), (ring, all_ring) = copied
     assert near < 0.5 * all_near and ring < all_ring

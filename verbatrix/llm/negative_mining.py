@@ -4,16 +4,17 @@ Every vector gets one more component, ``sqrt(M^2 - |x|^2)`` with M the greatest
 of an anchor a and a row x is ``|a|^2 + M^2 - 2 a.x``: high scores are short distances. Rows are filed in the cell of the
 nearest of at most ``PIVOTS`` pivots, together with their distance to it. For anchors of a cell, with the range of distances
 that can matter to them, the triangle inequality gives for each other cell a range of distances to its pivot; only rows within
-are copied to the anchors' cell. There, tiles of anchors meet tiles of rows in exact matrix products, and short lists are merged.
+are copied to the anchors' group. There, tiles of anchors meet tiles of rows in exact matrix products, and short lists are merged.
 
 Positives: the range ends where the summary of cells (the ``POSITIVES + 1`` nearest ids a label and cell) proves enough rows of
-the label. Negatives: from the anchors' own cells comes a first list for each positive; where it is full, its last score bounds
+the label. Negatives: from the cells of the anchors' group comes a first list for each positive; where it is full, its last score bounds
 the range from below, elsewhere the lowest admissible score does. The highest admissible score bounds it from above.
 
-Anchors of a cell are dealt into tiles and copied rows into tiles, which meet on a grid, so that no cell goes whole to one task.
-Bounds are kept by (cell, cell), ``PIVOTS`` squared at most; those of positives by label too, as a table. Pivots are rows of a
+Cells that lie close together share a group, so that a group has about a tile of anchors: bounds are those of each cell, but a
+row is copied once for a group. Anchors of a group are dealt into tiles and copied rows into tiles, which meet on a grid, so that no
+group goes whole to one task. Bounds are kept by (cell, cell), ``PIVOTS`` squared at most; those of positives by label too, as a table. Pivots are rows of a
 bounded sample (``PIVOTS`` rows of least hash), all rows are filed. Scores are integers and exact (``vector_search.product``);
-ranges are widened by more than rounding can shift them, so no row is lost.
+ranges are widened by more than rounding can shift them, so no row is lost. Where bounds leave out little, as in many dimensions, few groups keep copies few.
 
 Defined cases: rows with a null id, label or vector, or a null or non-finite component, take no part. Vectors of different
 lengths are not compared. Rows that bear the anchor's id are neither its positives nor its negatives. Repeated rows count once
@@ -65,8 +66,17 @@ def _pivots(rows: DataFrame, n: int, dims: list[int], most: float) -> dict[int,
     return out
 
 
-def _file(pivots: dict[int, np.ndarray], most: float):
-    """The cell of every row and its distance to the pivot; also those of the row as an anchor, whose last component is 0."""
+def _grouped(p: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each pivot: seeds are chosen one by one, each farthest from those before, and gather what is nearest."""
+    seeds, far = [0], np.sqrt(((p - p[0]) ** 2).sum(1))
+    while len(seeds) < min(groups, len(p)):
+        seeds.append(int(far.argmax()))
+        far = np.minimum(far, np.sqrt(((p - p[seeds[-1]]) ** 2).sum(1)))
+    return np.stack([((p - p[i]) ** 2).sum(1) for i in seeds]).argmin(0).astype(np.int32)
+
+
+def _file(pivots: dict[int, np.ndarray], groups: dict[int, np.ndarray], most: float, dtype):
+    """The cell of every row, its group and its distance to the pivot; also those of the row as an anchor, whose last component is 0."""
 
     def nearest(matrix: np.ndarray, last: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         square = ((matrix**2).sum(1) + last**2)[:, None] + (p**2).sum(1) - 2 * (matrix @ p[:, :-1].T + last[:, None] * p[:, -1])
@@ -78,7 +88,7 @@ def _file(pivots: dict[int, np.ndarray], most: float):
         for batch in batches:
             n, offsets, flat = batch.num_rows, np.asarray(batch.column("v").offsets), np.asarray(batch.column("v").values)
             lengths = np.diff(offsets)
-            out = {"dim": lengths.astype(np.int32), "cell": np.zeros(n, np.int32), "r": np.zeros(n), "a_cell": np.zeros(n, np.int32), "a_r": np.zeros(n), "norm": np.zeros(n)}
+            out = {"dim": lengths.astype(np.int32), **{c: np.zeros(n, np.int32) for c in ("cell", "home", "a_cell", "grp")}, **{c: np.zeros(n) for c in ("r", "a_r", "norm")}}
             for dim in np.unique(lengths).tolist():
                 mine = np.flatnonzero(lengths == dim)
                 matrix = flat[offsets[mine][:, None] + np.arange(dim)]
@@ -86,44 +96,48 @@ def _file(pivots: dict[int, np.ndarray], most: float):
                 out["norm"][mine] = norm
                 out["cell"][mine], out["r"][mine] = nearest(matrix, np.sqrt(np.maximum(most**2 - norm, 0)), pivots[dim])
                 out["a_cell"][mine], out["a_r"][mine] = nearest(matrix, np.zeros(len(mine)), pivots[dim])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out.values())], [*batch.schema.names, *out])
+                out["home"][mine], out["grp"][mine] = groups[dim][out["cell"][mine]], groups[dim][out["a_cell"][mine]]
+            packed = kit.packed((flat[offsets[0] : offsets[-1]] + 0.0).astype(dtype), offsets - offsets[0])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), packed, *map(pa.array, out.values())], ["vec_id", "label", "v", *out])
 
     return run
 
 
-FILED = "vec_id long, label long, v array<double>, dim int, cell int, r double, a_cell int, a_r double, norm double"
+FILED = "vec_id long, label long, v binary, dim int, cell int, home int, a_cell int, grp int, r double, a_r double, norm double"
 
 
-def _apart(spark: SparkSession, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """dim, a_cell, cell, apart: the distances of pivots; at most PIVOTS squared rows and one a length."""
-    rows = [(dim, i, j, float(d)) for dim, p in pivots.items() for i, row in enumerate(p) for j, d in enumerate(np.sqrt(((p - row) ** 2).sum(1)))]
-    return spark.createDataFrame(rows, "dim int, a_cell int, cell int, apart double")
+def _apart(spark: SparkSession, pivots: dict[int, np.ndarray], groups: dict[int, np.ndarray]) -> DataFrame:
+    """dim, a_cell, cell, apart, and the groups of both cells; at most PIVOTS squared rows and one a length."""
+    rows = [(dim, i, j, float(d), int(groups[dim][i]), int(groups[dim][j])) for dim, p in pivots.items() for i, row in enumerate(p) for j, d in enumerate(np.sqrt(((p - row) ** 2).sum(1)))]
+    return spark.createDataFrame(rows, "dim int, a_cell int, cell int, apart double, grp int, home int")
 
 
 def _copies(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """rows, copied to each a_cell for which ``ranges`` (keys, a_cell, low, high) holds their distance to their own pivot."""
-    lists = ranges.groupBy(*keys).agg(F.collect_list(F.struct("a_cell", "low", "high")).alias("ranges"))
+    """rows, copied to each group for which ``ranges`` (keys, grp, low, high) holds their distance to their own pivot."""
+    lists = ranges.groupBy(*keys).agg(F.collect_list(F.struct("grp", "low", "high")).alias("ranges"))
     lists = lists.select(F.concat_ws(":", *keys).alias("key"), "ranges")
-    rows = rows.drop("a_cell").withColumn("key", F.concat_ws(":", *keys))
+    rows = rows.drop("grp").withColumn("key", F.concat_ws(":", *keys))
     joined = rows.join(F.broadcast(lists), "key") if ranges.count() * 24 <= BROADCAST_BYTES else kit.spread_join(rows, lists, "key", ["vec_id"])
     within = F.filter("ranges", lambda t: (F.col("r") >= t.low) & (F.col("r") <= t.high))
-    return joined.select("dim", "vec_id", "label", "v", F.explode(F.transform(within, lambda t: t.a_cell)).alias("a_cell"))
+    return joined.select("dim", "vec_id", "label", "v", F.explode(F.array_distinct(F.transform(within, lambda t: t.grp))).alias("grp"))
 
 
 def _tiles(names: list[str], rows: int):
-    """Pack rows that come sorted by dim, a_cell and part: up to ``rows`` of one group, 64-bit columns and the matrix as bytes."""
+    """Pack rows that come sorted by dim, grp and part: up to ``rows`` of one group, 64-bit columns and the vectors as bytes."""
 
     def run(batches):
         group, held, n = None, [], 0
 
         def emit(upto):
             nonlocal held, n
-            columns = [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))]
-            held, n = ([[c[upto:] for c in columns]], n - upto) if upto < n else ([], 0)
-            return pa.RecordBatch.from_arrays([*(pa.array([g], t) for g, t in zip(group, (pa.int32(), pa.int32(), pa.int32()))), *(pa.array([c[:upto].tobytes()], pa.binary()) for c in columns)], ["dim", "a_cell", "part", *names, "matrix"])
+            columns = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
+            vectors = [v for h in held for v in h[-1]]
+            held, n = ([[*(c[upto:] for c in columns), vectors[upto:]]], n - upto) if upto < n else ([], 0)
+            packed = [*(c[:upto].tobytes() for c in columns), b"".join(vectors[:upto])]
+            return pa.RecordBatch.from_arrays([*(pa.array([g], pa.int32()) for g in group), *(pa.array([x], pa.binary()) for x in packed)], ["dim", "grp", "part", *names, "matrix"])
 
         for batch in batches:
-            keys = [np.asarray(batch.column(k)) for k in ("dim", "a_cell", "part")]
+            keys = [np.asarray(batch.column(k)) for k in ("dim", "grp", "part")]
             edges = np.flatnonzero(kit.run_starts(*keys))
             for a, b in zip(edges, np.append(edges[1:], batch.num_rows)):
                 here = tuple(int(k[a]) for k in keys)
@@ -131,7 +145,7 @@ def _tiles(names: list[str], rows: int):
                     yield emit(n)
                 group, part = here, batch.slice(a, b - a)
                 wide = [np.asarray(part.column(c).flatten() if pa.types.is_list(part.column(c).type) else part.column(c)).astype(np.int64).reshape(b - a, -1) for c in names]
-                held.append([*wide, np.asarray(part.column("v").flatten()).reshape(b - a, here[0])])
+                held.append([*wide, part.column("v").to_pylist()])
                 n += b - a
                 while n >= rows:
                     yield emit(rows)
@@ -153,7 +167,7 @@ def _first(scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) ->
     return rows[place < k], cols[place < k]
 
 
-def _meet(wanted: int):
+def _meet(wanted: int, dtype):
     """Short lists of each anchor of a tile over a tile of rows: of its label, or for each of its bounds of other labels."""
 
     def run(batches):
@@ -162,7 +176,8 @@ def _meet(wanted: int):
                 dim = row["dim"]
                 ints = {n: np.frombuffer(row[n], np.int64) for n in ("key", "anchor_id", "a_label", "bounds", "vec_id", "label")}
                 bounds = ints["bounds"].reshape(len(ints["key"]), -1, 2)
-                scores = vector_search.product(np.frombuffer(row["a_matrix"]).reshape(len(ints["key"]), dim), np.frombuffer(row["matrix"]).reshape(len(ints["vec_id"]), dim))
+                a, b = (np.frombuffer(row[m], dtype).astype(np.float64).reshape(len(ints[ids]), dim) for m, ids in (("a_matrix", "key"), ("matrix", "vec_id")))
+                scores = vector_search.product(a, b)
                 other, same = ints["anchor_id"][:, None] != ints["vec_id"], ints["a_label"][:, None] == ints["label"]
                 for p in range(max(1, bounds.shape[1])):
                     allowed = other & ~same & (scores >= bounds[:, p, :1]) & (scores <= bounds[:, p, 1:]) if bounds.shape[1] else other & same
@@ -172,24 +187,24 @@ def _meet(wanted: int):
     return run
 
 
-def _join(anchors: DataFrame, copies: DataFrame, wanted: int, n_anchors: int, n_rows: int) -> DataFrame:
-    """key, positive, vec_id, score: short lists of all tiles of anchors over all tiles of rows that were copied to their cell.
+def _join(anchors: DataFrame, copies: DataFrame, wanted: int, n_anchors: int, n_rows: int, dtype) -> DataFrame:
+    """key, positive, vec_id, score: short lists of all tiles of anchors over all tiles of rows that were copied to their group.
 
-    Each cell's anchors are dealt into ``down`` parts and its rows into ``across``; a tile goes to all cells of its grid row or column.
+    Each group's anchors are dealt into ``down`` parts and its rows into ``across``; a tile goes to all cells of its grid row or column.
     """
     down, across = math.ceil(n_anchors / ANCHOR_PART) or 1, math.ceil(n_rows / ROW_PART) or 1
     spark = anchors.sparkSession
     parts = kit.buckets_for(anchors, "anchor_id")
 
     def tiles(df, deal, n, names, rows):
-        dealt = df.withColumn("part", F.pmod(F.xxhash64(deal), F.lit(n)).cast("int")).repartition(parts, "dim", "a_cell", "part").sortWithinPartitions("dim", "a_cell", "part")
-        return dealt.select("dim", "a_cell", "part", *names, "v").mapInArrow(kit.lean(_tiles(names, rows)), "dim int, a_cell int, part int, " + "".join(f"{c} binary, " for c in names) + "matrix binary")
+        dealt = df.withColumn("part", F.pmod(F.xxhash64(deal), F.lit(n)).cast("int")).repartition(parts, "dim", "grp", "part").sortWithinPartitions("dim", "grp", "part")
+        return dealt.select("dim", "grp", "part", *names, "v").mapInArrow(kit.lean(_tiles(names, rows)), "dim int, grp int, part int, " + "".join(f"{c} binary, " for c in names) + "matrix binary")
 
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     with kit.small_batches(spark):
         left = tiles(anchors, "key", down, ["key", "anchor_id", "a_label", "bounds"], ANCHOR_TILE).withColumnRenamed("matrix", "a_matrix").withColumnRenamed("part", "y").withColumn("x", all_of(across))
         right = tiles(copies, "vec_id", across, ["vec_id", "label"], ROW_TILE).withColumnRenamed("part", "x").withColumn("y", all_of(down))
-        return left.hint("shuffle_merge").join(right, ["dim", "a_cell", "x", "y"]).mapInArrow(kit.lean(_meet(wanted)), "key long, positive int, vec_id long, score long")
+        return left.hint("shuffle_merge").join(right, ["dim", "grp", "x", "y"]).mapInArrow(kit.lean(_meet(wanted, dtype)), "key long, positive int, vec_id long, score long")
 
 
 def _ranked(lists: DataFrame, most: int, *keys: str) -> DataFrame:
@@ -200,48 +215,50 @@ def mine(vectors: DataFrame, every: int = EVERY) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of ``labelled`` vectors."""
     spark = vectors.sparkSession
     held = kit.Durable(spark, "negatives", vectors)
-    total = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"), F.collect_set(F.size("v")).alias("dims")).head()
+    total = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"), F.collect_set(F.size("v")).alias("dims"), F.count_if(F.col("vec_id") % every == 0).alias("anchors")).head()
     most = math.sqrt(total.norm or 0.0)
     if not math.isfinite(most):
         raise OverflowError("a vector's norm is not finite")
     pivots = _pivots(vectors, total.n, total.dims, most)
-    apart = _apart(spark, pivots)
-    rows = held.write(vectors.mapInArrow(kit.lean(_file(pivots, most)), FILED), "filed")
+    groups = {dim: _grouped(p, math.ceil(total.anchors / ANCHOR_TILE)) for dim, p in pivots.items()}
+    apart = _apart(spark, pivots, groups)
+    dtype = np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64
+    rows = held.write(vectors.mapInArrow(kit.lean(_file(pivots, groups, most, dtype)), FILED), "filed")
     slack = F.lit(SLACK * most)
 
     anchors = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "label", "v"])
-    anchors = held.write(anchors.select(F.xxhash64("vec_id", "label", "v").alias("key"), F.col("vec_id").alias("anchor_id"), F.col("label").alias("a_label"), "dim", "a_cell", "a_r", "norm", "v", F.array().cast("array<long>").alias("bounds")), "anchors")
+    anchors = held.write(anchors.select(F.xxhash64("vec_id", "label", "v").alias("key"), F.col("vec_id").alias("anchor_id"), F.col("label").alias("a_label"), "dim", "a_cell", "grp", "a_r", "norm", "v", F.array().cast("array<long>").alias("bounds")), "anchors")
     n_anchors = anchors.count()
 
     # Positives: enough rows of the label are proven to lie within `far` of every anchor of the group.
     nearest = rows.groupBy("dim", "label", "cell", "vec_id").agg(F.min("r").alias("r"))
     nearest = nearest.withColumn("__vx_r", F.row_number().over(Window.partitionBy("dim", "label", "cell").orderBy("r", "vec_id"))).filter(F.col("__vx_r") <= POSITIVES + 1)
-    groups = anchors.groupBy("dim", "a_cell", F.col("a_label").alias("label")).agg(F.max("a_r").alias("reach"))
-    proven = groups.join(nearest, ["dim", "label"]).join(F.broadcast(apart), ["dim", "a_cell", "cell"]).withColumn("far", F.col("reach") + F.col("apart") + F.col("r"))
+    near = anchors.groupBy("dim", "a_cell", F.col("a_label").alias("label")).agg(F.max("a_r").alias("reach"))
+    proven = near.join(nearest, ["dim", "label"]).join(F.broadcast(apart.drop("grp", "home")), ["dim", "a_cell", "cell"]).withColumn("far", F.col("reach") + F.col("apart") + F.col("r"))
     proven = proven.withColumn("__vx_r", F.row_number().over(Window.partitionBy("dim", "a_cell", "label").orderBy("far"))).filter(F.col("__vx_r") == POSITIVES + 1).select("dim", "a_cell", "label", "far")
-    groups = groups.join(proven, ["dim", "a_cell", "label"], "left").withColumn("wide", F.col("reach") + F.coalesce("far", F.lit(float("inf"))) + slack)
-    near = held.write(groups.join(F.broadcast(apart), ["dim", "a_cell"]).select("dim", "label", "cell", "a_cell", (F.col("apart") - F.col("wide")).alias("low"), (F.col("apart") + F.col("wide")).alias("high")), "near")
+    near = near.join(proven, ["dim", "a_cell", "label"], "left").withColumn("wide", F.col("reach") + F.coalesce("far", F.lit(float("inf"))) + slack)
+    near = held.write(near.join(F.broadcast(apart), ["dim", "a_cell"]).select("dim", "label", "cell", "grp", (F.col("apart") - F.col("wide")).alias("low"), (F.col("apart") + F.col("wide")).alias("high")), "near")
     copies = _copies(rows, near, ["dim", "label", "cell"])
-    positives = held.write(_ranked(_join(anchors, copies, POSITIVES, n_anchors, total.n).drop("positive"), POSITIVES, "key").select("key", F.col("rank").alias("positive"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
+    positives = held.write(_ranked(_join(anchors, copies, POSITIVES, n_anchors, total.n, dtype).drop("positive"), POSITIVES, "key").select("key", F.col("rank").alias("positive"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
-    # Negatives: from the own cell first, then from all cells that the bounds leave.
+    # Negatives: from the own group first, then from all cells that the bounds leave.
     hundredth = lambda times, round_: round_(F.col("positive_score").cast("decimal(20,0)") * times / 100).cast("long")
     windows = positives.select("key", "positive", hundredth(LOW, F.ceil).alias("low"), hundredth(HIGH, F.floor).alias("high")).filter("low <= high")
     bounds = windows.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("positive", F.array("low", "high")))).alias("w"))
     none = F.array(F.lit(1).cast("long"), F.lit(0).cast("long"))
     bounded = held.write(anchors.drop("bounds").join(bounds, "key").withColumn("bounds", F.flatten(F.transform(F.sequence(F.lit(1), F.lit(POSITIVES)), lambda i: F.coalesce(F.try_element_at("w", i), none)))).drop("w"), "bounded")
-    own = _join(bounded, rows.drop("a_cell").withColumnRenamed("cell", "a_cell"), NEGATIVES, n_anchors, total.n)
+    own = _join(bounded, rows.drop("grp").withColumnRenamed("home", "grp"), NEGATIVES, n_anchors, total.n, dtype)
     first = held.write(_ranked(own, NEGATIVES, "key", "positive"), "first")
     full = first.filter(F.col("rank") == NEGATIVES).select("key", "positive", F.col("score").alias("tenth"))
     distance = lambda score: F.sqrt(F.greatest(F.lit(0.0), F.col("norm") + most**2 - 2 * score))
     needs = windows.join(full, ["key", "positive"], "left").groupBy("key").agg(F.min(F.coalesce("tenth", "low")).alias("least"), F.max("high").alias("most"))
     needs = bounded.join(needs, "key").groupBy("dim", "a_cell").agg(F.max("a_r").alias("reach"), F.max(distance(F.col("least"))).alias("far"), F.min(distance(F.col("most"))).alias("near"))
-    ring = needs.join(F.broadcast(apart), ["dim", "a_cell"]).filter("cell <> a_cell").select(
-        "dim", "cell", "a_cell",
+    ring = needs.join(F.broadcast(apart), ["dim", "a_cell"]).filter("home <> grp").select(
+        "dim", "cell", "grp",
         F.greatest(F.col("apart") - F.col("reach") - F.col("far"), F.col("near") - F.col("apart") - F.col("reach")) - slack, F.col("apart") + F.col("reach") + F.col("far") + slack,
     )
-    ring = held.write(ring.toDF("dim", "cell", "a_cell", "low", "high"), "ring")
-    rest = _join(bounded, _copies(rows, ring, ["dim", "cell"]), NEGATIVES, n_anchors, total.n)
+    ring = held.write(ring.toDF("dim", "cell", "grp", "low", "high"), "ring")
+    rest = _join(bounded, _copies(rows, ring, ["dim", "cell"]), NEGATIVES, n_anchors, total.n, dtype)
     negatives = _ranked(first.drop("rank").unionByName(rest), NEGATIVES, "key", "positive")
     named = anchors.select("key", "anchor_id").join(positives, "key").join(negatives, ["key", "positive"])
     return named.select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
