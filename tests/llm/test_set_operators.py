@@ -515,7 +515,7 @@ def brute_urls(rows, labels=None):
     for i, (host, path, rule, verdict, own) in found.items():
         n, known, bad, weight = by_template[host, template_of[host, own]]
         purity = (bad + 4 * weight / n) / (known + 4)
-        told[i] = (host, path, rule, verdict or ("block" if purity >= 0.7 else "allow"), template_of[host, own], round(purity, 6))
+        told[i] = (host, path, rule, verdict or ("block" if known and purity >= 0.7 else "allow"), template_of[host, own], round(purity, 6))
     return told
 
 
@@ -528,6 +528,9 @@ def test_urls_match_brute_force(spark):
     want = brute_urls([(r.page_id, r.url) for r in pages.select("page_id", "url").collect()])
     assert as_told(url_filter.op2_url_filter(spark, "/root/testdata/sf0.01")) == want
     assert {v for _, _, rule, v, _, _ in want.values() if rule is None} == {"allow", "block"}
+    # Shapes of other hosts reject nothing where a template has no label of its own.
+    ruled = {(h, t) for h, _, rule, _, t, _ in want.values() if rule}
+    assert all((h, t) in ruled for h, _, _, v, t, _ in want.values() if v == "block")
 
 
 def test_trees_match_brute_force(spark, held):

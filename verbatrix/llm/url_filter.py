@@ -13,9 +13,8 @@ templates. A host's paths form a tree of segments, which is generalised from the
 
 Labels are the urls that a rule decided, or labels that are given. A template's purity is the share of blocked ones among its
 labelled urls, smoothed towards what other hosts say of its shapes: a shape's share is the mean over the hosts that have
-labels of it, each host counting once, smoothed towards one half. A template is rejected if its purity reaches ``REJECT``. So a
-template without labels is judged by its shapes on other hosts, a shape that no host has labels of is allowed, and one host
-alone never decides for others.
+labels of it, each host counting once, smoothed towards one half. A template is rejected if it has a labelled url of its own and its
+purity reaches ``REJECT``: what other hosts say only smooths a host's own labels, so a template without labels is allowed.
 
 Segments are counted before any shuffle, so a host with a third of all pages costs one row a distinct shape; joins that such
 a host, or a shape that all hosts have, would gather in one task are dealt into parts. Depth costs one turn a level, for those
@@ -171,11 +170,11 @@ def templates(urls: DataFrame, held: kit.Durable) -> DataFrame:
 
 
 def purity(nodes: DataFrame) -> DataFrame:
-    """host, template and its smoothed share of blocked urls."""
+    """host, template, its number of labelled urls and its smoothed share of blocked ones."""
     told = nodes.withColumn("share", (F.col("told") + PRIOR * 0.5) / (F.col("hosts") + PRIOR))
     by_template = told.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"), (F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("prior"))
     # Rounded, as the order of addition is not fixed.
-    return by_template.select("host", "template", F.round((F.col("bad") + PRIOR * F.col("prior")) / (F.col("known") + PRIOR), 9).alias("purity"))
+    return by_template.select("host", "template", "known", F.round((F.col("bad") + PRIOR * F.col("prior")) / (F.col("known") + PRIOR), 9).alias("purity"))
 
 
 def judge(pages: DataFrame, held: kit.Durable, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -191,10 +190,10 @@ def judge(pages: DataFrame, held: kit.Durable, rules=RULES, labels: DataFrame |
         own = F.coalesce(own, F.col("given"))
     nodes = held.hold(templates(ruled.withColumn("label", own), held), small=False)
     point = F.struct("host", "template").alias("point")
-    rated = kit.spread_join(nodes.withColumn("point", point), purity(nodes).select(point, "purity"), "point", ["shape"])
-    named = held.hold(rated.select(F.struct("host", "shape").alias("node"), "template", "purity"), small=False)
+    rated = kit.spread_join(nodes.withColumn("point", point), purity(nodes).select(point, F.col("known").alias("labelled"), "purity"), "point", ["shape"])
+    named = held.hold(rated.select(F.struct("host", "shape").alias("node"), "template", "labelled", "purity"), small=False)
     out = kit.spread_join(ruled.withColumn("node", F.struct("host", "shape")), named, "node", ["page_id"], "left")
-    verdict = F.coalesce("decided", F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce("decided", F.when((F.col("labelled") > 0) & (F.col("purity") >= REJECT), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
