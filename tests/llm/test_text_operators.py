@@ -214,3 +214,43 @@ def test_quality_on_documents(spark, small, odd, empty):
     assert {r.score for r in quality_crf.score(odd, nothing).collect()} == {0.5}
     conflicting = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
     assert quality_crf.learn(docs, conflicting).constant == 0.5
+
+
+def long_and_short(n_long):
+    """Labelled texts of prose (1) and of junk (0), some bad ones far beyond the bound on a text."""
+    prose = "\n".join(f"The quiet river of the {w} valley runs on, and people walk along it in the evening." for w in ("green", "old", "lower", "wide"))
+    junk = "\n".join("%%% $$$ 8823 ### ||| <<< 0x" + str(i) * 9 for i in range(4))
+    rows = [(i, (prose if i % 2 else junk) + f"\nline {i}.", i % 2) for i in range(0, 60)]
+    return rows + [(1000 + i, junk * (quality_crf.TEXT_CHARS // len(junk) + 2), 0) for i in range(n_long)], prose, junk
+
+
+def test_oversize_texts_do_not_switch_the_classifier_off(spark):
+    """Wherever such texts come in the order of hashes, the model is the one learned without them."""
+    rows, prose, junk = long_and_short(12)
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model, short = quality_crf.learn(docs, labels), quality_crf.learn(docs.filter("doc_id < 1000"), labels.filter("doc_id < 1000"))
+    assert model.constant is None and np.array_equal(model.weights, short.weights) and (model.slope, model.shift) == (short.slope, short.shift)
+    assert [s >= 0.5 for s in quality_crf.scores(pa.array([prose, junk]), model)] == [True, False]
+
+
+def test_lines_of_one_text_get_both_labels():
+    """Half prose, half junk: lines are told apart although every training text bore one label, also where texts were mixed."""
+    rows, prose, junk = long_and_short(0)
+    texts, labels = [t for _, t, _ in rows], [q for *_, q in rows]
+    mixed = [prose + "\n" + junk.split("\n")[0]] * 6, [junk + "\n" + prose.split("\n")[0]] * 6
+    model = quality_crf.fit([*texts, *mixed[0], *mixed[1]], [*labels, *[1] * 6, *[0] * 6])
+    own, n_lines, lengths = quality_crf.line_features(pa.array([prose + "\n" + junk]))
+    marginal, _, _ = quality_crf.forward_backward(model.emissions(own, n_lines), n_lines, model.moves)
+    assert (marginal[:4] > 0.5).all() and (marginal[4:] < 0.5).all()
+    # End to end by enumeration of all labellings of a short text: marginals, their mean by length, the curve.
+    text = "\n".join([prose.split("\n")[0], junk.split("\n")[0], "", "line 7."])
+    own, n_lines, lengths = quality_crf.line_features(pa.array([text]))
+    odds = model.emissions(own, n_lines).astype(float)
+    total, good = 0.0, np.zeros(4)
+    for bits in range(16):
+        label = [bits >> k & 1 for k in range(4)]
+        weight = np.exp(sum(o for o, one in zip(odds, label) if one) + sum(model.moves[a, b] for a, b in zip(label, label[1:])))
+        total, good = total + weight, good + weight * np.array(label)
+    size = [max(1, len(line.encode())) for line in text.split("\n")]
+    share = float(good / total @ size / sum(size))
+    assert quality_crf.scores(pa.array([text]), model)[0] == pytest.approx(1 / (1 + np.exp(-(model.slope * (share - 0.5) + model.shift))), abs=1e-5)

@@ -5,15 +5,18 @@ and distinct words, lengths) and what the lines before and after look like weigh
 its neighbours. Forward-backward marginals of "good", weighted by the lines' lengths, give the text's share of good
 lines; a logistic curve fitted on the training texts turns that into a score.
 
-The field is fitted by gradient ascent on the likelihood of the training texts, whose lines all bear the text's label. The
-training set is a bounded sample of whole texts: up to ``PER_CLASS`` labelled texts of each label, those of the least hash of
-their id, as far as they have ``CLASS_CHARS`` characters together. Scores come from whole texts and from nothing else: no label, language, source
+The field is fitted by gradient ascent on the likelihood of the training texts. Labels are of texts, those of lines are latent:
+at first every line bears its text's label; then, in a few rounds of expectation and maximisation, a line bears what
+forward-backward says of it when each line is drawn towards its text's label by log odds of ``DRAWN``. So a good text may hold bad
+lines and a bad one good lines, and the chain learns how one follows the other. The training set is a bounded sample of whole texts: up to ``PER_CLASS`` labelled texts of each label, those of the least hash of
+their id, as far as they have ``CLASS_CHARS`` characters together. Texts beyond ``TEXT_CHARS`` are left out before that is summed
+up, so each label that has shorter texts is learned from twenty of them at least. Scores come from whole texts and from nothing else: no label, language, source
 or id is an input.
 
 Defined cases: a null text counts as empty, an empty text is one empty line, and both get a score. Texts whose labels
 disagree, null labels and labels of unknown documents teach nothing. If one label is missing altogether, every text gets
 the smoothed share of good labels. A null id is not held out and teaches nothing. Repeated rows are scored one by one; of
-rows that share an id the least text teaches. A text with more than ``CLASS_CHARS`` characters teaches nothing.
+rows that share an id the least text teaches. A text with more than ``TEXT_CHARS`` characters teaches nothing.
 Extra columns are ignored.
 """
 
@@ -33,7 +36,11 @@ FOLDS = 3
 HELD_OUT = 1
 PER_CLASS = 1500
 CLASS_CHARS = 6_000_000
-STEPS = 120
+TEXT_CHARS = CLASS_CHARS // 20
+#: Turns of ascent, and those before which lines are labelled anew.
+STEPS = 150
+RELABEL = (91, 111, 131)
+DRAWN = 2.0
 RATE = 0.05
 RIDGE = 1e-3
 #: Bytes of text whose characters are counted together.
@@ -195,6 +202,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     theta = [np.zeros(WIDTH), np.zeros((2, 2))]
     first, second = [np.zeros_like(p) for p in theta], [np.zeros_like(p) for p in theta]
     for turn in range(1, STEPS + 1):
+        if turn in RELABEL:
+            drawn = emissions(x, *ends, theta[0].astype(np.float32)) + DRAWN * (2 * np.repeat(y, n_lines) - 1)
+            label, seen, _ = forward_backward(drawn, n_lines, theta[1])
         marginal, expected, _ = forward_backward(emissions(x, *ends, theta[0].astype(np.float32)), n_lines, theta[1])
         slope = [emission_slope(x, *ends, (label - marginal).astype(np.float32)) / len(x) - RIDGE * theta[0], (seen - expected) / len(x) - RIDGE * theta[1]]
         for i, g in enumerate(slope):
@@ -222,6 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     read = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     # At most 2 * per_class rows are broadcast.
     found = read.join(F.broadcast(chosen), F.col("id") == F.col("__vx_id")).groupBy("id").agg(F.min("text").alias("text"), F.min("__vx_quality").alias("quality"))
+    found = found.filter(F.length("text") <= TEXT_CHARS)
     so_far = F.sum(F.length("text")).over(Window.partitionBy("quality").orderBy(F.xxhash64("id"), "id"))
     sample = found.withColumn("so_far", so_far).filter(F.col("so_far") <= CLASS_CHARS)
     rows = sample.select("id", "text", "quality").orderBy("id").toArrow()
