@@ -51,12 +51,12 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "emb
     return df.withColumn(out, run(F.col(text)))
 
 
-def _tiles(df: DataFrame, rows: int, name: str, *columns: str) -> DataFrame:
-    """Vectors of one length, ``rows`` of them or less in a row: an array of (columns, embedding) in the order of the columns."""
+def _tiles(df: DataFrame, rows: int, name: str, *columns: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Vectors of one length (and of equal keys), ``rows`` of them or less in a row: an array of (columns, embedding) in the order of the columns."""
     usable = df.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
     entry = F.struct(*columns, F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    placed = usable.select(F.size("embedding").alias("dim"), F.floor(F.monotonically_increasing_id() / rows).alias("tile"), entry.alias("x"))
-    return placed.groupBy("dim", "tile").agg(F.array_sort(F.collect_list("x")).alias(name))
+    placed = usable.select(*keys, F.size("embedding").alias("dim"), F.floor(F.monotonically_increasing_id() / rows).alias("tile"), entry.alias("x"))
+    return placed.groupBy(*keys, "dim", "tile").agg(F.array_sort(F.collect_list("x")).alias(name))
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,16 +79,41 @@ def _best(values: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, larges
                 matrix = lambda x: np.asarray(x.field("e").flatten()).reshape(len(x), dim)
                 score = np.floor(values(matrix(q), matrix(v)) * 10**DIGITS + 0.5) / 10**DIGITS
                 key = np.where(np.isnan(score), np.inf, -score if largest else score)
-                order = np.argsort(key, axis=1, kind="stable")[:, :n]
-                rows, cols = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
-                found = np.isfinite(key[rows, cols])
-                rows, cols = rows[found], cols[found]
+                # Whatever reaches the n-th best value, then those in order of value and place.
+                bar = np.partition(key, n - 1, axis=1)[:, n - 1 : n] if key.shape[1] > n else np.inf
+                rows, cols = np.nonzero((key <= bar) & np.isfinite(key))
+                order = np.lexsort((cols, key[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+                rows, cols = rows[place < n], cols[place < n]
                 taken = [q.field("query_id").take(pa.array(rows)), v.field("id").take(pa.array(cols)), v.field("ord").take(pa.array(cols)), pa.array(score[rows, cols] + 0.0)]
                 yield pa.RecordBatch.from_arrays(taken, ["query_id", "id", "ord", "score"])
 
     return run
 
 
+def meet(queries: DataFrame, vectors: DataFrame, keys: list[str], spread: int, n: int, values: Callable[[np.ndarray, np.ndarray], np.ndarray], largest: bool) -> DataFrame:
+    """query_id, id, ord and score: short lists of queries over vectors of equal keys, tile by tile.
+
+    The tiles of a key's vectors are dealt into ``spread`` parts, and its queries are sent to each.
+    """
+    left = _tiles(queries, QUERY_TILE, "q", "query_id", keys=tuple(keys)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    right = _tiles(vectors, VECTOR_TILE, "v", "ord", "id", keys=tuple(keys)).withColumn("c", F.pmod(F.xxhash64("tile"), F.lit(spread)).cast("int"))
+    return _scored(left.join(right.drop("tile"), [*keys, "dim", "c"]), queries, vectors, values, n, largest)
+
+
+def _scored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, values, n: int, largest: bool) -> DataFrame:
+    kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "id", "ord")) + ", score double"
+    return pairs.select("dim", "q", "v").mapInArrow(_best(values, n, largest), schema)
+
+
+def ranked(scored: DataFrame, n: int, largest: bool) -> DataFrame:
+    """query_id, id, rank and score: the best n of each query's short lists."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score") if largest else F.asc("score"), "ord"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= n).select("query_id", "id", "rank", "score")
+
+
 def _top(queries: DataFrame, vectors: DataFrame, n: int, values: Callable[[np.ndarray, np.ndarray], np.ndarray], largest: bool) -> DataFrame:
     spark = queries.sparkSession
     n_queries, n_vectors = max(1, queries.count()), max(1, vectors.count())
@@ -99,12 +124,7 @@ def _top(queries: DataFrame, vectors: DataFrame, n: int, values: Callable[[np.nd
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = _tiles(queries, QUERY_TILE, "q", "query_id").select("dim", "q", of(down).alias("r"), every(across).alias("c"))
     right = _tiles(vectors, VECTOR_TILE, "v", "ord", "id").select("dim", "v", every(down).alias("r"), of(across).alias("c"))
-    kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "id", "ord")) + ", score double"
-    scored = left.hint("shuffle_hash").join(right, ["r", "c", "dim"]).select("dim", "q", "v").mapInArrow(_best(values, n, largest), schema)
-    order = F.desc("score") if largest else F.asc("score")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "ord"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= n).select("query_id", "id", "rank", "score")
+    return ranked(_scored(left.hint("shuffle_hash").join(right, ["r", "c", "dim"]), queries, vectors, values, n, largest), n, largest)
 
 
 def search(queries: DataFrame, vectors: DataFrame, n: int = 20, filters: dict | None = None) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions.tables import written
-from .operators import answer, blocks, census, chunking, convert, dense, fusion, grading, render, reports, sections, sparse
+from .functions.tables import shared_path, written
+from .operators import ann, answer, blocks, census, chunking, convert, dense, fusion, grading, render, reports, sections, sparse
 from .plans import answers as answer_plan
 from .plans import corpus
 from .plans import search as search_plan
@@ -199,6 +199,39 @@ def cosine_topk(spark, sf_dir):
     return dense.most_similar(*_vectors(spark, sf_dir), n=10)
 
 
+def _filed(spark, sf_dir) -> ann.VectorIndex:
+    return ann.build(_vectors(spark, sf_dir)[1], shared_path(spark, "vectors"))
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """The nearest vectors by an inverted file that probes as many lists as a sample of queries needs."""
+    index, queries = _filed(spark, sf_dir), _vectors(spark, sf_dir)[0]
+    return ann.search(index, queries, probes=ann.probes_for(index, queries))
+
+
+@query(_VECTOR_SQL.format(value=_L2, order="ASC", where="", n=20))
+def ann_all_lists(spark, sf_dir):
+    """The same file with all lists probed: exact search."""
+    index = _filed(spark, sf_dir)
+    return ann.search(index, _vectors(spark, sf_dir)[0], probes=len(index.centroids))
+
+
+@query(_VECTOR_SQL.format(value=_L2, order="ASC", where="AND v.label = 3", n=5))
+def ann_filtered(spark, sf_dir):
+    """A filter on the vectors reaches the scan of the lists."""
+    index = _filed(spark, sf_dir)
+    return ann.search(index, _vectors(spark, sf_dir)[0], n=5, probes=len(index.centroids), filters={"label": 3})
+
+
+@query("SELECT count(*) AS queries, CAST(20 * count(*) AS BIGINT) AS wanted, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(spark, sf_dir):
+    """Recall at 20 of the inverted file against exact search, over all queries: enough says 0.9 or more."""
+    queries, vectors = _vectors(spark, sf_dir)
+    per = ann.recall(ann_topk(spark, sf_dir), dense.search(queries, vectors))
+    return per.agg(F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("enough"))
+
+
 @query(f"SELECT doc_id AS id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower({_collapse('substr(text, 1, 200)')}) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def prefix_dedup(spark, sf_dir):
     """The first of documents whose beginnings agree."""
