@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..operators import chunking, sections
 from ..sources.documents import document_blocks
 
@@ -27,7 +28,8 @@ def chunk_ids(chunks: DataFrame, documents: DataFrame, strategy: str = STRATEGY)
 
 def build(documents: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Chunks and diagnostics of documents (doc_id, doc_type, html, company, form, period)."""
-    blocks = document_blocks(documents)
+    # Detection and attribution read the blocks several times; parsing them is the costly part.
+    blocks = written(document_blocks(documents), "blocks")
     made, notes = sections.detect(blocks, strict)
     attributed, more = sections.attribute(blocks, made)
     return chunk_ids(chunking.section_chunks(attributed, size, overlap), documents), notes.unionByName(more)

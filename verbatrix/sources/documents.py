@@ -1,16 +1,19 @@
 """Documents as blocks: filings, transcripts and PDF files, read by a registry of document types.
 
-Input is a DataFrame (doc_id, doc_type, html); files come in by ``read_files``. Parsing runs in Arrow batches, everything
-after it on columns.
+Input is a DataFrame (doc_id, doc_type, html); files come in by ``read_files``. Parsing runs in Arrow batches, or as a table
+function for blocks; everything after it runs on columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import census, convert
 from ..operators.blocks import assign_ids
@@ -21,6 +24,11 @@ TABLE = (
     "struct<table_order:int,start:int,outermost:boolean,in_place:boolean,raw_html:string,flat_text:string,"
     f"rows:array<array<{CELL}>>,nested:int,ix_nonfraction:int,ix_nonnumeric:int,preceding:array<string>>"
 )
+#: What the table function of blocks yields.
+BLOCK_PIECE = (
+    "source_order int, block_type string, text string, table_order int, start int, outermost boolean, in_place boolean, raw_html string, flat_text string, "
+    f"rows array<array<{CELL}>>, nested int, ix_nonfraction int, ix_nonnumeric int, preceding array<string>"
+)
 TRANSCRIPT_MARKER = ("h2", "full-conference-call-transcript")
 
 
@@ -53,12 +61,25 @@ def _pdf(page: str) -> tuple[str, list[dict]]:
 READERS: dict[str, Callable[[str], tuple[str, list[dict]]]] = {"sec_filing": _filing, "earnings_transcript": _transcript, "page": _page, "pdf": _pdf}
 
 
-def read_files(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """Adds html to (doc_id, path, doc_type): the files' content as UTF-8, whole."""
-    paths = [r.path for r in documents.select("path").distinct().collect()]
-    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("html"))
-    name = lambda c: F.regexp_replace(c, r"^[a-z]+:/*", "/")
-    return documents.join(files, name(F.col("path")) == name(F.col("file"))).drop("file")
+def read_files(spark: SparkSession, documents: DataFrame, root: str | None = None) -> DataFrame:
+    """Adds html to (doc_id, path, doc_type): the files' content as UTF-8, whole.
+
+    Spark lists the files below ``root`` and packs them into tasks by their sizes; no path goes through the driver. Without a
+    root it is the longest folder that all paths share, which the least and the greatest path tell.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^[a-z0-9]+:/*", "/")
+    if root is None:
+        ends = documents.agg(F.min("path").alias("a"), F.max("path").alias("b")).head()
+        shared = os.path.commonprefix([ends.a or "", ends.b or ""])
+        root = shared if ends.a == ends.b else shared.rpartition("/")[0]
+        if not bare_path(root).strip("/"):
+            raise ValueError("the documents share no folder: name the root below which they lie")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("html"))
+    return documents.join(files, bare(F.col("path")) == bare(F.col("file"))).drop("file")
+
+
+def bare_path(path: str) -> str:
+    return re.sub(r"^[a-z0-9]+:/*", "/", path)
 
 
 def parsed(documents: DataFrame, readers: dict | None = None) -> DataFrame:
@@ -98,37 +119,64 @@ def converted(tables: DataFrame) -> DataFrame:
     return convert.convert(census.profile(tables))
 
 
-def document_blocks(documents: DataFrame, convert_tables: bool = True) -> DataFrame:
-    """Text and table blocks of documents in source order.
+def pieces(text: str, tables: list[dict]) -> Iterator[dict]:
+    """A document's text and tables in order: text between tables verbatim, outer tables where their text lies."""
+    at, order = 0, 0
+    for found in sorted((t for t in tables if t["outermost"] and t["in_place"]), key=lambda t: t["start"]):
+        if found["start"] > at:
+            yield {"source_order": order, "block_type": "text", "text": text[at : found["start"]]}
+            order += 1
+        yield {"source_order": order, "block_type": "table", **found}
+        at, order = found["start"] + len(found["flat_text"]), order + 1
+    if at < len(text):
+        yield {"source_order": order, "block_type": "text", "text": text[at:]}
+
+
+def blocks_function(readers: dict | None = None):
+    """A table function (html, doc_type) of a document's blocks, for ``lateralJoin`` and for LATERAL in SQL once it is registered.
+
+    One parse yields all blocks. A document that cannot be read yields none; ``parsed`` has its error.
+    """
+    known = readers or READERS
+    kind = StructType.fromDDL(BLOCK_PIECE)
+
+    @F.udtf(returnType=kind, useArrow=True)
+    class DocumentBlocks:
+        def eval(self, page: str, doc_type: str):
+            try:
+                text, tables = known[doc_type](page or "")
+            except (KeyError, ValueError):
+                return
+            for piece in pieces(text, tables):
+                yield tuple(piece.get(name) for name in kind.names)
+
+    return DocumentBlocks
+
+
+def register_blocks(spark: SparkSession, name: str = "document_blocks", readers: dict | None = None) -> None:
+    """Makes the table function known to SQL: SELECT d.doc_id, b.* FROM documents d, LATERAL document_blocks(d.html, d.doc_type) b."""
+    spark.udtf.register(name, blocks_function(readers))
+
+
+def document_blocks(documents: DataFrame, convert_tables: bool = True, readers: dict | None = None) -> DataFrame:
+    """Text and table blocks of documents in source order, from one parse a document.
 
     Text between tables is carried verbatim; tables within tables travel with the outer one. A table whose text is not found
-    where it should be stays part of the text.
+    where it should be stays part of the text. Tables are converted on the rows that the parse gives, so nothing is joined back.
     """
-    pages = parsed(documents)
-    usable = document_tables(pages).filter("outermost and in_place").withColumn("end", F.col("start") + F.length("flat_text"))
-    spans = usable.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
-    texts = pages.filter("text is not null").select("doc_id", "text").join(spans, "doc_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start:int,end:int>>")))
-    gap = F.transform(
-        F.sequence(F.lit(0), F.size("s")),
-        lambda i: F.struct(
-            F.when(i == 0, F.lit(0)).otherwise(F.get("s", i - 1)["end"]).alias("start"),
-            F.when(i == F.size("s"), F.length("text")).otherwise(F.get("s", i)["start"]).alias("end"),
-        ),
-    )
+    made = blocks_function(readers)(F.col("html").outer(), F.col("doc_type").outer())
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "doc_type", "html").lateralJoin(made).drop("html", "doc_type")
     null = lambda kind: F.lit(None).cast(kind)
-    prose = texts.select("doc_id", "text", F.inline(F.filter(gap, lambda g: g["end"] > g["start"]))).select(
-        "doc_id", F.lit("text").alias("block_type"), "start", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"),
-        null("string").alias("raw_html"), null("string").alias("flat_text"), null("array<string>").alias("records"),
-        *[null("string").alias(c) for c in ("conversion_status", "reason_code", "table_title", "unit")],
-    )
+    is_table = F.col("block_type") == "table"
     if convert_tables:
-        made = converted(usable).select("doc_id", "start", "raw_html", "flat_text", "records", F.col("status").alias("conversion_status"), F.col("reason").alias("reason_code"), F.col("title").alias("table_title"), "unit")
+        # Rows of text pass through as tables without rows; what they are given is taken away again.
+        full = rows.withColumns({"rows": F.coalesce("rows", F.array().cast(f"array<array<{CELL}>>")), "preceding": F.coalesce("preceding", F.array().cast("array<string>")), "flat_text": F.coalesce("flat_text", F.lit("")), **{c: F.coalesce(c, F.lit(0)) for c in ("nested", "ix_nonfraction", "ix_nonnumeric")}})
+        told = converted(full)
+        given = {"records": "records", "conversion_status": "status", "reason_code": "reason", "table_title": "title", "unit": "unit"}
+        rows = told.select("doc_id", "source_order", "block_type", "text", *[F.when(is_table, F.col(c)).alias(c) for c in ("raw_html", "flat_text")], *[F.when(is_table, F.col(c)).alias(name) for name, c in given.items()])
     else:
-        made = usable.select("doc_id", "start", "raw_html", "flat_text", null("array<string>").alias("records"), *[null("string").alias(c) for c in ("conversion_status", "reason_code", "table_title", "unit")])
-    table = made.select("doc_id", F.lit("table").alias("block_type"), "start", null("string").alias("text"), "raw_html", "flat_text", "records", "conversion_status", "reason_code", "table_title", "unit")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1
-    both = prose.unionByName(table).withColumn("source_order", order).drop("start")
-    return assign_ids(both.withColumn("section_id", null("string")).withColumn("speaker", null("string")).withColumn("turn_index", null("int")))
+        rows = rows.select("doc_id", "source_order", "block_type", "text", "raw_html", "flat_text", null("array<string>").alias("records"), *[null("string").alias(c) for c in ("conversion_status", "reason_code", "table_title", "unit")])
+    return assign_ids(rows.withColumns({"section_id": null("string"), "speaker": null("string"), "turn_index": null("int")}))
 
 
 def table_placement(documents: DataFrame) -> DataFrame:
