@@ -159,7 +159,7 @@ def test_one_failing_question_leaves_the_others(spark):
                 raise TimeoutError("no reply")
             return "Fine [1]."
 
-    from verbatrix.operators.answer import complete
+    from verbatrix.operators.calls import complete
 
     df = spark.createDataFrame([(1, "bad"), (2, "good")], "i int, u string")
     got = {r.i: (r.a, r.a_error) for r in complete(df, Fails(), "s", F.col("u"), "a").collect()}

@@ -25,6 +25,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path as it takes it; they serve whatever store Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = file_system(spark, path)
+    return files.exists(where)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, worked out once and read back, however often it is used."""
     path = shared_path(df.sparkSession, name)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..providers import LanguageModel
+from .calls import Ledger, complete
 
 # How citations look (1 to 99, so that years in brackets are not taken for one), and how a refusal reads.
 CITATION = r"\[([1-9]\d?(?:\s*,\s*[1-9]\d?)*)\]"
@@ -78,31 +77,14 @@ def verdict(reply: Column) -> tuple[Column, Column]:
     return supported, F.when(reason == "", text).otherwise(reason)
 
 
-def complete(df: DataFrame, model: LanguageModel, system: str, user: Column, out: str) -> DataFrame:
-    """Adds the model's reply in ``out`` and, where the call failed, the error in ``out``_error; other rows go on."""
-
-    @F.pandas_udf("reply string, error string")
-    def run(prompts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for prompt in prompts:
-            try:
-                rows.append((model.complete(system, prompt) or "", None))
-            except Exception as e:  # one question's failure is its own result
-                rows.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(rows, columns=["reply", "error"])
-
-    made = df.withColumn("__r", run(user))
-    return made.withColumn(out, F.col("__r.reply")).withColumn(f"{out}_error", F.col("__r.error")).drop("__r")
-
-
-def generate(questions: DataFrame, hits: DataFrame, model: LanguageModel) -> DataFrame:
+def generate(questions: DataFrame, hits: DataFrame, model: LanguageModel, ledger: Ledger | None = None) -> DataFrame:
     """query_id, query, context, citation_map, answer_text and answer_text_error."""
     ready = questions.select("query_id", "query").join(contexts(hits), "query_id", "left")
     user = F.concat(F.lit("Context:\n"), F.coalesce("context", F.lit("")), F.lit("\n\nQuestion: "), "query")
-    return complete(ready, model, ANSWER_RULES, user, "answer_text")
+    return complete(ready, model, ANSWER_RULES, user, "answer_text", ledger)
 
 
-def verify(answers: DataFrame, passages: DataFrame, model: LanguageModel) -> DataFrame:
+def verify(answers: DataFrame, passages: DataFrame, model: LanguageModel, ledger: Ledger | None = None) -> DataFrame:
     """query_id, position, number, id, claim, supported, reason: one row per citation in (query_id, answer_text, citation_map).
 
     passages: query_id, id, text. A number without a passage is not supported, and no model is asked.
@@ -111,7 +93,7 @@ def verify(answers: DataFrame, passages: DataFrame, model: LanguageModel) -> Dat
     pairs = made.select("query_id", "position", "c.number", "c.claim", F.try_element_at("citation_map", F.col("c.number")).alias("id"))
     joined = pairs.join(passages.select("query_id", "id", F.col("text").alias("passage")), ["query_id", "id"], "left")
     user = F.concat(F.lit("Passage:\n"), "passage", F.lit("\n\nClaim:\n"), "claim", F.lit("\n\nDoes the passage support the claim?"))
-    asked = complete(joined.filter("passage is not null"), model, SUPPORT_RULES, user, "reply")
+    asked = complete(joined.filter("passage is not null"), model, SUPPORT_RULES, user, "reply", ledger)
     supported, reason = verdict(F.col("reply"))
     yes = asked.select("query_id", "position", "number", "id", "claim", supported.alias("supported"), reason.alias("reason"))
     no = joined.filter("passage is null").select("query_id", "position", "number", "id", "claim", F.lit(False).alias("supported"), F.lit(NO_PASSAGE).alias("reason"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..providers import LanguageModel
-from .answer import complete
+from .calls import Ledger, complete
 
 # How a refusal reads.
 DECLINES = (
@@ -114,7 +114,7 @@ def declined(text: Column, n_citations: Column) -> Column:
     return reduce(lambda a, p: a | lowered.contains(p), DECLINES, n_citations == 0)
 
 
-def judged(runs: DataFrame, questions: DataFrame, model: LanguageModel | None) -> DataFrame:
+def judged(runs: DataFrame, questions: DataFrame, model: LanguageModel | None, ledger: Ledger | None = None) -> DataFrame:
     """question_id and claims_score: the share of expected claims that the answer states; null if the reply cannot be read."""
     own = runs.select("question_id", "question", "answer_text")
     joined = own.join(questions.select(F.col("id").alias("question_id"), "category", "expected"), "question_id").filter("category in ('narrative', 'transcript') and size(expected.claims) > 0")
@@ -122,7 +122,7 @@ def judged(runs: DataFrame, questions: DataFrame, model: LanguageModel | None) -
     ask = F.concat(F.lit("Question:\n"), F.coalesce("question", F.lit("")), F.lit("\n\nAnswer:\n"), F.coalesce("answer_text", F.lit("")), F.lit("\n\nFacts:\n"), listed, F.lit("\n\nReply with a JSON array of booleans, one a fact, in order."))
     if model is None:
         return joined.select("question_id", F.lit(None).cast("double").alias("claims_score"))
-    asked = complete(joined.withColumn("n", F.size("expected.claims")), model, JUDGE_RULES, ask, "reply")
+    asked = complete(joined.withColumn("n", F.size("expected.claims")), model, JUDGE_RULES, ask, "reply", ledger)
     return asked.select("question_id", claims_score(F.col("reply"), F.col("n")).alias("claims_score"))
 
 

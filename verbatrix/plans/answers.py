@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..functions.tables import written
 from ..operators import answer
+from ..operators.calls import Ledger
 from ..providers import LanguageModel
 from ..sources.records import RUN
 from .search import SearchResult
@@ -28,15 +30,20 @@ class Answered:
     confidence: DataFrame
 
 
-def answer_questions(questions: DataFrame, found: SearchResult, model: LanguageModel, verify: bool = True) -> Answered:
-    """questions: query_id, query. A question whose model call fails has an error and no answer; the others go on."""
+def answer_questions(questions: DataFrame, found: SearchResult, model: LanguageModel, verify: bool = True, ledger: Ledger | None = None) -> Answered:
+    """questions: query_id, query. A question whose model call fails has an error and no answer; the others go on.
+
+    Each distinct prompt is asked once, and answers and verdicts are written, so that citations, confidence and records tell of
+    the same replies. A ledger that is kept spares calls of later runs too.
+    """
+    ledger = ledger or Ledger(questions.sparkSession)
     hits = found.reranked.withColumn("rank", F.col("rerank_rank"))
     for column in ("form", "period", "section"):
         if column not in hits.columns:
             hits = hits.withColumn(column, F.lit("none"))
-    answers = answer.generate(questions, hits, model)
+    answers = written(answer.generate(questions, hits, model, ledger), "answers")
     cited = answer.resolve(answers)
-    verified = answer.verify(answers, hits, model) if verify else None
+    verified = written(answer.verify(answers, hits, model, ledger), "verified") if verify else None
     return Answered(answers, cited, verified, answer.confidence(answers, cited.filter("id is not null"), found.reranked, verified))
 
 
@@ -79,11 +86,11 @@ def run_records(questions: DataFrame, found: SearchResult, done: Answered, lists
     return out.select(F.col("query_id").cast("string").alias("question_id"), *full)
 
 
-def verify_runs(runs: DataFrame, model: LanguageModel) -> tuple[DataFrame, DataFrame]:
+def verify_runs(runs: DataFrame, model: LanguageModel, ledger: Ledger | None = None) -> tuple[DataFrame, DataFrame]:
     """The citations of stored runs, verified anew, and (query_id, confidence)."""
     answers = runs.select(F.col("question_id").alias("query_id"), "answer_text", F.map_from_entries("citation_map").alias("citation_map"))
     passages = runs.select(F.col("question_id").alias("query_id"), F.inline("reranked"))
-    verified = answer.verify(answers, passages.select("query_id", "id", "text"), model)
+    verified = written(answer.verify(answers, passages.select("query_id", "id", "text"), model, ledger), "verified")
     return verified, answer.confidence(answers, answer.resolve(answers).filter("id is not null"), passages, verified)
 
 

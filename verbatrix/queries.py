@@ -629,14 +629,22 @@ def kind_rollup(spark, sf_dir):
     return reports.chunk_counts(docs).select(F.col("doc_id").alias("lang"), F.col("kind").alias("source"), "chunks", F.col("chars").cast("long").alias("chars"))
 
 
-@query()
+# Pages hold what stands between tags, but for scripts and styles; each piece is trimmed, and pieces are joined by a space.
+_PAGE_TEXT = r"""
+WITH cut AS (SELECT page_id, string_split_regex(regexp_replace(coalesce(html, ''), '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '<x>', 'gs'), '<[^>]*>') AS parts FROM pages),
+said AS (SELECT page_id, list_transform(parts, lambda t: trim(regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), chr(9) || chr(10) || chr(13) || ' ')) AS parts FROM cut),
+page AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, array_to_string(list_filter(parts, lambda t: t <> ''), ' ') AS text FROM said)
+"""
+
+
+@query(_PAGE_TEXT + "SELECT doc_id, text FROM page")
 def page_text(spark, sf_dir):
     """Text of web pages."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page").alias("doc_type"), "html")
     return documents.document_text(pages)
 
 
-@query()
+@query(_PAGE_TEXT + f"SELECT doc_id, 0 AS source_order, 'text' AS block_type, doc_id || '/text/' || substr(sha256({_collapse('text')}), 1, 12) AS block_id, text FROM page WHERE text <> ''")
 def page_blocks(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page").alias("doc_type"), "html")
     return documents.document_blocks(pages).select("doc_id", "source_order", "block_type", "block_id", "text")
