@@ -748,10 +748,14 @@ def run_compare(spark, sf_dir):
     return grading.compare_runs(a, b).select("question_id", "in_a", "in_b", "answer_changed")
 
 
-@query(_HYBRID + f"""
+_ANSWERED = _HYBRID + f"""
 , lead2 AS (SELECT query_id, rerank_rank, rerank_score, string_split(text, chr(10))[1] AS line FROM rr JOIN documents ON doc_id = id WHERE rerank_rank <= 2),
 said AS (SELECT query_id, rerank_rank, rerank_score, regexp_replace(CASE WHEN regexp_matches(line, '[.!?] ') THEN regexp_extract(line, '^(.*?[.!?]) ', 1) ELSE line END, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS sentence FROM lead2),
-made AS (SELECT query_id, string_agg(sentence || ' [' || rerank_rank || '].', ' ' ORDER BY rerank_rank) AS answer_text, avg(CAST(regexp_matches(lower(sentence), '[a-z0-9]') AS INTEGER)) AS support, max(rerank_score) AS best FROM said GROUP BY query_id)
+made AS (SELECT query_id, string_agg(sentence || ' [' || rerank_rank || '].', ' ' ORDER BY rerank_rank) AS answer_text, avg(CAST(regexp_matches(lower(sentence), '[a-z0-9]') AS INTEGER)) AS support, max(rerank_score) AS best, count(*) AS cited FROM said GROUP BY query_id)
+"""
+
+
+@query(_ANSWERED + """
 SELECT item_id AS query_id, coalesce(answer_text, 'The context does not provide this.') AS answer_text, CASE WHEN answer_text IS NULL THEN 0.35 ELSE round(0.6 * support + 0.4 / (1 + exp(-best)), 3) END AS confidence FROM benchmark LEFT JOIN made ON query_id = item_id
 """)
 def answer_questions(spark, sf_dir):
@@ -761,7 +765,16 @@ def answer_questions(spark, sf_dir):
     return done.answers.select("query_id", "answer_text").join(done.confidence, "query_id")
 
 
-@query()
+@query(_ANSWERED + """
+, sized AS (
+  SELECT query_id, count(*) FILTER (part = 'one' AND l = 0) AS dense, count(*) FILTER (part = 'one' AND l = 1) AS sparse, count(*) FILTER (part = 'two') AS fused, count(*) FILTER (part = 'rr') AS reranked,
+         count(*) FILTER (part IN ('lists', 'fused')) - count(*) FILTER (part IN ('one', 'two')) AS dropped
+  FROM (SELECT 'lists' AS part, l, query_id FROM lists UNION ALL SELECT 'one', l, query_id FROM one UNION ALL SELECT 'fused', l, query_id FROM fused UNION ALL SELECT 'two', l, query_id FROM two UNION ALL SELECT 'rr', 0, query_id FROM rr)
+  GROUP BY query_id)
+SELECT CAST(item_id AS VARCHAR) AS question_id, coalesce(answer_text, 'The context does not provide this.') AS answer_text, CAST(coalesce(dense, 0) AS INTEGER) AS dense, CAST(coalesce(sparse, 0) AS INTEGER) AS sparse,
+       CAST(coalesce(fused, 0) AS INTEGER) AS fused, CAST(coalesce(reranked, 0) AS INTEGER) AS reranked, CAST(coalesce(dropped, 0) AS INTEGER) AS dropped, CAST(coalesce(cited, 0) AS INTEGER) AS resolved_citations
+FROM benchmark LEFT JOIN sized s ON s.query_id = item_id LEFT JOIN made m ON m.query_id = item_id
+""")
 def run_records(spark, sf_dir):
     """Searches and answers as they are recorded: how long each list is, and what was dropped and cited."""
     asked, found = passages(spark, sf_dir), _hybrid(spark, sf_dir)
