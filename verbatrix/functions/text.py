@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: What Python's str.split() takes for white space, spelled out; \s of the JVM's regular expressions is less.
 SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 HASH_LENGTH = 12
+#: Elements of an array that a scan takes at a time.
+SCAN_BLOCK = 128
 SHINGLE = 40
 #: Characters whose windows are cut out of one piece.
 BLOCK = 256
@@ -75,22 +77,47 @@ def overlap_ratio(a: Column, b: Column, width: int = SHINGLE) -> Column:
     return overlap_of(char_shingles(a, width), char_shingles(b, width))
 
 
+def scanned(values: Column, combine, zero: Column) -> Column:
+    """For each element what ``combine`` makes of all up to it; combine must be associative, with ``zero`` as its neutral element.
+
+    Arrays cannot be appended to in place, so the scan runs in blocks: within each by itself, from what those before come to.
+    """
+
+    def within(block: Column, before: Column) -> Column:
+        start = F.struct(before.alias("at"), F.slice(block, 1, 0).alias("out"))
+        step = lambda acc, x: let(combine(acc["at"], x), lambda v: F.struct(v.alias("at"), F.concat(acc["out"], F.array(v)).alias("out")))
+        return F.aggregate(block, start, step)
+
+    def whole(all_values: Column) -> Column:
+        cut = lambda i: F.slice(all_values, i * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_values) - 1) / SCAN_BLOCK).cast("int")), cut)
+
+        def joined(b: Column) -> Column:
+            totals = F.transform(b, lambda block: F.aggregate(block, zero, combine))
+            carried = let(within(totals, zero)["out"], lambda ends: F.concat(F.array(zero), F.slice(ends, 1, F.size(ends) - 1)))
+            return F.flatten(F.zip_with(b, carried, lambda block, carry: within(block, carry)["out"]))
+
+        return F.when(F.size(all_values) > 0, let(blocks, joined)).otherwise(F.slice(all_values, 1, 0))
+
+    return let(values, whole)
+
+
+def match_parts(text: Column, pattern: str) -> Column:
+    """array<struct<gap,hit>>: the text before each match of a pattern without groups, and the match; what follows the last has no hit."""
+    t = F.coalesce(text, F.lit(""))
+    return F.arrays_zip(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)).alias("hit"))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """All matches of a pattern without groups, as array<struct<start,end,match>>; offsets count code points from 0.
 
     The text between matches comes from splitting at them, so offsets follow from lengths.
     """
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-
-    def spans(t: Column) -> Column:
-        gaps, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
-
-        def step(acc, pair):  # one pair at a time
-            start = acc["at"] + F.length(pair["gap"])
-            end = start + F.length(pair["hit"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("match")))).alias("out"))
 
-        pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
-        return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    def spans(parts: Column) -> Column:
+        hits = F.filter(parts, lambda p: p["hit"].isNotNull())
+        ends = lambda h: scanned(F.transform(h, lambda p: F.length(p["gap"]) + F.length(p["hit"])), lambda a, b: a + b, F.lit(0))
+        made = lambda h: F.zip_with(h, ends(h), lambda p, end: F.struct((end - F.length(p["hit"])).alias("start"), end.alias("end"), p["hit"].alias("match")))
+        return let(hits, made)
 
-    return let(F.coalesce(text, F.lit("")), spans)
+    return let(match_parts(text, pattern), spans)

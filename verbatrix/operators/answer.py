@@ -54,19 +54,14 @@ def resolve(answers: DataFrame) -> DataFrame:
 
 def claims(text: Column) -> Column:
     """array<struct<number, claim>>: for each citation the text since the one before; next to each other they share it."""
-    kind = "struct<at:int,claim:string,out:array<struct<number:int,claim:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("claim"), F.array().cast("array<struct<number:int,claim:string>>").alias("out")).cast(kind)
+    numbers = lambda hit: F.split(F.regexp_replace(hit, r"[\[\]\s]", ""), ",")
 
-    def split(t: Column) -> Column:
-        def step(acc, m):
-            own = T.strip(F.substring(t, acc["at"] + 1, m["start"] - acc["at"]))
-            numbers = F.split(F.regexp_replace(m["match"], r"[\[\]\s]", ""), ",")
-            made = lambda c: F.struct(m["end"].alias("at"), c.alias("claim"), F.concat(acc["out"], F.transform(numbers, lambda n: F.struct(n.cast("int").alias("number"), c.alias("claim")))).alias("out")).cast(kind)
-            return T.let(F.when(own == "", acc["claim"]).otherwise(own), made)
+    def cut(parts: Column) -> Column:
+        own = F.transform(parts, lambda p: T.strip(p["gap"]))
+        shared = T.scanned(own, lambda before, here: F.when(here == "", before).otherwise(here), F.lit(""))
+        return F.flatten(F.zip_with(parts, shared, lambda p, claim: F.transform(numbers(p["hit"]), lambda n: F.struct(n.cast("int").alias("number"), claim.alias("claim")))))
 
-        return F.aggregate(T.match_spans(t, CITATION_PLAIN), start, step, lambda acc: acc["out"])
-
-    return T.let(F.coalesce(text, F.lit("")), split)
+    return T.let(F.filter(T.match_parts(text, CITATION_PLAIN), lambda p: p["hit"].isNotNull()), cut)
 
 
 def verdict(reply: Column) -> tuple[Column, Column]:

@@ -48,20 +48,27 @@ JUDGE_RULES = "You judge whether an answer states given facts. Wording may diffe
 
 
 def numbers(text: Column) -> Column:
-    """array<struct<number, scale, percent>> of all figures; percent if "%" or "percent" follows within a few characters."""
-
-    def read(t: Column) -> Column:
-        def one(m):
-            after = F.substring(t, m["end"] + 1, F.length(t))
-            word = F.lower(F.regexp_extract(after, r"(?i)\A\s*(thousand|million|billion|trillion)", 1))
-            scale = reduce(lambda c, s: c.when(word == s, F.lit(SCALES[s])), list(SCALES)[1:], F.when(word == "thousand", F.lit(1e3))).otherwise(F.lit(1.0))
-            tail = F.regexp_replace(after, r"(?i)\A\s*(?:thousand|million|billion|trillion)|\A\s*", "")
-            near = F.lower(F.substring(F.when(word != "", tail).otherwise(tail), 1, PERCENT_WITHIN))
-            return F.struct(F.regexp_replace(m["match"], ",", "").cast("double").alias("number"), scale.alias("scale"), (near.contains("%") | near.contains("percent")).alias("percent"))
-
-        return F.transform(T.match_spans(t, NUMBER), one)
-
-    return T.let(F.coalesce(text, F.lit("")), read)
+    """array<struct<number, scale, percent>> of all figures; percent if "%" or "percent" follows within a few characters.
+
+    What follows a figure is the text up to the next one, and as many more parts as have those characters.
+    """
+    word_after = r"(?i)\A\s*(thousand|million|billion|trillion)"
+
+    def one(hit: Column, after: Column) -> Column:
+        gap = F.coalesce(F.get(after, F.lit(0))["gap"], F.lit(""))
+        word = F.lower(F.regexp_extract(gap, word_after, 1))
+        scale = reduce(lambda c, s: c.when(word == s, F.lit(SCALES[s])), list(SCALES)[1:], F.when(word == "thousand", F.lit(1e3))).otherwise(F.lit(1.0))
+        tail = F.regexp_replace(gap, r"(?i)\A\s*(?:thousand|million|billion|trillion)|\A\s*", "")
+        short = lambda t: F.substring(F.coalesce(t, F.lit("")), 1, PERCENT_WITHIN)
+        more = F.array_join(F.transform(after, lambda p, i: F.concat(F.when(i == 0, short(tail)).otherwise(short(p["gap"])), short(p["hit"]))), "")
+        near = F.lower(short(more))
+        return F.struct(F.regexp_replace(hit, ",", "").cast("double").alias("number"), scale.alias("scale"), (near.contains("%") | near.contains("percent")).alias("percent"))
+
+    def read(parts: Column) -> Column:
+        made = F.transform(parts, lambda p, i: F.when(p["hit"].isNotNull(), one(p["hit"], F.slice(parts, i + 2, F.lit(PERCENT_WITHIN + 1)))))
+        return F.filter(made, lambda x: x.isNotNull())
+
+    return T.let(T.match_parts(text, NUMBER), read)
 
 
 def _lookup(key: Column, table: dict, default: Column) -> Column:
