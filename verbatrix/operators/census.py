@@ -116,8 +116,8 @@ def classify(measured: DataFrame) -> DataFrame:
 
 def attribute(tables: DataFrame, made: DataFrame) -> DataFrame:
     """Tables with the section in which they start. Boundaries must come from the unconverted text, as the offsets do."""
-    placed = tables.drop("section_id").join(sections.section_spans(made), "doc_id", "left")
-    return placed.withColumn("section_id", sections.label_at(F.col("spans"), F.coalesce("start", F.lit(0)))).drop("spans")
+    placed = tables.drop("section_id").withColumn("offset", F.coalesce("start", F.lit(0)).cast("long"))
+    return sections.located(placed, sections.with_front_matter(made)).drop("offset")
 
 
 def find_tables(profiles: DataFrame, table_id: str | None = None, contains: list[str] | None = None) -> DataFrame:

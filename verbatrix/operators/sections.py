@@ -17,6 +17,8 @@ from ..functions import text as T
 from .blocks import assign_ids, block_offsets, serialized, serialize_documents
 
 FRONT_MATTER, UNKNOWN = "front_matter", "section_unknown"
+#: Offsets that share a bin of an interval join.
+BIN = 1 << 16
 #: A run of at least MIN_TOC_RUN headings is a table of contents if its headings are this much closer than the widest run's.
 TOC_DENSITY, MIN_TOC_RUN = 0.1, 3
 #: A last section this many times the upper median, or any section over this share of the text, is not believed.
@@ -225,6 +227,46 @@ def attribute(blocks: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]
     return assign_ids(out), notes
 
 
+def located(points: DataFrame, spans: DataFrame, name: str = "section_id", missing: str = UNKNOWN, width: int = BIN) -> DataFrame:
+    """points (doc_id, offset, ...) with the name of the span (doc_id, start, end, name) that each lies in; ``missing`` where there is none.
+
+    An interval join as an equi-join: offsets fall into bins of ``width``, and a span is listed once for each bin that it touches. So a
+    long document is dealt over tasks by its bins, and neither points nor spans of a document are collected.
+    """
+    bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
+    listed = spans.filter(F.col("end") > F.col("start")).select("doc_id", "start", "end", F.col(name).alias("__name"), F.explode(bins).alias("__bin"))
+    at = points.withColumn("__bin", F.floor(F.col("offset") / width)).alias("p")
+    on = (F.col("p.doc_id") == F.col("s.doc_id")) & (F.col("p.__bin") == F.col("s.__bin")) & (F.col("s.start") <= F.col("p.offset")) & (F.col("p.offset") < F.col("s.end"))
+    return at.join(listed.alias("s"), on, "left").select(*[F.col(f"p.{c}") for c in points.columns if c != name], F.coalesce("s.__name", F.lit(missing)).alias(name))
+
+
+def with_front_matter(made: DataFrame) -> DataFrame:
+    """Sections, and for each document what precedes its first one."""
+    first = made.groupBy("doc_id").agg(F.lit(0).cast("long").alias("start"), F.min("start").cast("long").alias("end"), F.lit(FRONT_MATTER).alias("section_id"))
+    return made.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "section_id").unionByName(first)
+
+
+def section_runs_of(blocks: DataFrame) -> DataFrame:
+    """doc_id, section_id, start and end of runs of blocks in a row that bear the same section."""
+    w = Window.partitionBy("doc_id").orderBy("source_order")
+    new = (~F.col("section_id").eqNullSafe(F.lag("section_id").over(w))) | (F.row_number().over(w) == 1)
+    placed = block_offsets(blocks).withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(w))
+    return placed.groupBy("doc_id", "__run").agg(F.first("section_id").alias("section_id"), F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+
+
+def chunk_label_changes(blocks: DataFrame, ranges: list[tuple[str, int, int | None]], size: int, overlap: int) -> DataFrame:
+    """doc_id, offset, old, new and changed of every chunk of attributed blocks: what fixed ranges would have called its first character.
+
+    Chunks start anew in each run of a section, as in chunking; offsets are those of the whole text.
+    """
+    starts = F.sequence(F.col("start"), F.col("end") - 1, F.lit(size - overlap).cast("long"))
+    chunks = section_runs_of(blocks).filter(F.col("end") > F.col("start")).select("doc_id", F.col("section_id").alias("new"), F.explode(starts).alias("offset"))
+    whole = block_offsets(blocks).groupBy("doc_id").agg(F.max("end").alias("length"))
+    fixed = F.array(*[F.struct(F.lit(s).cast("long").alias("start"), (F.col("length") if e is None else F.lit(e).cast("long")).alias("end"), F.lit(n).alias("old")) for n, s, e in ranges])
+    told = located(chunks, whole.select("doc_id", F.inline(fixed)), "old", "(dropped)")
+    return told.select("doc_id", "offset", "old", "new", (~F.col("old").eqNullSafe(F.col("new"))).alias("changed"))
+
+
 def label_agreement(texts: DataFrame, ranges: list[tuple[str, int, int | None]], made: DataFrame, step: int = 100) -> DataFrame:
     """doc_id, old, new and how many sampled positions bear each pair of labels: fixed ranges against detected sections."""
     spans = F.array(*[F.struct(F.lit(s).alias("start"), (F.length("text") if e is None else F.lit(e)).alias("end"), F.lit(n).alias("name")) for n, s, e in ranges])

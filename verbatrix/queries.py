@@ -434,6 +434,25 @@ def section_attribution(spark, sf_dir):
     return sections.attribute(made, bounds)[0].select("doc_id", "source_order", "section_id", F.length("text").alias("chars"))
 
 
+_RANGES = [("head", 0, 84), ("early", 84, 5000), ("late", 6000, None)]
+
+
+@query(
+    _FILINGS
+    + _BOUNDS
+    + """, parts AS (SELECT g, 0 AS start, 84 AS stop, 'front_matter' AS sec FROM (SELECT DISTINCT g FROM o) UNION ALL SELECT g, start, stop, section_id FROM e),
+isl AS (SELECT *, sum(CAST(sec IS DISTINCT FROM prev AS INTEGER)) OVER (PARTITION BY g ORDER BY start) AS r FROM (SELECT *, lag(sec) OVER (PARTITION BY g ORDER BY start) AS prev FROM parts)),
+run AS (SELECT g, any_value(sec) AS sec, min(start) AS s, max(stop) AS t FROM isl GROUP BY g, r),
+c AS (SELECT sec, s + 450 * unnest(range(CAST(ceil((t - s) / 450.0) AS BIGINT))) AS pos FROM run)
+SELECT CASE WHEN pos < 84 THEN 'head' WHEN pos < 5000 THEN 'early' WHEN pos >= 6000 THEN 'late' ELSE '(dropped)' END AS old, sec AS new, count(*) AS chunks FROM c GROUP BY ALL"""
+)
+def chunk_label_changes(spark, sf_dir):
+    """What fixed ranges would have called the chunks of detected sections."""
+    made = written(_filing_blocks(spark, sf_dir), "blocks")
+    cut = written(sections.attribute(made, sections.detect(made)[0])[0], "attributed")
+    return sections.chunk_label_changes(cut, _RANGES, 500, 50).groupBy("old", "new").agg(F.count("*").alias("chunks"))
+
+
 # The same filings with other headings over the bodies: item 3 stands before items 1A and 2.
 _SHUFFLED = _FILINGS.replace("heads[i + 1]", "heads[[1, 4, 2, 3][i + 1]]")
 
