@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.tables import shared_path, written
-from .operators import ann, answer, blocks, census, chunking, convert, dense, fusion, grading, render, reports, sections, sparse
+from .operators import ann, answer, blocks, census, chunking, containment, convert, dense, fusion, grading, render, reports, sections, sparse
 from .plans import answers as answer_plan
 from .plans import corpus
 from .plans import search as search_plan
@@ -253,6 +253,30 @@ def shingle_overlap(spark, sf_dir):
     return both.select("a", "b", F.round(T.overlap_of(F.col("s"), F.col("t")), 6).alias("overlap"))
 
 
+_CONTAINED = f"""
+WITH l AS MATERIALIZED (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS class_id FROM (SELECT doc_id, {_collapse("lower(text)")} AS t FROM documents) WHERE length(t) >= 40),
+s AS MATERIALIZED (SELECT class_id AS id, unnest(list_distinct(list_transform(range(length(t) - 39), lambda i: hash(substr(t, CAST(i + 1 AS BIGINT), 40))))) AS v FROM l WHERE doc_id = class_id),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+o AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.v = y.v AND x.id < y.id GROUP BY x.id, y.id),
+p AS (SELECT a, b, shared / least(x.n, y.n)::DOUBLE AS overlap FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE shared / least(x.n, y.n)::DOUBLE >= 0.85)
+"""
+
+
+@query(_CONTAINED + "SELECT a, b, round(overlap, 6) AS overlap FROM p")
+def contained_texts(spark, sf_dir):
+    """All pairs of different texts of which one holds 0.85 or more of the other's shingles; equal texts stand as one."""
+    pairs, _ = containment.linked(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return pairs.select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
+@query(_CONTAINED + ", e AS (SELECT a AS id FROM p UNION ALL SELECT b FROM p) SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE e.id = l.class_id) AS links FROM l")
+def containment_classes(spark, sf_dir):
+    """Each text with the class of its equals and the number of that class's links."""
+    pairs, members = containment.linked(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(ends, "class_id", "left").select(F.col("id").alias("doc_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def _sparse_hits(spark, sf_dir, n=20) -> DataFrame:
     chunks = whole_chunks(spark, sf_dir)
     return written(sparse.search(sparse.build(chunks), passages(spark, sf_dir), n).join(chunks.select("id", "text"), "id"), "hits")
