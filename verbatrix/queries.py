@@ -17,6 +17,7 @@ from .plans import corpus
 from .plans import search as search_plan
 from .providers import ExtractiveModel, LetterCounts, LexicalScorer
 from .sources import documents
+from .streaming import incremental
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -253,6 +254,44 @@ def shingle_overlap(spark, sf_dir):
     return both.select("a", "b", F.round(T.overlap_of(F.col("s"), F.col("t")), 6).alias("overlap"))
 
 
+_CHANGED = f"""
+WITH now AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' revised edition' ELSE '' END AS text FROM documents WHERE doc_id % 7 <> 3),
+c AS (SELECT doc_id, i, {_TOKENS.format("text")} AS t FROM ({_CHUNKS.replace("CAST(i AS INTEGER) AS chunk_ord", "i").replace("FROM documents", "FROM now")})),
+tot AS (SELECT count(*) AS n, sum(len(t)) / count(*)::DOUBLE AS avgdl FROM c),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, i, unnest(t) AS term FROM c) GROUP BY term),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, tot),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)
+"""
+
+
+def _changed_index(spark, sf_dir) -> sparse.SparseIndex:
+    """All documents as a stream of changes: each comes, every fifth is revised, some go, and some changes come late or twice."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").alias("i"))
+    change = lambda seq, text, rows: docs.filter(rows).select("doc_id", F.lit(seq).cast("long").alias("seq"), text.alias("text"))
+    revised = change(2, F.concat("text", F.lit(" revised edition")), "i % 5 = 0")
+    gone = change(3, F.lit(None).cast("string"), "i % 7 = 3")
+    late = change(1, F.lit("an earlier text"), "i % 5 = 0 or i % 7 = 3")
+    path = shared_path(spark, "changes")
+    for part in (change(1, F.col("text"), "true"), revised.unionByName(gone), late.unionByName(revised)):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("doc_id string, seq bigint, text string").parquet(f"{path}/in")
+        incremental.follow_changes(stream, f"{path}/index", f"{path}/checkpoint").awaitTermination()
+    return incremental.current_index(spark, f"{path}/index")
+
+
+@query(_CHANGED + "SELECT term, df, round(idf, 6) AS idf FROM idf")
+def changed_terms(spark, sf_dir):
+    """Statistics of terms after a stream has revised and deleted documents."""
+    return _changed_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(_CHANGED + """, tf AS (SELECT doc_id, i, term, count(*) AS tf, any_value(len(t)) AS dl FROM (SELECT doc_id, i, t, unnest(t) AS term FROM c) GROUP BY doc_id, i, term)
+SELECT doc_id || '_' || i AS id, term, tf, CAST(dl AS INTEGER) AS dl FROM tf""")
+def changed_postings(spark, sf_dir):
+    """Postings that are left after that stream."""
+    return _changed_index(spark, sf_dir).postings.select("id", "term", "tf", "dl")
+
+
 _CONTAINED = f"""
 WITH l AS MATERIALIZED (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS class_id FROM (SELECT doc_id, {_collapse("lower(text)")} AS t FROM documents) WHERE length(t) >= 40),
 s AS MATERIALIZED (SELECT class_id AS id, unnest(list_distinct(list_transform(range(length(t) - 39), lambda i: hash(substr(t, CAST(i + 1 AS BIGINT), 40))))) AS v FROM l WHERE doc_id = class_id),
