@@ -6,10 +6,13 @@ expressions on that row; there is no shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import written
 from . import sections
 
 # What cells hold.
@@ -25,6 +28,8 @@ NUMERIC, FEW_NUMBERS = 0.30, 0.15
 MOSTLY_EMPTY, PROSE_CHARS, PARAGRAPH_CHARS = 0.90, 80, 400
 FACTS, FACTS_PER_CELL = 5, 0.20
 HEADER_ROWS, PREVIEW = 3, 300
+#: Ranges into which values are cut at a time, and distinct values that a task sorts.
+BINS, RANKED = 256, 1_000_000
 BUCKETS = ("likely_data", "likely_layout", "ambiguous", "nested", "mostly_text", "merged_header", "ixbrl_heavy")
 
 
@@ -133,18 +138,43 @@ def find_tables(profiles: DataFrame, table_id: str | None = None, contains: list
     return profiles.filter(hit).orderBy("doc_id", "table_order").limit(1)
 
 
-def percentiles(df: DataFrame, column: str, keys: tuple[str, ...] = (), points: tuple[int, ...] = (0, 25, 50, 75, 90, 100)) -> DataFrame:
-    """p0, p25, ... by position: the value at floor(p / 100 * n) of the sorted values, or the last.
+def _looked_up(x: DataFrame, y: DataFrame, by: list[str]) -> DataFrame:
+    """x with the further columns of y, of which there is one row for each value of ``by``; nulls are values too."""
+    right = y.withColumnsRenamed({c: f"__{c}" for c in by})
+    if not by:
+        return x.join(F.broadcast(right))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return x.join(right, same).drop(*[f"__{c}" for c in by])
+
+
+def percentiles(df: DataFrame, column: str, keys: tuple[str, ...] = (), points: tuple[int, ...] = (0, 25, 50, 75, 90, 100), most: int = RANKED, bins: int = BINS) -> DataFrame:
+    """p0, p25, ... by position: the value at floor(p / 100 * n) of the sorted values, or the last. Values are numbers.
 
-    Rows are counted by value first; what is ranked is the distinct values of a group.
+    Rows are counted by value first. Then ranges of values are cut ``bins`` ways: their counts tell which ranges hold
+    a wanted position, and only these are kept, until none has more than ``most`` distinct values. What is sorted in one task is so
+    many values, whatever the size of a group. Groups without a value are left out.
     """
+    wanted = lambda n: F.array(*[F.least(F.floor(F.lit(p) / 100 * n), n - 1) for p in points])
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("here"))
-    by = Window.partitionBy(*keys)
-    upto = F.sum("here").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.select(*keys, "v", "here", upto.alias("upto"), F.sum("here").over(by).alias("n"))
-    at = lambda p: F.least(F.floor(F.lit(p) / 100 * F.col("n")), F.col("n") - 1)
-    holds = lambda p: (at(p) < F.col("upto")) & (at(p) >= F.col("upto") - F.col("here"))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(holds(p), F.col("v"))).alias(f"p{p}") for p in points])
+    rows = written(counts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "v", "here", F.lit(0).cast("long").alias("range"), F.lit(0).cast("long").alias("before")), "values")
+    names = [f"k{i}" for i in range(len(keys))]
+    totals = written(rows.groupBy(*names).agg(F.sum("here").alias("n")), "totals")
+    while (rows.groupBy(*names, "range").agg(F.count("*").alias("values")).agg(F.max("values")).head()[0] or 0) > most:
+        cuts = rows.groupBy(*names, "range").agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 100 * bins).alias("cuts"))
+        cut = _looked_up(rows, cuts, [*names, "range"]).withColumn("bin", F.size(F.filter("cuts", lambda c: c <= F.col("v")))).drop("cuts")
+        sizes = cut.groupBy(*names, "range", "before", "bin").agg(F.sum("here").alias("size"))
+        # A range has few bins: their running sums are made within a row.
+        lists = sizes.groupBy(*names, "range", "before").agg(F.sort_array(F.collect_list(F.struct("bin", "size"))).alias("l"))
+        sums = lists.withColumn("ends", T.scanned(F.transform("l", lambda e: e["size"]), lambda a, b: a + b, F.lit(0).cast("long")))
+        placed = _looked_up(sums, totals, names).select(*names, "range", "n", F.inline(F.zip_with("l", "ends", lambda e, end: F.struct(e["bin"].alias("bin"), (F.col("before") + end - e["size"]).alias("start"), (F.col("before") + end).alias("end")))))
+        holds = F.exists(wanted(F.col("n")), lambda at: (at >= F.col("start")) & (at < F.col("end")))
+        kept = placed.filter(holds).select(*names, "range", "bin", "start")
+        rows = written(_looked_up(cut, kept, [*names, "range", "bin"]).select(*names, "v", "here", F.xxhash64("range", "bin").alias("range"), F.col("start").alias("before")), "values")
+    upto = F.col("before") + F.sum("here").over(Window.partitionBy(*names, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = _looked_up(rows.withColumn("upto", upto), totals, names).withColumn("at", wanted(F.col("n")))
+    value = lambda i: F.max(F.when((F.col("at")[i] < F.col("upto")) & (F.col("at")[i] >= F.col("upto") - F.col("here")), F.col("v")))
+    made = ranked.groupBy(*names).agg(*[value(i).alias(f"p{p}") for i, p in enumerate(points)])
+    return made.withColumnsRenamed(dict(zip(names, keys)))
 
 
 def bucket_counts(profiles: DataFrame) -> DataFrame:
