@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.tables import shared_path, written
-from .operators import ann, answer, blocks, census, chunking, containment, convert, dense, fusion, grading, render, reports, sections, sparse
+from .operators import ann, answer, blocks, census, chunking, containment, convert, dense, fusion, grading, impacts, render, reports, sections, sparse
 from .plans import answers as answer_plan
 from .plans import corpus
 from .plans import search as search_plan
@@ -149,6 +149,20 @@ def bm25_topk(spark, sf_dir):
     return sparse.search(sparse.build(whole_chunks(spark, sf_dir)), passages(spark, sf_dir))
 
 
+@query(SQL["bm25_topk"])
+def bm25_pruned(spark, sf_dir):
+    """The same lists from postings in blocks of like impact, without scoring every pair."""
+    return impacts.search(impacts.build(sparse.build(whole_chunks(spark, sf_dir))), passages(spark, sf_dir))
+
+
+@query(_BM25 + "SELECT count(DISTINCT query_id) AS queries, count(*) AS pairs, true AS fewer FROM s")
+def bm25_pairs_saved(spark, sf_dir):
+    """Pairs of a query and a chunk that share a term; fewer says that at most three quarters of them are scored."""
+    made, asked = impacts.build(sparse.build(whole_chunks(spark, sf_dir))), passages(spark, sf_dir)
+    told = impacts.saved(made, asked, impacts.candidates(made, asked))
+    return told.agg(F.count("*").alias("queries"), F.sum("pairs").alias("pairs"), (F.sum("scored") <= 0.75 * F.sum("pairs")).alias("fewer"))
+
+
 @query(
     _BM25
     + "SELECT query_id, id, CAST(rank AS INTEGER) AS rank, score FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s JOIN documents d ON d.doc_id = s.id WHERE score > 0 AND d.lang = 'de' AND d.doc_id % 4 = 1) WHERE rank <= 20"
