@@ -42,7 +42,7 @@ def build(chunks: DataFrame) -> SparseIndex:
     """chunks: id, ord and text, and whatever columns filters use. Texts are tokenized once: the postings are written."""
     postings = written(token_counts(chunks), "postings")
     size = chunks.agg(F.count("*").alias("n"), F.count("text").alias("texts"))
-    totals = size.join(F.broadcast(postings.agg(F.sum("tf").alias("tokens")))).select("n", (F.coalesce("tokens", F.lit(0)) / F.col("texts")).alias("avgdl"))
+    totals = size.join(F.broadcast(postings.agg(F.sum("tf").alias("tokens")))).select("n", F.try_divide(F.coalesce("tokens", F.lit(0)), "texts").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(totals.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
