@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import inspect
+import subprocess
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import file_system
+
 METADATA = "struct<company:string,form:string,period:string,section:string,strategy:string,kind:string,block_id:string>"
 BLOCK = (
     "record string, doc_id string, source_path string, doc_type string, block_type string, source_order int, section_id string, block_id string, text string, raw_html string, "
@@ -63,11 +69,45 @@ def write_report(verified: DataFrame, confidence: DataFrame, path: str) -> None:
     verified.join(confidence, "query_id", "left").write.mode("overwrite").json(path)
 
 
-def snapshot(chunks: DataFrame, path: str, **settings) -> DataFrame:
-    """Write the chunks and a manifest: settings, and how many chunks each document has. Returns the manifest."""
+def effective(*functions: Callable) -> dict[str, str]:
+    """Parameters that functions use unless told otherwise, as "function.parameter": what a run without settings did."""
+    known = [(f.__name__, p) for f in functions for p in inspect.signature(f).parameters.values()]
+    return {f"{name}.{p.name}": str(p.default) for name, p in known if p.default is not inspect.Parameter.empty and not callable(p.default)}
+
+
+def provenance(folder: str = ".") -> dict[str, str]:
+    """Commit, branch and whether files differ from it, of the working copy at a folder; an error where there is none."""
+    told = lambda *words: subprocess.run(["git", "-C", folder, *words], capture_output=True, text=True, check=True).stdout.strip()
+    try:
+        return {"commit": told("rev-parse", "HEAD"), "branch": told("rev-parse", "--abbrev-ref", "HEAD"), "dirty": str(bool(told("status", "--porcelain"))).lower()}
+    except (OSError, subprocess.CalledProcessError) as error:
+        return {"error": str(error)}
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """What a folder takes, by whatever file system holds it."""
+    files, where = file_system(spark, path)
+    return files.getContentSummary(where).getLength()
+
+
+def snapshot(chunks: DataFrame, path: str, functions: tuple[Callable, ...] = (), archive: dict[str, str] | None = None, origin: dict[str, str] | None = None, **settings) -> DataFrame:
+    """Write the chunks, copies of tables and a manifest, and return the manifest.
+
+    Its rows are documents (company, form, period, chunks and, where the chunks have it, strategy). Each row bears the ``settings``
+    and the effective parameters of ``functions``, the ``origin`` (see ``provenance``), and the bytes of the chunks and of every
+    Parquet folder of ``archive`` (name: path), which executors copy to ``archive/name``.
+    """
     spark = chunks.sparkSession
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    counts = spark.read.parquet(f"{path}/chunks").groupBy("company", "form", "period").agg(F.count("*").alias("chunks"))
-    manifest = counts.withColumn("settings", F.create_map(*[F.lit(x) for k in sorted(settings) for x in (k, str(settings[k]))]) if settings else F.create_map().cast("map<string,string>"))
+    sizes = {"chunks": stored_bytes(spark, f"{path}/chunks")}
+    for name, source in (archive or {}).items():
+        spark.read.parquet(source).write.mode("overwrite").parquet(f"{path}/archive/{name}")
+        sizes[name] = stored_bytes(spark, f"{path}/archive/{name}")
+    told = effective(*functions) | {k: str(v) for k, v in settings.items()}
+    pairs = lambda d, kind: F.map_from_arrays(*[F.array(*[F.lit(x) for x in xs]).cast(f"array<{k}>") for xs, k in ((sorted(d), "string"), ([d[k] for k in sorted(d)], kind))])
+    stored = spark.read.parquet(f"{path}/chunks")
+    strategy = F.min("strategy") if "strategy" in stored.columns else F.lit(None).cast("string")
+    counts = stored.groupBy("company", "form", "period").agg(F.count("*").alias("chunks"), strategy.alias("strategy"))
+    manifest = counts.select("*", pairs(told, "string").alias("settings"), pairs(origin or {}, "string").alias("origin"), pairs(sizes, "bigint").alias("bytes"))
     manifest.write.mode("overwrite").json(f"{path}/manifest")
-    return spark.read.json(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
