@@ -170,3 +170,22 @@ def test_rerank_ties_keep_fused_order(spark):
     hits = spark.createDataFrame([("q", i, r, "same words", "narrative") for r, i in enumerate((5, 3, 9), 1)], "query_id string, id int, rank int, text string, kind string")
     queries = spark.createDataFrame([("q", "same")], "query_id string, query string")
     assert [r.id for r in rerank.rerank(hits, queries, LexicalScorer(), 2).orderBy("rerank_rank").collect()] == [5, 3]
+
+
+def test_terms_are_counted_without_a_shuffle_of_their_own(spark):
+    """One exchange, of texts; rows that share an id are counted together, as before."""
+    rows = [(i, f"alpha beta beta w{i % 7}") for i in range(40)] + [(3, "alpha gamma")]
+    made = sparse.token_counts(spark.createDataFrame(rows, "id long, text string"))
+    plan = made._jdf.queryExecution().sparkPlan().toString() + made._jdf.queryExecution().executedPlan().toString()
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1, plan
+    got = {(r.id, r.term): r.tf for r in made.collect()}
+    assert got[3, "alpha"] == 2 and got[3, "gamma"] == 1 and got[5, "beta"] == 2 and len(got) == 40 * 3 + 1
+
+
+def test_ties_beyond_the_list_go_to_the_earlier_chunk(spark):
+    """More chunks than the list holds have one score; ord decides, not id."""
+    rows = [(i, 100 - i, "same words here") for i in range(30)] + [(i, i, f"other text {i}") for i in range(100, 140)]
+    chunks = spark.createDataFrame(rows, "id long, ord long, text string").repartition(5)
+    asked = spark.createDataFrame([("q", "same words")], "query_id string, query string")
+    got = [r.id for r in sparse.search(sparse.build(chunks), asked, n=4).orderBy("rank").collect()]
+    assert got == [29, 28, 27, 26]
