@@ -80,3 +80,30 @@ def test_new_odd_and_no_vectors(spark, tmp_path):
     assert ann.search(index, query.limit(0), 1, 5).collect() == []
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         ann.write(vectors, first.centroids, path)
+
+
+def test_queries_share_tiles_within_lists(spark, filed):
+    vectors, index = filed
+    met = []
+
+    def counted(queries, opened, keys, *rest, **named):
+        met.append(dense._tiles(queries, dense.QUERY_TILE, "q", "query_id", keys=tuple(keys)).count())
+        return plain(queries, opened, keys, *rest, **named)
+
+    plain = dense.meet
+    try:
+        dense.meet = counted
+        ann.search(index, vectors.selectExpr("id as query_id", "embedding"), 5, 16)
+    finally:
+        dense.meet = plain
+    assert met[0] <= 16 * 5
+
+
+def test_fit_deals_its_sample(spark, monkeypatch):
+    vectors = clustered(spark, 900)
+    whole = ann.fit(vectors, 6)
+    monkeypatch.setattr(ann, "FIT_ROWS", 100)
+    assert np.array_equal(ann.fit(vectors, 6), ann.fit(vectors.repartition(7), 6))
+    monkeypatch.setattr(ann, "SAMPLE_EACH", 50)
+    few = ann.fit(vectors, 6)
+    assert few.shape == whole.shape and np.isfinite(few).all()

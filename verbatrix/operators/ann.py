@@ -16,6 +16,7 @@ distances grow (``spread``).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,10 @@ PROBES = 0.25
 CALIBRATION, TARGET = 200, 0.93
 #: Rows of one file of a list.
 FILE_ROWS = 200_000
+#: Vectors that one task of k-means sees, about, and the digits of centroids.
+FIT_ROWS, DIGITS = 8192, 9
+#: Pairs of a vector and a centroid that are measured at a time.
+PAIRS = 1 << 20
 #: Vectors of a list that one task compares, about.
 LIST_PART = 32768
 
@@ -63,14 +68,28 @@ def lists_for(n: int) -> int:
 
 
 def fit(vectors: DataFrame, lists: int | None = None) -> np.ndarray:
-    """Centroids of at most ``SAMPLE_EACH`` vectors each, those of the least hash; the same vectors give the same centroids."""
-    rows = usable(vectors).select("embedding")
-    lists = lists or lists_for(rows.count())
+    """Centroids of about ``SAMPLE_EACH`` vectors each, those of the least hash; the same vectors give the same centroids.
+
+    The sample is a share of the hashes' range, so nothing is sorted or limited as a whole.
+    """
+    hashed = usable(vectors).withColumn("__hash", F.xxhash64(*vectors.columns)).select("embedding", "__hash")
+    count = hashed.count()
+    lists = lists or lists_for(count)
     most = lists * SAMPLE_EACH
-    sample = rows.orderBy(F.xxhash64("embedding"), "embedding").limit(most).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    # One partition in the order of hashes, so that sums and starting points do not depend on how rows were dealt.
-    model = KMeans(k=lists, maxIter=ROUNDS, seed=SEED, featuresCol="v").fit(sample.coalesce(1))
-    return np.array(model.clusterCenters())
+    if count > most:
+        hashed = hashed.filter(F.col("__hash") < int(most / count * 2.0**64) - 2**63)
+    # Dealt by hash and in its order, so that sums and starting points do not depend on how rows were dealt; digits drop the order of addition.
+    dealt = hashed.repartition(max(1, math.ceil(min(count, most) / FIT_ROWS)), "__hash").sortWithinPartitions("__hash", "embedding")
+    sample = dealt.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    model = KMeans(k=lists, maxIter=ROUNDS, seed=SEED, featuresCol="v").fit(sample)
+    return np.round(np.array(model.clusterCenters()), DIGITS)
+
+
+def _distances(embeddings: pd.Series, centroids: np.ndarray) -> Iterator[np.ndarray]:
+    """Squared distances of vectors to all centroids, for a bounded number of pairs at a time."""
+    rows = max(1, PAIRS // max(1, len(centroids)))
+    for start in range(0, len(embeddings), rows):
+        yield dense.squared_distances(np.stack(embeddings.iloc[start : start + rows].to_numpy()).astype(float), centroids)
 
 
 def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -80,10 +99,9 @@ def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     def nearest(embeddings: pd.Series) -> pd.DataFrame:
         if not len(embeddings):
             return pd.DataFrame({"list": [], "distance": []})
-        x = np.stack(embeddings.to_numpy()).astype(float)
-        d = dense.squared_distances(x, centroids)
-        at = d.argmin(axis=1)
-        return pd.DataFrame({"list": at.astype("int32"), "distance": d[np.arange(len(x)), at]})
+        told = [(d.argmin(axis=1), d.min(axis=1)) for d in _distances(embeddings, centroids)]
+        at, distance = (np.concatenate(c) for c in zip(*told))
+        return pd.DataFrame({"list": at.astype("int32"), "distance": distance})
 
     return usable(vectors).withColumn("__at", nearest("embedding")).select(*vectors.columns, "__at.list", "__at.distance")
 
@@ -112,17 +130,16 @@ def build(vectors: DataFrame, path: str, lists: int | None = None, mode: str = "
 
 
 def probes_of(index: VectorIndex, queries: DataFrame, probes: float = PROBES) -> DataFrame:
-    """query_id, embedding, place and list: a row for each list that a query probes, the nearest at place 0."""
+    """The columns of queries with place and list: a row for each list that a query probes, the nearest at place 0."""
     count, centroids = index.probed(probes), index.centroids
 
     @F.pandas_udf("array<int>")
     def nearest(embeddings: pd.Series) -> pd.Series:
         if not len(embeddings):
             return pd.Series([], dtype=object)
-        d = dense.squared_distances(np.stack(embeddings.to_numpy()).astype(float), centroids)
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :count].astype("int32")))
+        return pd.Series([row for d in _distances(embeddings, centroids) for row in np.argsort(d, axis=1, kind="stable")[:, :count].astype("int32")])
 
-    return usable(queries).select("query_id", "embedding", F.posexplode(nearest("embedding")).alias("place", "list"))
+    return usable(queries).select(*queries.columns, F.posexplode(nearest("embedding")).alias("place", "list"))
 
 
 def search(index: VectorIndex, queries: DataFrame, n: int = 20, probes: float = PROBES, filters: dict | None = None) -> DataFrame:
@@ -130,9 +147,12 @@ def search(index: VectorIndex, queries: DataFrame, n: int = 20, probes: float =
 
     queries: query_id, embedding. The index holds id, ord, embedding and the columns of the filters.
     """
-    asked = probes_of(index, queries, probes)
-    wanted = [r.list for r in asked.select("list").distinct().collect()]  # at most one a list
-    opened = dense.matching(index.lists.filter(F.col("list").isin(wanted)), filters)
+    # Queries share a tile in whatever lists they meet: numbered after they are sent to lists, hardly two would.
+    tiles = max(1, math.ceil(queries.count() / dense.QUERY_TILE))
+    asked = probes_of(index, queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(tiles)).alias("tile")), probes)
+    everywhere = index.probed(probes) == len(index.centroids)
+    wanted = range(len(index.centroids)) if everywhere else [r.list for r in asked.select("list").distinct().collect()]  # at most one a list
+    opened = dense.matching(index.lists.filter(F.col("list").isin(*wanted)), filters)
     spread = max(1, math.ceil(index.largest / LIST_PART))
     return dense.ranked(dense.meet(asked, opened, ["list"], spread, n, dense.squared_distances, largest=False), n, largest=False)
 
