@@ -65,3 +65,15 @@ def test_negative_idf_few_chunks_and_none(spark):
         index = sparse.build(rowset)
         for n in (1, 2, 20):
             assert rows(I.search(I.build(index), queries, n)) == rows(sparse.search(index, queries, n))
+
+
+def test_few_gains_do_not_ask_once_a_pair(made, monkeypatch):
+    """Postings meet broadcast gains, and pairs only sums; many gains are asked for by pairs, with equal scores."""
+    _, impacts, queries = made
+    found = I.candidates(impacts, queries, 10)
+    met = I.scores(impacts, queries, found)
+    assert "BroadcastHashJoin [term" in met._jdf.queryExecution().toString()
+    few = rows(met)
+    monkeypatch.setattr(sparse, "FEW_TERMS", 0)
+    monkeypatch.setattr(I, "FEW_BLOCKS", 0)
+    assert rows(I.scores(impacts, queries, I.candidates(impacts, queries, 10))) == few

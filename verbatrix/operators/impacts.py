@@ -30,6 +30,8 @@ from .sparse import K1, B, SparseIndex
 LEVELS = 64
 #: Postings that the first pass reads, and chunks that it scores whole, in lists' lengths.
 FIRST, TRIED = 200, 10
+#: Blocks that queries ask for that are broadcast, so that postings stay where they are.
+FEW_BLOCKS = 500_000
 #: Scores are rounded before they are ranked; what may be rounded up to the threshold counts as reaching it.
 MARGIN = 2 * 10.0**-sparse.DIGITS
 
@@ -64,9 +66,16 @@ def gains(impacts: ImpactIndex, queries: DataFrame) -> DataFrame:
 
 
 def scores(impacts: ImpactIndex, queries: DataFrame, found: DataFrame) -> DataFrame:
-    """query_id, id and score of given pairs. Each pair asks for its query's terms, so only these postings meet it."""
-    wanted = found.join(gains(impacts, queries), "query_id")
-    return impacts.postings.join(wanted, ["term", "id"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("gain") * F.col("impact")), sparse.DIGITS).alias("score"))
+    """query_id, id and score of given pairs.
+
+    Few gains go to all postings, whose sums by pair are made where a chunk's postings lie together, and these meet the pairs: pairs
+    that each ask for all terms of their query are many times as many. Of many gains each pair asks for its own.
+    """
+    total = F.round(F.sum(F.col("gain") * F.col("impact")), sparse.DIGITS).alias("score")
+    worth = gains(impacts, queries)
+    if sparse.few_terms(queries):
+        return impacts.postings.join(F.broadcast(worth), "term").groupBy("query_id", "id").agg(total).join(found, ["query_id", "id"])
+    return impacts.postings.join(found.join(worth, "query_id"), ["term", "id"]).groupBy("query_id", "id").agg(total)
 
 
 def _best(of: DataFrame, score: str, n: int) -> DataFrame:
@@ -79,6 +88,7 @@ def thresholds(impacts: ImpactIndex, queries: DataFrame, asked: DataFrame, n: in
     best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "level")
     read = F.coalesce(F.sum("postings").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = asked.withColumn("read", read).filter(F.col("read") < FIRST * n).select("query_id", "term", "level", "gain")
+    first = F.broadcast(first) if asked.count() <= FEW_BLOCKS else first
     sums = impacts.postings.join(first, ["term", "level"]).groupBy("query_id", "id").agg(F.sum(F.col("gain") * F.col("impact")).alias("part"))
     if allowed is not None:
         sums = sums.join(allowed, "id", "left_semi")
@@ -103,6 +113,7 @@ def candidates(impacts: ImpactIndex, queries: DataFrame, n: int = 20, filters: d
     allowed = sparse.matching(impacts.index.chunks, filters).select("id") if filters else None
     asked = written(asked_blocks(impacts, queries), "asked")
     chosen = essential_blocks(asked, written(thresholds(impacts, queries, asked, n, allowed), "thresholds"))
+    chosen = F.broadcast(chosen) if asked.count() <= FEW_BLOCKS else chosen
     reach = F.first("rest") + F.sum(F.greatest(F.col("gain") * F.col("impact"), F.lit(0.0)) - F.col("spare"))
     sums = impacts.postings.join(chosen, ["term", "level"]).groupBy("query_id", "id").agg(reach.alias("reach"), F.first("threshold").alias("threshold"))
     found = sums.filter(F.col("threshold").isNull() | (F.col("reach") >= F.col("threshold"))).select("query_id", "id")
