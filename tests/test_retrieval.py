@@ -189,3 +189,23 @@ def test_ties_beyond_the_list_go_to_the_earlier_chunk(spark):
     asked = spark.createDataFrame([("q", "same words")], "query_id string, query string")
     got = [r.id for r in sparse.search(sparse.build(chunks), asked, n=4).orderBy("rank").collect()]
     assert got == [29, 28, 27, 26]
+
+
+def test_hybrid_search_takes_the_texts_of_hits_in_one_pass(spark, small, monkeypatch):
+    from verbatrix import queries
+    from verbatrix.plans import search as plan
+
+    kept = {}
+    plain = plan.written
+    monkeypatch.setattr(plan, "written", lambda df, name: kept.setdefault(name, plain(df, name)) if name == "texts" else plain(df, name))
+    found = queries._hybrid(spark, small)
+    hits = found.dense.select("id").union(found.sparse.select("id")).union(found.dropped.select("id")).distinct()
+    assert sorted(r.id for r in kept["texts"].collect()) == sorted(r.id for r in hits.collect())
+
+
+def test_letters_are_counted_as_by_count():
+    from verbatrix.providers import LetterCounts
+
+    texts = ["Aa zZ é K K", "", None, "İ\U0001f600abc" * 5]
+    expected = [[(t or "").count(c) + (t or "").count(c.upper()) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+    assert LetterCounts().embed(texts).tolist() == expected and LetterCounts().embed([]).shape == (0, 26)
