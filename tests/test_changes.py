@@ -1,6 +1,7 @@
 """The index under changes: equal to a rebuild after updates, deletes, late and repeated changes, crashes and compaction."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from verbatrix.operators import chunking, sparse
@@ -107,3 +108,41 @@ def test_everything_deleted_and_nothing_yet(spark, tmp_path):
     index = I.current_index(spark, str(tmp_path))
     assert index.postings.isEmpty() and index.terms.isEmpty() and tuple(index.totals.head()) == (0, None)
     assert sparse.search(index, spark.createDataFrame([(1, "apple")], "query_id int, query string")).isEmpty()
+
+
+class Held:
+    """A value state that counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.asked = None, []
+
+    def get(self):
+        self.asked.append("get")
+        return self.value
+
+    def update(self, value):
+        self.asked.append("update")
+        self.value = value
+
+
+def test_a_document_asks_its_state_once_and_takes_rows():
+    operator = I.LastChange()
+    operator.held = Held()
+    fed = lambda *rows: [tuple(r) for r in operator.handleInputRows(("a",), iter([Row(doc_id="a", seq=s, text=t) for s, t in rows]), None)]
+    assert fed((1, "old"), (2, "new"), (2, "a new")) == [("a", 2, "new", None, None)] and operator.held.asked == ["get", "update"]
+    assert fed((1, "late"), (2, "z")) == [] and operator.held.asked == ["get", "update", "get"]
+    assert fed((3, None)) == [("a", 3, None, 2, "new")] and fed((3, "x"), (4, "")) == [("a", 4, "", 3, None)]
+
+
+def test_terms_are_counted_in_the_row_of_their_chunk(spark, tmp_path):
+    texts = ["pie apple Pie the apple pie", "", "the of", None, LONG]
+    frame = spark.createDataFrame([(str(i), "d", 1, t) for i, t in enumerate(texts)], "id string, doc_id string, gen bigint, text string")
+    made = I._postings(frame)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.id, r.term, r.tf, r.dl) for r in I._listed(made, "id", "dl").filter("id < '4'").orderBy("term").collect()] == [("0", "apple", 2, 5), ("0", "pie", 3, 5)]
+    long = {r.term: r.tf for r in I._listed(made, "id").filter("id = '4'").collect()}
+    assert long == {w: LONG.split().count(w) for w in set(LONG.split())}
+    # On disk a chunk is one row, so what is gone is left out before terms are listed.
+    I.apply_changes(changed(spark, [("a", 1, LONG, None, None)]), 0, str(tmp_path))
+    stored = {name: spark.read.parquet(f"{tmp_path}/batches/0/{name}").count() for name in ("chunks", "postings")}
+    assert stored["chunks"] == stored["postings"] > 1
