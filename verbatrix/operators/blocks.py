@@ -47,10 +47,10 @@ def serialize_documents(blocks: DataFrame) -> DataFrame:
     return pieces.groupBy("doc_id").agg(joined.alias("text"))
 
 
-def block_offsets(blocks: DataFrame) -> DataFrame:
-    """Adds start and end: where each block lies in its document's serialisation, in code points."""
+def block_offsets(blocks: DataFrame, chars: Column | None = None) -> DataFrame:
+    """Adds start and end: where each block lies in its document's serialisation, in code points. chars: a block's length, where it is known."""
     w = Window.partitionBy("doc_id").orderBy("source_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    length = F.length(serialized()).cast("long")
+    length = F.length(serialized()).cast("long") if chars is None else chars
     return blocks.withColumn("end", F.sum(length).over(w)).withColumn("start", F.col("end") - length)
 
 
