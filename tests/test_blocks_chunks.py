@@ -96,3 +96,17 @@ def test_section_chunks(spark):
         ("s1", 1, 0, "narrative", "a" * 500), ("s1", 1, 1, "narrative", "a" * 150 + "b" * 10), ("s1", 1, 2, "table_records", "r1\nr2"), ("s1", 1, 3, "narrative", "c"),
         (None, 2, 0, "narrative", "ef"), ("s1", 3, 0, "narrative", "g"),
     ]
+
+
+def test_windows_across_blocks(spark):
+    """Pieces are those of a plain cut, wherever blocks end; a long text is not scanned from its start for each piece."""
+    letters = "aé𝄞b c"
+    for size, overlap in ((1, 0), (5, 2), (50, 49), (2**31 - 1, 3)):
+        step = size - overlap
+        wide = chunking.BLOCK * step
+        lengths = [n for n in {0, 1, size, size + 1, wide - 1, wide, wide + 1, wide + overlap, wide + overlap + 1, 2 * wide + 1} if n < 5000]
+        texts = [(n, (letters * n)[:n]) for n in lengths] + [(-1, None)]
+        made = spark.createDataFrame(texts, "n int, text string").select("n", chunking.windows(F.col("text"), size, overlap).alias("w"))
+        assert {r.n: r.w for r in made.collect()} == {n: [t[i : i + size] for i in range(0, len(t or ""), step)] for n, t in texts}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring") == 2

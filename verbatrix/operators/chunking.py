@@ -9,6 +9,8 @@ from ..functions import text as T
 from .blocks import TABLE, serialized
 
 SIZE, OVERLAP = 500, 50
+#: Pieces that are cut out of one block of a text.
+BLOCK = 16
 #: A table of up to so many chunk sizes stays whole.
 WHOLE_TABLE = 3
 
@@ -19,9 +21,17 @@ def _check(size: int, overlap: int) -> None:
 
 
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Pieces of ``size`` characters, each ``overlap`` before the last one's end; empty for an empty text."""
+    """Pieces of ``size`` characters, each ``overlap`` before the last one's end; empty for an empty text.
+
+    The text is cut into blocks of ``BLOCK`` pieces first: a substring by position is found by scanning from the start.
+    """
     _check(size, overlap)
-    cut = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), F.length(t) - 1, F.lit(size - overlap)), lambda i: F.substring(t, i + 1, F.lit(size))))
+    step = size - overlap
+    # A block's end stays an int.
+    wide = max(1, min(BLOCK, (2**31 - 1 - overlap) // step)) * step
+    of_block = lambda b: F.transform(F.sequence(F.lit(0), F.least(F.lit(wide), F.length(b)) - 1, F.lit(step)), lambda i: F.substring(b, i + 1, F.lit(size)))
+    blocks = lambda t: F.transform(F.sequence(F.lit(0), F.length(t) - 1, F.lit(wide)), lambda i: F.substring(t, i + 1, F.lit(wide + overlap)))
+    cut = lambda t: F.when(F.length(t) > 0, F.flatten(F.transform(blocks(t), of_block)))
     return F.coalesce(T.let(text, cut), F.array().cast("array<string>"))
 
 
